@@ -53,3 +53,12 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows of a table that may be broadcast; one with more is joined by shuffling.
+BROADCAST_ROWS = 20_000
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast if a count shows that it has few rows; else df as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
