@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm import chat, mixing, simhash
+from fieldmark.llm import chat, mixing, secrets, simhash
 from fieldmark.llm.common import table
 
 
@@ -26,5 +26,9 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.render(chat.messages(events)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_simhash": op7_simhash, "op8_mixing": op8_mixing, "op9_chat": op9_chat}
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_simhash": op7_simhash, "op8_mixing": op8_mixing, "op9_chat": op9_chat, "op10_secrets": op10_secrets}
 ORACLES: dict[str, str] = {"op8_mixing": mixing.ORACLE, "op9_chat": chat.ORACLE}
