@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from fieldmark.llm.common import BLANKS, cut, let, words
 
 ROUNDS = 40
-#: Documents' worth of prior belief that a rule's vote for the right side outweighs its vote for the wrong one, 4 to 1.
-PRIOR = 8.0
+#: Belief in the rules before any vote is seen: the odds that a bad, and a good, document gets no vote, a bad one, a good one;
+#: it counts as much as this share of all documents.
+BELIEF, SHARE = ((0.2, 0.4, 0.4), (0.2, 0.03, 0.77)), 0.02
 
 
 def _repeats(w: Column) -> Column:
@@ -39,6 +40,7 @@ def features(docs: DataFrame) -> DataFrame:
         lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
             _repeats(w).alias("n_repeat_words"),
             F.size(F.filter(w, lambda x: F.substring(x, -1, 1).isin(".", ",", ";", ":", "!", "?"))).cast("long").alias("n_stops"),
         ),
@@ -67,12 +69,13 @@ def rules() -> dict[str, Column]:
     return {
         "length": _vote(n >= 100, n < 50),
         "repeats": _vote(some & (per("n_repeat_words") <= 0.1), per("n_repeat_words") > 0.3),
+        "variety": _vote(per("n_distinct") >= 0.62, some & (n <= 2000) & (per("n_distinct") < 0.56)),
         "symbols": _vote(some & (per("n_symbols") <= 0.02), per("n_symbols") > 0.2),
         "lines": _vote(some & (doubled <= 0.05), doubled > 0.3),
         "shouting": _vote(some & (per("n_shouts") <= 0.05), per("n_shouts") > 0.3),
         "capitals": _vote(some & (shout <= 0.15), shout > 0.4),
-        "lengths": _vote(mean.between(4.0, 7.0), some & ((mean < 2.5) | (mean > 15.0))),
-        "stops": _vote(per("n_stops").between(0.03, 0.4), some & (per("n_stops") > 0.7)),
+        "lengths": _vote(mean.between(4.5, 6.5), some & ~mean.between(4.3, 7.0)),
+        "stops": _vote(per("n_stops").between(0.08, 0.4), some & ~per("n_stops").between(0.05, 0.6)),
     }
 
 
@@ -84,15 +87,15 @@ def fit(votes: DataFrame, names: list[str], rounds: int = ROUNDS) -> list[float]
     """
     r = len(names)
     patterns = votes.groupBy(F.array(*[F.col(c) for c in names]).alias("v")).agg(F.count("*").cast("double").alias("n"))
-    # the odds that a side shows a vote, before any round: rules are believed to be right more often than wrong
-    first = [x for _ in range(r) for x in (0.2, 0.6, 0.2, 0.2, 0.2, 0.6)]
-    prior = [x * PRIOR for _ in range(r) for x in (0.0, 0.8, 0.2, 0.0, 0.2, 0.8)]
+    first = [x for _ in range(r) for side in BELIEF for x in side]
     at = lambda j, side, v: j * 6 + side * 3 + v
 
     def posterior(s: Column, v: Column) -> Column:
         side = lambda k: sum((F.log(F.get(s["odds"], F.lit(at(j, k, 0)) + F.get(v, F.lit(j)))) for j in range(r)), F.log(s["good"] if k else 1 - s["good"]))
         return 1 / (1 + F.exp(F.greatest(F.least(side(0) - side(1), F.lit(700.0)), F.lit(-700.0))))
 
+    total = F.aggregate("patterns", F.lit(0.0), lambda t, x: t + x["n"])
+
     def round_(s: Column, _: Column) -> Column:
         def counted(p: Column) -> Column:
             zero = F.struct(F.lit(0.0).alias("g"), F.lit(0.0).alias("n"))
@@ -101,7 +104,7 @@ def fit(votes: DataFrame, names: list[str], rounds: int = ROUNDS) -> list[float]
                 F.sequence(F.lit(0), F.lit(6 * r - 1)),
                 lambda k: F.aggregate(
                     p,
-                    F.get(F.array(*[F.lit(x) for x in prior]), k) + 0.01,
+                    F.get(F.array(*[F.lit(x) for x in first]), k) * (1 + SHARE * total),
                     lambda t, x: t + F.when(F.get(x["v"], F.floor(k / 6).cast("int")) == k % 3, x["n"] * F.when(F.floor(k / 3) % 2 == 1, x["p"]).otherwise(1 - x["p"])).otherwise(0.0),
                 ),
             )
@@ -110,9 +113,11 @@ def fit(votes: DataFrame, names: list[str], rounds: int = ROUNDS) -> list[float]
 
         return let(F.transform("patterns", lambda x: F.struct(x["v"].alias("v"), x["n"].alias("n"), posterior(s, x["v"]).alias("p"))), counted)
 
-    start = F.struct(F.lit(0.8).alias("good"), F.array(*[F.lit(x) for x in first]).alias("odds"))
+    start = F.struct(F.lit(0.9).alias("good"), F.array(*[F.lit(x) for x in first]).alias("odds"))
     model = patterns.agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("patterns")).select(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, round_).alias("m"))
     row = model.select("m.*").first()
+    if row["odds"] is None or not patterns.head(1):
+        return [0.9, *first]
     return [row["good"], *row["odds"]]
 
 
@@ -121,15 +126,16 @@ def judge(docs: DataFrame, least: float = 0.5, rounds: int = ROUNDS) -> DataFram
 
     base_failed: fewer than 50 words, or over half of them in repeated 3-word windows; such rows are not kept,
     whatever the posterior. Other rows are kept from quality `least` on. Repeated rows vote each; null and empty texts
-    fail. The model is fit to the votes of all rows; an empty table gives an empty one.
+    fail. The model is fit to the votes of all rows that the base
+    leaves open; an empty table gives an empty one.
     """
     named = rules()
     found = cut(features(docs.select("doc_id", "text")).withColumns({f"vote_{k}": v for k, v in named.items()}))
-    model = fit(found, [f"vote_{k}" for k in named], rounds)
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    model = fit(found.where(~failed), [f"vote_{k}" for k in named], rounds)
     good, odds = model[0], model[1:]
     weigh = lambda j, name: F.get(F.array(*[F.log(F.lit(odds[6 * j + v])) - F.log(F.lit(odds[6 * j + 3 + v])) for v in range(3)]), F.col(f"vote_{name}"))
     against = sum((weigh(j, k) for j, k in enumerate(named)), F.log(F.lit(1 - good)) - F.log(F.lit(good)))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
         found.withColumn("quality", 1 / (1 + F.exp(F.greatest(F.least(against, F.lit(700.0)), F.lit(-700.0)))))
         .withColumn("base_failed", failed)
