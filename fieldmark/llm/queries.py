@@ -5,8 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm import chat, decontaminate, mixing, quality, secrets, simhash
-from fieldmark.llm.common import table
+from fieldmark.llm import chat, decontaminate, langid, mixing, quality, secrets, simhash
+from fieldmark.llm.common import fold, table
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,13 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    model = langid.learn(docs.where(~held_out).select("doc_id", "text", "lang"))
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -39,5 +46,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_decontaminate": op2_decontaminate, "op4_quality": op4_quality, "op7_simhash": op7_simhash, "op8_mixing": op8_mixing, "op9_chat": op9_chat, "op10_secrets": op10_secrets}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_decontaminate": op2_decontaminate, "op4_quality": op4_quality, "op5_langid": op5_langid, "op7_simhash": op7_simhash, "op8_mixing": op8_mixing, "op9_chat": op9_chat, "op10_secrets": op10_secrets}
 ORACLES: dict[str, str] = {"op2_decontaminate": decontaminate.ORACLE, "op8_mixing": mixing.ORACLE, "op9_chat": chat.ORACLE}
