@@ -192,10 +192,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     null or has no letter, or nothing was learnt. score: the winner's share of 2^-(bits over the text's bytes, times up
     to 64 bytes), 0 for `und`.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = Model.__new__(Model)  # the arrays are broadcast; the class travels with this function
+        vars(model).update(shared.value)
         names = np.array([*model.langs, "und"], object)
         for b in batches:
             texts = [x or b"" for x in b.column(1).to_pylist()]
