@@ -1,5 +1,6 @@
 """What several operators share: tables cut from their lineage, words as array columns, crc32 folds."""
 
+import gc
 import tempfile
 import uuid
 
@@ -62,3 +63,9 @@ BROADCAST_ROWS = 20_000
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, to be broadcast if a count shows that it has few rows; else df as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of what has been cut: it learns from the collector which are unused."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

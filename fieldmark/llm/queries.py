@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm import chat, decontaminate, langid, mixing, quality, secrets, simhash
+from fieldmark.llm import chat, decontaminate, langid, mixing, quality, secrets, simhash, substrings
 from fieldmark.llm.common import fold, table
 
 
@@ -13,6 +13,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents"))[0].select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
@@ -46,5 +50,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_decontaminate": op2_decontaminate, "op4_quality": op4_quality, "op5_langid": op5_langid, "op7_simhash": op7_simhash, "op8_mixing": op8_mixing, "op9_chat": op9_chat, "op10_secrets": op10_secrets}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_decontaminate": op2_decontaminate, "op3_substrings": op3_substrings, "op4_quality": op4_quality, "op5_langid": op5_langid, "op7_simhash": op7_simhash, "op8_mixing": op8_mixing, "op9_chat": op9_chat, "op10_secrets": op10_secrets}
 ORACLES: dict[str, str] = {"op2_decontaminate": decontaminate.ORACLE, "op8_mixing": mixing.ORACLE, "op9_chat": chat.ORACLE}
