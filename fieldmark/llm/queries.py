@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm import chat, decontaminate, langid, mixing, quality, secrets, simhash, substrings
+from fieldmark.llm import chat, decontaminate, langid, mixing, pages, quality, secrets, simhash, substrings
 from fieldmark.llm.common import fold, table
 
 
@@ -29,6 +29,10 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op6_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,5 +54,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_decontaminate": op2_decontaminate, "op3_substrings": op3_substrings, "op4_quality": op4_quality, "op5_langid": op5_langid, "op7_simhash": op7_simhash, "op8_mixing": op8_mixing, "op9_chat": op9_chat, "op10_secrets": op10_secrets}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_decontaminate": op2_decontaminate, "op3_substrings": op3_substrings, "op4_quality": op4_quality, "op5_langid": op5_langid, "op6_pages": op6_pages, "op7_simhash": op7_simhash, "op8_mixing": op8_mixing, "op9_chat": op9_chat, "op10_secrets": op10_secrets}
 ORACLES: dict[str, str] = {"op2_decontaminate": decontaminate.ORACLE, "op8_mixing": mixing.ORACLE, "op9_chat": chat.ORACLE}
