@@ -5,10 +5,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm import chat, decontaminate, langid, mixing, pages, quality, secrets, simhash, substrings
+from fieldmark.llm import chat, decontaminate, langid, maxent, mixing, pages, quality, secrets, simhash, substrings
 from fieldmark.llm.common import fold, table
 
 
+def op1_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 7) == 2
+    scored = maxent.score(docs.select("doc_id", "text"), docs.where(~held_out).select("doc_id", "text"))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -54,5 +61,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_decontaminate": op2_decontaminate, "op3_substrings": op3_substrings, "op4_quality": op4_quality, "op5_langid": op5_langid, "op6_pages": op6_pages, "op7_simhash": op7_simhash, "op8_mixing": op8_mixing, "op9_chat": op9_chat, "op10_secrets": op10_secrets}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_maxent": op1_maxent, "op2_decontaminate": op2_decontaminate, "op3_substrings": op3_substrings, "op4_quality": op4_quality, "op5_langid": op5_langid, "op6_pages": op6_pages, "op7_simhash": op7_simhash, "op8_mixing": op8_mixing, "op9_chat": op9_chat, "op10_secrets": op10_secrets}
 ORACLES: dict[str, str] = {"op2_decontaminate": decontaminate.ORACLE, "op8_mixing": mixing.ORACLE, "op9_chat": chat.ORACLE}
