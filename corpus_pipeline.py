@@ -1,18 +1,48 @@
 """Documents through language ID, near-dedup, decontamination, secret scans and mixing, each stage written and read again."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fieldmark.llm import simhash
+from fieldmark.llm import decontaminate, langid, mixing, secrets, simhash
 from fieldmark.llm.common import cut, table
 
+#: A prediction below this share is no prediction.
+LEAST_SCORE = 0.4
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that is told; those without a letter, or that no language's model tells apart, go.
+
+    lang becomes the predicted language. Rows that share a doc_id are judged together, by the best score.
+    """
+    model = langid.learn(docs.select("doc_id", "text", "lang"))
+    told = langid.predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    best = told.groupBy("doc_id").agg(F.max(F.struct("score", "lang_pred")).alias("x")).select("doc_id", F.col("x.lang_pred").alias("told"))
+    return docs.join(best, "doc_id").withColumn("lang", F.col("told")).select(docs.columns)
+
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component, that with the smallest doc_id."""
     return simhash.keep_one(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
-#: Language ID, fingerprints and links can't be written as SQL; tests hold each stage against brute force.
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets masked."""
+    return secrets.redact(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes, with how many copies and words."""
+    return mixing.mix(docs).where("copies > 0")
+
+
+STAGES = [("language", language), ("near_dedup", near_dedup), ("decontamination", decontamination), ("secret_scan", secret_scan), ("mixing", mixing_stage)]
+#: Language ID, fingerprints and links can't be written as SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
