@@ -1,7 +1,6 @@
 """Documents through language ID, near-dedup, decontamination, secret scans and mixing, each stage written and read again."""
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from fieldmark.llm import decontaminate, langid, mixing, secrets, simhash
 from fieldmark.llm.common import cut, table
@@ -13,12 +12,9 @@ LEAST_SCORE = 0.4
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that is told; those without a letter, or that no language's model tells apart, go.
 
-    lang becomes the predicted language. Rows that share a doc_id are judged together, by the best score.
+    lang becomes the predicted language.
     """
-    model = langid.learn(docs.select("doc_id", "text", "lang"))
-    told = langid.predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    best = told.groupBy("doc_id").agg(F.max(F.struct("score", "lang_pred")).alias("x")).select("doc_id", F.col("x.lang_pred").alias("told"))
-    return docs.join(best, "doc_id").withColumn("lang", F.col("told")).select(docs.columns)
+    return langid.keep_told(docs, langid.learn(docs.select("doc_id", "text", "lang")), LEAST_SCORE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

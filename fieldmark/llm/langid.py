@@ -185,32 +185,68 @@ def learn(labelled: DataFrame, order: int = ORDER, texts: int = SAMPLE_TEXTS, si
     return Model(langs, [_count([bytes(r["text"]) for r in rows if r["lang"] == x], order) for x in langs], order)
 
 
+def _told(model: Model, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(name, score, bits a byte) of each text."""
+    names, n = np.array([*model.langs, "und"], object), len(texts)
+    texts = [x or b"" for x in texts]
+    able = np.fromiter(map(_letters, texts), bool, n) if model.langs else np.zeros(n, bool)
+    pick, score, rate = np.full(n, len(model.langs)), np.zeros(n), np.zeros(n)
+    if able.any():
+        at = np.flatnonzero(able)
+        bits = model.bits_of([texts[i] for i in at])
+        sizes = np.array([len(texts[i]) for i in at])
+        pick[at] = bits.argmin(1)
+        rate[at] = bits.min(1) / sizes
+        gap = (bits - bits.min(1, keepdims=True)) / sizes[:, None] * np.minimum(sizes, 64)[:, None]
+        score[at] = 1 / (2.0**-gap).sum(1)
+    return names[pick], score, rate
+
+
+def _everywhere(docs: DataFrame, model: Model):
+    """() -> the model, on executors: the arrays are broadcast; the class travels with the function."""
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
+
+    def get() -> Model:
+        model = Model.__new__(Model)
+        vars(model).update(shared.value)
+        return model
+
+    return get
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, lang_pred, score, bits_per_byte), a row for each row.
 
     lang_pred is the language with the shortest code for the whole text (ties: the first by name), `und` if the text is
     null or has no letter, or nothing was learnt. score: the winner's share of 2^-(bits over the text's bytes, times up
-    to 64 bytes), 0 for `und`.
+    to 64 bytes), 0 for `und`. Other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
+    get = _everywhere(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model.__new__(Model)  # the arrays are broadcast; the class travels with this function
-        vars(model).update(shared.value)
-        names = np.array([*model.langs, "und"], object)
+        model = get()
         for b in batches:
-            texts = [x or b"" for x in b.column(1).to_pylist()]
-            n = len(texts)
-            able = np.fromiter(map(_letters, texts), bool, n) if model.langs else np.zeros(n, bool)
-            pick, score, rate = np.full(n, len(model.langs)), np.zeros(n), np.zeros(n)
-            if able.any():
-                at = np.flatnonzero(able)
-                bits = model.bits_of([texts[i] for i in at])
-                sizes = np.array([len(texts[i]) for i in at])
-                pick[at] = bits.argmin(1)
-                rate[at] = bits.min(1) / sizes
-                gap = (bits - bits.min(1, keepdims=True)) / sizes[:, None] * np.minimum(sizes, 64)[:, None]
-                score[at] = 1 / (2.0**-gap).sum(1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names[pick], pa.string()), pa.array(score), pa.array(rate)], ["doc_id", "lang_pred", "score", "bits_per_byte"])
+            name, score, rate = _told(model, b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(name, pa.string()), pa.array(score), pa.array(rate)], ["doc_id", "lang_pred", "score", "bits_per_byte"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_byte double")
+
+
+def keep_told(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of docs (text, lang, ...) that are in a language by a score of `least` or more, lang now the one told.
+
+    `und` never is. All columns stay; rows are judged one by one, nulls and repeated ids in doc_id regardless.
+    """
+    get = _everywhere(docs, model)
+    at_text, at_lang = docs.columns.index("text"), docs.columns.index("lang")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = get()
+        for b in batches:
+            name, score, _ = _told(model, b.column(at_text).cast(pa.binary()).to_pylist())
+            keep = (name != "und") & (score >= least)
+            columns = list(b.columns)
+            columns[at_lang] = pa.array(name, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names).filter(pa.array(keep.astype(bool)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -147,7 +147,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, bands: i
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of docs whose doc_id is its component's smallest; of rows that repeat a doc_id, one."""
+    """One row of docs for each component: of the smallest doc_id, and of rows that repeat that id one.
+
+    A doc_id with any row in a component of a smaller id goes, all its rows. Rows without a doc_id stay.
+    """
     found = near_duplicates(docs, shingle, radius)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    gone = found.where("doc_id > component_id").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null"))
