@@ -53,15 +53,16 @@ def punctured_balls(radius: int, bands: int) -> list[tuple[int, int, int]]:
     is punctured, one band of bits after the other, so that a band with a differing bit takes it away and half of the
     remaining, even radius does for the others. The tag fills the band with its number, so that bands don't mix.
     """
-    width, half = 64 // bands, radius // 2
-    holes = [((1 << width) - 1) << (width * k) for k in range(bands)] if radius % 2 else [0]
+    half, edges = radius // 2, [64 * k // bands for k in range(bands + 1)]
+    holes = list(zip(edges, edges[1:], strict=False)) if radius % 2 else [(0, 0)]
     out = []
-    for k, hole in enumerate(holes):
+    for k, (lo, hi) in enumerate(holes):
+        hole = (1 << hi) - (1 << lo)
         free = [1 << i for i in range(64) if not hole >> i & 1]
         balls = [0]
         for _ in range(half):
             balls = sorted({x ^ y for x in balls for y in [0, *free]})
-        out += [(~hole & (2**64 - 1), x, k << (width * k)) for x in balls]
+        out += [(~hole & (2**64 - 1), x, k << lo) for x in balls]
     return out
 
 
@@ -84,18 +85,19 @@ def spanning(members: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndar
     return out
 
 
-def links(fps: DataFrame, radius: int = 3, bands: int = 4) -> DataFrame:
+def links(fps: DataFrame, radius: int = 3, bands: int = 3) -> DataFrame:
     """fps (fp, distinct) -> (a, b): verified links within the radius; what chains of links join, these join too.
 
-    Every fingerprint emits its variants (4 bands: 4 * 49); variants are shuffled, sorted in their partitions (Spark
-    spills), and a run of equal variants is read as a stream. A run holds 49 * 2^16 different fingerprints at most
-    (26 MB); its links are a spanning forest, never all its pairs. Choose 8 bands (456 variants) from about 10^9
-    fingerprints on, when 48 bits get crowded.
+    Every fingerprint emits its variants (3 bands: 43 or 44 each); variants are shuffled, sorted in their partitions
+    (Spark spills), and a run of equal variants is read as a stream. A run holds 44 * 2^22 different fingerprints at
+    most; its links are a spanning forest, never all its pairs. Choose 4 bands (196 variants) from about 10^10
+    fingerprints on, when 42 bits get crowded.
     """
     spark = fps.sparkSession
     balls = F.array(*[F.struct(F.lit(_signed(k)).cast("long").alias("k"), F.lit(_signed(x ^ t)).cast("long").alias("x")) for k, x, t in punctured_balls(radius, bands)])
     variants = (
-        fps.select("fp", F.inline(balls))
+        fps.repartition(4 * shuffle_partitions(spark), "fp")  # a task's variants stay few enough not to spill
+        .select("fp", F.inline(balls))
         .select((F.col("fp").bitwiseAND(F.col("k"))).bitwiseXOR(F.col("x")).alias("variant"), "fp")
         .repartition(4 * shuffle_partitions(spark), "variant")
         .sortWithinPartitions("variant")
@@ -129,7 +131,7 @@ def links(fps: DataFrame, radius: int = 3, bands: int = 4) -> DataFrame:
     return variants.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, bands: int = 4, seed: int = SEED) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, bands: int = 3, seed: int = SEED) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, fingerprint, component_id), a row for each row of docs.
 
     Exact copies share a fingerprint and are collapsed before any variant is emitted. component_id is the smallest
