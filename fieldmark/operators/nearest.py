@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldmark.sources.shared import cut
+
 #: Reference points that are sent to every task (32 bytes each, 6.4 MB); beyond, a grid join is used.
 SMALL = 200_000
 
@@ -75,12 +77,14 @@ def grid_knn(query: DataFrame, reference: DataFrame, k: int = 1, coords: tuple[s
     if not box["n"]:
         return query.select(F.col("id"), F.lit(0).cast("long").alias("neighbor"), F.lit(0).alias("rank"), F.lit(0.0).alias("distance")).limit(0)
     need = min(k, box["n"])
-    extent = max(max(box[f"hi_{c}"] - box[f"lo_{c}"] for c in axes), 1e-9)
-    cell = extent / max(1.0, (box["n"] / per_cell) ** (1 / len(axes)))
     named = reference.select(F.col("id").alias("neighbor"), *[F.col(c).alias(f"r_{c}") for c in coords])
     todo, out = query, None
-    far = query.select(*[F.greatest(F.abs(F.max(c) - box[f"lo_{c}"]), F.abs(F.min(c) - box[f"hi_{c}"]), F.abs(F.min(c) - box[f"lo_{c}"]), F.abs(F.max(c) - box[f"hi_{c}"])) for c in axes]).first()
-    reach = max([x or 0 for x in far] + [extent])
+    ends = query.agg(*[F.min(c) for c in axes], *[F.max(c) for c in axes]).first()
+    if ends[0] is None:
+        return query.select(F.col("id"), F.lit(0).cast("long").alias("neighbor"), F.lit(0).alias("rank"), F.lit(0.0).alias("distance")).limit(0)
+    reach = max(max(box[f"hi_{c}"], ends[j + len(axes)]) - min(box[f"lo_{c}"], ends[j]) for j, c in enumerate(axes))
+    extent = max(max(box[f"hi_{c}"] - box[f"lo_{c}"] for c in axes), reach / 1024, 1e-9)
+    cell = extent / max(1.0, (box["n"] / per_cell) ** (1 / len(axes)))
     while True:
         spot = lambda c, size: F.floor((F.col(c) - F.lit(box[f"lo_{c.removeprefix('r_')}"])) / F.lit(size)).cast("long")
         rings = F.array(*[F.array(*[F.lit(x) for x in offset]) for offset in np.ndindex(*[3] * len(axes))])
@@ -88,16 +92,17 @@ def grid_knn(query: DataFrame, reference: DataFrame, k: int = 1, coords: tuple[s
         homes = named.select("*", *[spot(f"r_{c}", cell).alias(f"_c{j}") for j, c in enumerate(axes)])
         pairs = cells.join(homes, [f"_c{j}" for j in range(len(axes))]).withColumn("d2", _distance(coords))
         best = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("d2", "neighbor"))).where(F.col("rank") <= need)
-        last = cell > 2 * reach
+        last = cell > reach  # then a ring holds every reference point
+        best = cut(best.select("id", "neighbor", "rank", "d2"))
         sure = best.groupBy("id").agg(F.count("*").alias("m"), F.max("d2").alias("w")).where(F.lit(last) | ((F.col("m") >= need) & (F.sqrt("w") <= cell))).select("id")
         found = best.join(sure, "id").select("id", "neighbor", "rank", F.sqrt("d2").alias("distance"))
         out = found if out is None else out.union(found)
         if last:
             return out
-        todo = todo.join(sure, "id", "left_anti")
+        todo = cut(todo.join(sure, "id", "left_anti"))
         if todo.isEmpty():
             return out
-        cell *= 2
+        cell *= 4
 
 
 def geometry_summary(pred: DataFrame, truth: DataFrame, thresholds: list[float]) -> DataFrame:

@@ -484,3 +484,117 @@ def mod_inducing_predict(spark, d):
     train = T.pred(spark, d).withColumn("sdf", S.sdf(F.col("x"), F.col("y"), F.col("z"), "sphere"))
     model = gp.fit("inducing", train, gp.Params(lengthscale=0.5), inducing=64)
     return rounded(splats.posterior(gp.predict(T.truth(spark, d), model)).select("id", "mean", "variance", "distance", "band_probability"), 4)
+
+
+# --- cameras, pixels, voxels
+
+POSE = [[0.8, 0.0, 0.6, 0.1], [0.0, 1.0, 0.0, -0.3], [-0.6, 0.0, 0.8, 1.5]]
+PROJECTED = """, cam AS (SELECT id, 0.8::DOUBLE * x + 0.6::DOUBLE * z + 0.1::DOUBLE AS a, y - 0.3::DOUBLE AS b, -0.6::DOUBLE * x + 0.8::DOUBLE * z + 1.5::DOUBLE AS c FROM pred),
+proj AS (SELECT id, 40 * a / c + 32 AS u, 40 * b / c + 24 AS v, c AS depth FROM cam WHERE c > 0.001)"""
+
+
+def _projected(spark, d):
+    from fieldmark.operators import render
+
+    return render.project(T.pred(spark, d), POSE, 40.0, 40.0, 32.0, 24.0)
+
+
+@query(oracle("pred", "").rstrip() + PROJECTED + f" SELECT id, {r('u', 'u')}, {r('v', 'v')}, {r('depth', 'depth')} FROM proj")
+def scl_pinhole_pose(spark, d):
+    return rounded(_projected(spark, d).where("valid").select("id", "u", "v", "depth"))
+
+
+@query(oracle("pred", "").rstrip() + PROJECTED + f" SELECT 1 AS frame, (SELECT count(*) FROM pred) AS n, count(*) AS valid, count(*) FILTER (WHERE u BETWEEN 0 AND 63 AND v BETWEEN 0 AND 47) AS in_frame, {r('avg(depth)', 'depth_mean')}, {r('min(depth)', 'depth_min')} FROM proj")
+def agg_projection_stats(spark, d):
+    from fieldmark.operators import render
+
+    return rounded(render.projection_stats(_projected(spark, d).withColumn("frame", F.lit(1)), ["frame"], 64, 48).select("frame", "n", "valid", "in_frame", "depth_mean", "depth_min"))
+
+
+CELLS = """, k AS (SELECT unnest(range(-2, 3)) AS o), cell AS (SELECT id, u, v, depth, floor(u) + a.o AS px, floor(v) + b.o AS py FROM proj, k a, k b),
+near AS (SELECT * FROM cell WHERE px BETWEEN 0 AND 63 AND py BETWEEN 0 AND 47), t AS (SELECT *, 0.3::DOUBLE * exp(-0.5::DOUBLE * ((px + 0.5 - u) * (px + 0.5 - u) + (py + 0.5 - v) * (py + 0.5 - v))) AS t FROM near)"""
+
+
+@query(oracle("pred", "").rstrip() + PROJECTED + CELLS + f""", w AS (SELECT *, exp(-coalesce(sum(t) OVER (PARTITION BY px, py ORDER BY depth, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * (1 - exp(-t)) AS w FROM t)
+SELECT CAST(px AS INT) AS px, CAST(py AS INT) AS py, {r('sum(w * (id % 10) / 10::DOUBLE) + (1 - sum(w))', 'value', 5)}, {r('sum(w)', 'alpha', 5)} FROM w GROUP BY px, py""")
+def mod_composite(spark, d):
+    from fieldmark.operators import render
+
+    p = _projected(spark, d).withColumns({"sigma_px": F.lit(1.0), "tau": F.lit(0.3), "value": (F.col("id") % 10) / 10.0})
+    return rounded(render.composite(p, 64, 48, 2), 5)
+
+
+@query(oracle("pred", "").rstrip() + PROJECTED + CELLS + f" SELECT {r('count(DISTINCT (floor(px / 2), floor(py / 2))) / 768::DOUBLE', 'coverage')} FROM near WHERE (px + 0.5 - u) * (px + 0.5 - u) + (py + 0.5 - v) * (py + 0.5 - v) <= 4")
+def agg_coverage(spark, d):
+    from fieldmark.operators import render
+
+    return rounded(render.coverage(_projected(spark, d).withColumn("sigma_px", F.lit(1.0)), 64, 48, 2, 2))
+
+
+VOXELS = """, o AS (SELECT unnest(range(-3, 4)) AS o), b AS (SELECT *, CAST(floor((x + 0.5::DOUBLE) / 0.25::DOUBLE) AS INT) AS bi, CAST(floor((y + 0.5::DOUBLE) / 0.25::DOUBLE) AS INT) AS bj, CAST(floor((z + 0.5::DOUBLE) / 0.25::DOUBLE) AS INT) AS bk FROM pred),
+c AS (SELECT x, y, z, CAST(bi + a.o AS INT) AS i, CAST(bj + e.o AS INT) AS j, CAST(bk + g.o AS INT) AS k FROM b, o a, o e, o g),
+g AS (SELECT i, j, k, 1 - exp(-sum(0.01::DOUBLE * exp(-0.5::DOUBLE * ((x + 0.5::DOUBLE - (i + 0.5) * 0.25::DOUBLE) * (x + 0.5::DOUBLE - (i + 0.5) * 0.25::DOUBLE) + (y + 0.5::DOUBLE - (j + 0.5) * 0.25::DOUBLE) * (y + 0.5::DOUBLE - (j + 0.5) * 0.25::DOUBLE) + (z + 0.5::DOUBLE - (k + 0.5) * 0.25::DOUBLE) * (z + 0.5::DOUBLE - (k + 0.5) * 0.25::DOUBLE)) / 0.04::DOUBLE))) AS opacity
+  FROM c WHERE i BETWEEN 0 AND 7 AND j BETWEEN 0 AND 7 AND k BETWEEN 0 AND 7 GROUP BY i, j, k)"""
+
+
+@query(oracle("pred", "").rstrip() + VOXELS + f" SELECT i, j, k, {r('opacity', 'opacity', 5)} FROM g")
+def mod_opacity_grid(spark, d):
+    from fieldmark.operators import render
+
+    p = T.pred(spark, d).withColumns({"sigma": F.lit(0.2), "alpha": F.lit(0.01)})
+    return rounded(render.opacity_grid(p, -0.5, 1.5, 8).select("i", "j", "k", "opacity"), 5)
+
+
+@query("WITH v AS (SELECT DISTINCT l_linenumber AS i, CAST(l_quantity AS INT) // 10 AS j, CAST(round(l_discount * 100) AS INT) // 4 AS k FROM lineitem WHERE l_orderkey % 50 = 0), f AS (SELECT *, a AS axis, s AS side FROM v, (SELECT unnest([0, 1, 2]) AS a), (SELECT unnest([-1, 1]) AS s)) SELECT f.i, f.j, f.k, axis, side FROM f WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.i = f.i + CASE WHEN axis = 0 THEN side ELSE 0 END AND v.j = f.j + CASE WHEN axis = 1 THEN side ELSE 0 END AND v.k = f.k + CASE WHEN axis = 2 THEN side ELSE 0 END)")
+def mod_boundary_faces(spark, d):
+    from fieldmark.operators import render
+
+    li = spark.read.parquet(f"{d}/lineitem.parquet").where("l_orderkey % 50 = 0")
+    v = li.select(F.col("l_linenumber").alias("i"), F.expr("cast(cast(l_quantity as int) div 10 as int)").alias("j"), F.expr("cast(cast(round(l_discount * 100) as int) div 4 as int)").alias("k")).distinct()
+    return render.boundary_faces(v)
+
+
+@query(f"WITH p AS (SELECT c_custkey // 40 AS y, c_custkey % 40 AS x, c_acctbal AS value FROM customer) SELECT y, x, {r('sqrt(power(value - coalesce(lag(value) OVER (PARTITION BY y ORDER BY x), value), 2) + power(value - coalesce(lag(value) OVER (PARTITION BY x ORDER BY y), value), 2))', 'gradient', 4)} FROM p")
+def scl_gradient_magnitude(spark, d):
+    from fieldmark.operators import render
+
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    p = c.select(F.lit(0).alias("frame"), F.expr("c_custkey div 40").alias("y"), (F.col("c_custkey") % 40).alias("x"), F.col("c_acctbal").alias("value"))
+    return rounded(render.gradient_magnitude(p).select("y", "x", "gradient"), 4)
+
+
+@query(oracle("field", f""", q AS (SELECT id, gx / n AS w, gy / n AS a, gz / n AS b, mean / n AS c FROM (SELECT *, sqrt(gx * gx + gy * gy + gz * gz + mean * mean) AS n FROM field))
+SELECT id, {r('1 - 2 * (b * b + c * c)', 'r00')}, {r('2 * (a * b - w * c)', 'r01')}, {r('2 * (b * c - w * a)', 'r12')} FROM q""").replace(") , q", "), q").replace("AS gz FROM orders) ,", "AS gz FROM orders),"))
+def scl_quaternion(spark, d):
+    m = S.rotation([F.col(c) for c in ("gx", "gy", "gz", "mean")])
+    return rounded(T.field(spark, d).select("id", m[0][0].alias("r00"), m[0][1].alias("r01"), m[1][2].alias("r12")))
+
+
+@query(oracle("ev", "SELECT id, CAST(active AS BOOLEAN) AS active, CASE WHEN active THEN least(1, (id - 100 + 1) / 50::DOUBLE) ELSE 0 END + 0.0::DOUBLE AS weight FROM (SELECT id, id BETWEEN 100 AND 900 AND (id - 100) % 10 = 0 AS active FROM ev WHERE id < 2000)"))
+def flt_schedule(spark, d):
+    from fieldmark.streaming.scoring import schedule
+
+    return schedule(T.ev(spark, d).where("id < 2000").select("id", F.col("id").alias("iteration")), 100, 900, 10, 50).select("id", "active", "weight")
+
+
+@query(oracle("ev", f"SELECT date_trunc('hour', ts) AS start, kind, count(*) AS n, {r('avg(value)', 'mean')} FROM ev GROUP BY 1, 2"))
+def str_windowed(spark, d):
+    from fieldmark.streaming.scoring import windowed
+
+    return rounded(windowed(T.ev(spark, d), "ts", ["kind"], "value"))
+
+
+@query()
+def srt_diverse(spark, d):
+    from fieldmark.operators.diverse import select_diverse
+
+    return select_diverse(T.pred(spark, d).withColumn("score", (F.col("id") % 101) / 101.0), "score", 0.1, 200)
+
+
+@query()
+def agg_ssim(spark, d):
+    from fieldmark.operators import render
+
+    c = spark.read.parquet(f"{d}/customer.parquet").where("c_custkey < 1440")
+    p = c.select((F.expr("c_custkey div 720")).alias("frame"), F.expr("(c_custkey % 720) div 36").alias("y"), (F.col("c_custkey") % 36).alias("x"), (F.col("c_acctbal") / 10000).alias("a"), (F.col("c_nationkey") / 25.0).alias("b"))
+    return rounded(render.ssim(p))
