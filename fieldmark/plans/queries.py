@@ -598,3 +598,67 @@ def agg_ssim(spark, d):
     c = spark.read.parquet(f"{d}/customer.parquet").where("c_custkey < 1440")
     p = c.select((F.expr("c_custkey div 720")).alias("frame"), F.expr("(c_custkey % 720) div 36").alias("y"), (F.col("c_custkey") % 36).alias("x"), (F.col("c_acctbal") / 10000).alias("a"), (F.col("c_nationkey") / 25.0).alias("b"))
     return rounded(render.ssim(p))
+
+
+# --- workflows
+
+
+RANKED = oracle("pred truth", "").rstrip() + f""", {NN}, d AS (SELECT id, min(distance) AS distance FROM nn GROUP BY id), s AS (SELECT p.id, distance, ((p.id * 37) % 101) / 101::DOUBLE AS score, row_number() OVER (ORDER BY (p.id * 37) % 101 DESC, p.id) AS rn FROM pred p JOIN d USING (id)),
+k AS (SELECT f, greatest(1, CAST(ceil(f * (SELECT count(*) FROM pred)) AS BIGINT)) AS k FROM (SELECT unnest([0.1::DOUBLE, 0.5::DOUBLE, 1::DOUBLE]) AS f)), t AS (SELECT unnest([0.1::DOUBLE, 0.2::DOUBLE]) AS t),
+c AS (SELECT f, neighbor, min(nn.distance) AS d FROM nn JOIN s ON s.id = nn.id JOIN k ON rn <= k GROUP BY f, neighbor),
+a AS (SELECT f, k, t, min(score) AS lo, avg(score) AS me, avg(distance) AS am, avg(CAST(distance <= t AS INT)) AS p FROM s JOIN k ON rn <= k, t GROUP BY f, k, t),
+b AS (SELECT f, t, avg(CAST(d <= t AS INT)) AS r FROM c, t GROUP BY f, t)
+SELECT 'score' AS score_name, a.f AS fraction, k, {r('k / (SELECT count(*) FROM pred)::DOUBLE', 'retention_fraction')}, {r('lo', 'score_min')}, {r('me', 'score_mean')}, {r('am', 'accuracy_mean')}, a.t AS threshold, {r('p', 'precision')}, {r('r', 'recall')}, {r('CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END', 'f_score')} FROM a JOIN b ON a.f = b.f AND a.t = b.t"""
+
+
+@query(RANKED)
+def wfl_ranked_table(spark, d):
+    from fieldmark.plans import workflows
+
+    p, t = T.pred(spark, d), T.truth(spark, d)
+    scored = p.join(nearest.knn(p, t).select("id", "distance"), "id").withColumn("score", ((F.col("id") * 37) % 101) / 101.0)
+    return rounded(workflows.ranked_table(scored, t, ["score"], [0.1, 0.2], [0.1, 0.5, 1.0]))
+
+
+@query()
+def wfl_gate_sweep(spark, d):
+    from fieldmark.plans import workflows
+
+    p = T.pred(spark, d).withColumn("gate", ((F.col("id") * 37) % 101) / 101.0)
+    return rounded(workflows.gate_sweep(p, T.truth(spark, d), "gate", [0.25, 0.75], [0.1, 0.2]))
+
+
+@query()
+def wfl_calibration(spark, d):
+    from fieldmark.plans import workflows
+
+    e = T.ev(spark, d).select("id", "g", "p", F.col("value").alias("v"), "y")
+    return rounded(workflows.calibrate(e, "y", ["p"], ["p", "v"], "g")[0])
+
+
+@query()
+def wfl_field_diagnostics(spark, d):
+    from fieldmark.operators import gp
+    from fieldmark.plans import workflows
+
+    train = T.pred(spark, d).withColumn("sdf", S.sdf(F.col("x"), F.col("y"), F.col("z"), "sphere"))
+    model = gp.fit("inducing", train, gp.Params(lengthscale=0.5), inducing=27)
+    return rounded(workflows.best_fractions(workflows.field_diagnostics(T.pred(spark, d).where("id % 4 = 0"), T.truth(spark, d), model, [0.1], [0.25, 1.0])[1]), 3)
+
+
+@query(oracle("variants", "SELECT variant, mean_psnr, coalesce(b.price, CAST(a.retained_count AS DOUBLE)) AS amount FROM variants a FULL JOIN (SELECT 'NO1' AS variant, 1.5::DOUBLE AS price UNION ALL SELECT 'ZZ9', 2.5::DOUBLE) b USING (variant)"))
+def jon_comparison_table(spark, d):
+    from fieldmark.plans import workflows
+
+    v = T.variants(spark, d).withColumn("amount", F.col("retained_count").cast("double"))
+    other = spark.createDataFrame([("NO1", 1.5), ("ZZ9", 2.5)], "variant string, amount double")
+    return workflows.comparison_table({"a": v, "b": other}, "variant", {"mean_psnr": ["a"], "amount": ["b", "a"]})
+
+
+@query(oracle("variants", "SELECT variant, CASE WHEN step = 1 THEN 0.5::DOUBLE ELSE mean_psnr END AS mean_psnr, CASE WHEN step = 1 THEN 'x' END AS note FROM variants"))
+def jon_case_table(spark, d):
+    from fieldmark.plans import workflows
+
+    v = T.variants(spark, d)
+    evidence = v.where("step = 1").select("variant", F.lit(0.5).alias("mean_psnr"), F.lit("x").alias("note"))
+    return workflows.case_table(v.select("variant", "mean_psnr"), [evidence], "variant")
