@@ -662,3 +662,52 @@ def jon_case_table(spark, d):
     v = T.variants(spark, d)
     evidence = v.where("step = 1").select("variant", F.lit(0.5).alias("mean_psnr"), F.lit("x").alias("note"))
     return workflows.case_table(v.select("variant", "mean_psnr"), [evidence], "variant")
+
+
+# --- cameras
+
+
+@query(oracle("pred truth", "").rstrip() + f", {NN} SELECT id, camera, {r('distance', 'distance')} FROM (SELECT id, neighbor AS camera, distance, row_number() OVER (PARTITION BY id ORDER BY distance, neighbor) AS k FROM nn) WHERE k = 1")
+def jon_nearest_camera(spark, d):
+    from fieldmark.operators import cameras
+
+    return rounded(cameras.nearest_camera(T.pred(spark, d), T.truth(spark, d)))
+
+
+TRACKS = ", trk AS (SELECT id, camera FROM pred p JOIN (SELECT id AS camera FROM truth) c ON p.id % 3 = 0 AND (c.camera = p.id % 7 + 1 OR c.camera = p.id % 11 + 1)), have AS (SELECT DISTINCT id FROM trk)"
+
+
+@query(oracle("pred truth", "").rstrip() + f", {NN}" + TRACKS + f""", c AS (SELECT id, camera, distance FROM trk JOIN nn ON nn.id = trk.id AND nn.neighbor = trk.camera),
+near AS (SELECT id, min(distance) AS least FROM nn GROUP BY id), r AS (SELECT nn.id, neighbor AS camera, distance FROM nn JOIN near ON near.id = nn.id WHERE distance <= 1.5::DOUBLE * least AND nn.id NOT IN (SELECT id FROM have))
+SELECT id, camera, {r('distance', 'distance')} FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, camera) AS k FROM (SELECT trk.id, trk.camera, nn.distance FROM trk JOIN nn ON nn.id = trk.id AND nn.neighbor = trk.camera UNION ALL SELECT * FROM r)) WHERE k <= 2""".replace("c AS (SELECT id, camera, distance FROM trk JOIN nn ON nn.id = trk.id AND nn.neighbor = trk.camera),\n", ""))
+def jon_ray_cameras(spark, d):
+    from fieldmark.operators import cameras
+
+    i = F.col("id")
+    p = T.pred(spark, d).withColumn("track_image_ids", F.when(i % 3 == 0, F.array(i % 7 + 1, i % 11 + 1)).otherwise(F.array().cast("array<bigint>")))
+    images = T.truth(spark, d).select(F.col("id").alias("image_id"), F.col("id").alias("camera"))
+    return rounded(cameras.ray_cameras(p, T.truth(spark, d), images, 2))
+
+
+@query(oracle("ev", "SELECT CASE WHEN value < 1 THEN 'blank_render' WHEN p < 0.1::DOUBLE THEN 'behind_camera' WHEN value < 8 THEN 'off_frame' WHEN g % 10 = 0 THEN 'low_coverage' WHEN kind = 'view' THEN 'missing_metric' WHEN value < 30 THEN 'low_psnr' ELSE 'none' END AS mode, count(*) AS frames, round(avg(value), 6) + 0.0::DOUBLE AS mean_value FROM ev GROUP BY 1"))
+def scl_failure_mode(spark, d):
+    from fieldmark.operators import cameras
+
+    v = F.col("value")
+    mode = cameras.failure_mode(F.when(F.col("kind") != "view", v), F.when(F.col("p") < 0.1, 0.0).otherwise(1.0), F.when(v < 8, 0.0).otherwise(1.0), F.when(F.col("g") % 10 == 0, 0.0).otherwise(1.0), v < 1, 30.0)
+    return rounded(cameras.alignment_summary(T.ev(spark, d).withColumn("mode", mode), "mode", ["value"]))
+
+
+@query(oracle("variants", "SELECT kind, 'mean_psnr' AS metric, count(*) AS rows, count(*) - count(mean_psnr) AS missing, min(mean_psnr) AS worst_low, max(mean_psnr) AS worst_high, min(mean_psnr) >= 25.2::DOUBLE AS passed FROM variants GROUP BY kind UNION ALL SELECT kind, 'mean_lpips_vgg', count(*), count(*) - count(mean_lpips_vgg), min(mean_lpips_vgg), max(mean_lpips_vgg), false FROM variants GROUP BY kind"))
+def agg_checks(spark, d):
+    from fieldmark.operators import cameras
+
+    return cameras.checks(T.variants(spark, d), {"mean_psnr": (25.2, None), "mean_lpips_vgg": (None, 1.0)}, ["kind"])
+
+
+@query(oracle("pred", f"""SELECT id, CAST((0.8::DOUBLE * x + 0.6::DOUBLE * z + 0.1::DOUBLE) / (1.5::DOUBLE - 0.6::DOUBLE * x + 0.8::DOUBLE * z) * 40 + 32 BETWEEN 0 AND 39 AS INT) * CAST((y - 0.3::DOUBLE) / (1.5::DOUBLE - 0.6::DOUBLE * x + 0.8::DOUBLE * z) * 40 + 24 BETWEEN 0 AND 47 AS INT) + CAST(x / (z + 1) * 10 BETWEEN 0 AND 3 AND y / (z + 1) * 10 BETWEEN 0 AND 9 AS INT) AS views FROM pred"""))
+def jon_view_counts(spark, d):
+    from fieldmark.operators import cameras
+
+    frames = spark.createDataFrame([(0, [float(v) for row in POSE for v in row], 40.0, 40.0, 32.0, 24.0, 40.0, 48.0), (1, [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 1.0], 10.0, 10.0, 0.0, 0.0, 4.0, 10.0)], "frame int, m array<double>, fx double, fy double, cx double, cy double, w double, h double")
+    return cameras.view_counts(T.pred(spark, d), frames)
