@@ -96,15 +96,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     own = ["size", "source_size", "target", "copies", "taken"]
     sized = docs.drop(*own).withColumn("size", n_words(F.col("text")))
     sizes = cut(sized.select("doc_id", "source", "size"))
-    found = plan(sizes, weights, share, most, seed).withColumnRenamed("source", "plan_source")
-    u, p = uniform(F.col("doc_id"), seed), F.col("part")
+    found = plan(sizes, weights, share, most, seed)
+    found = found.select(*[F.col(c).alias(f"_mix_{c}") for c in found.columns])
+    u, p = uniform(F.col("doc_id"), seed), F.col("_mix_part")
     q = (u / (1 - u)) / (p / (1 - p))
     v = q / (1 + q)
-    more = F.when(p > 0, (v < F.col("last_v")) | ((v == F.col("last_v")) & (F.coalesce("doc_id", F.lit(-(2**63))) <= F.col("last_id")))).otherwise(False)
-    copies = (F.col("whole") + F.coalesce(more, F.lit(False)).cast("long")).cast("long")
+    more = F.when(p > 0, (v < F.col("_mix_last_v")) | ((v == F.col("_mix_last_v")) & (F.coalesce("doc_id", F.lit(-(2**63))) <= F.col("_mix_last_id")))).otherwise(False)
+    copies = (F.col("_mix_whole") + F.coalesce(more, F.lit(False)).cast("long")).cast("long")
     return (
-        sized.join(bounded(found), F.col("source").eqNullSafe(F.col("plan_source")))
-        .withColumn("copies", copies)
+        sized.join(bounded(found), F.col("source").eqNullSafe(F.col("_mix_source")))
+        .withColumns({"copies": copies, "source_size": F.col("_mix_source_size"), "target": F.col("_mix_target")})
         .withColumn("taken", F.col("copies") * F.col("size"))
         .select(*[c for c in docs.columns if c not in own], "size", "source_size", "target", "copies", "taken")
     )

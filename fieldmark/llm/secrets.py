@@ -108,8 +108,8 @@ def _entropic(text: Column, window: int, allowed: tuple[str, ...]) -> Column:
     return F.concat(*out)
 
 
-def scan(docs: DataFrame, window: int = WINDOW, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
-    """docs (doc_id, text, ...) -> docs with spans: array<struct<start, rank, end, kind>>, sorted.
+def scan(docs: DataFrame, window: int = WINDOW, allowed: tuple[str, ...] = ALLOWED, name: str = "spans") -> DataFrame:
+    """docs (doc_id, text, ...) -> docs with spans (or `name`): array<struct<start, rank, end, kind>>, sorted.
 
     Kinds are assign, access, hex (the fixed patterns: leftmost matches that don't overlap within their kind) and
     entropy (windows of high entropy in candidates of a character class, merged, unless the candidate is on the
@@ -119,7 +119,7 @@ def scan(docs: DataFrame, window: int = WINDOW, allowed: tuple[str, ...] = ALLOW
     text = F.coalesce("text", F.lit(""))
     kinds = [(kind, _matches(text, pattern, group, least)) for kind, pattern, group, least in PATTERNS] + [("entropy", _entropic(text, window, allowed))]
     named = [F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind"))) for k, (kind, found) in enumerate(kinds)]  # noqa: B023
-    return docs.withColumn("spans", F.array_sort(F.concat(*named)))
+    return docs.withColumn(name, F.array_sort(F.concat(*named)))
 
 
 def _line(spans: Column) -> Column:
@@ -138,7 +138,7 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """docs (doc_id, text, n_chars, ...) -> the same rows; each stretch that spans cover is one mask, n_chars follows."""
-    scanned = scan(docs)
+    scanned = scan(docs, name="_secret_spans")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
     step = lambda s, x: F.when(x["end"] <= s["at"], s).otherwise(
         F.struct(
@@ -146,7 +146,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
             F.concat(s["text"], F.when((x["start"] < s["at"]) | (x["start"] == s["at"]) & (s["at"] > 0), F.lit("")).otherwise(F.concat(F.substring(F.col("text"), s["at"] + 1, x["start"] - s["at"]), F.lit(mask)))).alias("text"),
         )
     )
-    masked = let(F.aggregate("spans", zero, step), lambda s: F.concat(s["text"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    clean = scanned.withColumn("text", F.when(F.size("spans") > 0, masked).otherwise(F.col("text")))
-    counted = clean.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else clean
+    masked = let(F.aggregate("_secret_spans", zero, step), lambda s: F.concat(s["text"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
+    clean = scanned.withColumn("text", F.when(F.size("_secret_spans") > 0, masked).otherwise(F.col("text")))
+    counted = clean.withColumn("n_chars", F.when(F.size("_secret_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else clean
     return counted.select(docs.columns)
