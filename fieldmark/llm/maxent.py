@@ -20,7 +20,7 @@ HEAD = 200_000
 CLASSES, OWN = 32, 16
 #: Rows of weights that features are hashed to.
 ROWS = 1 << 13
-RATE, BATCH, FLUSH = 0.2, 4096, 100_000
+RATE, BATCH, FLUSH = 0.2, 16_384, 100_000
 END = b""
 FEATURES = 4
 
@@ -50,6 +50,22 @@ def count(docs: DataFrame) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _least(counts: DataFrame, size: int) -> int:
+    """The smallest count that no more than `size` words have or exceed. How many words have a count is tallied in bands
+    of counts (all up to 64, then 64 to an octave), of which there are a few thousand however large the corpus."""
+    octave = F.floor(F.log2(F.col("n").cast("double")))
+    step = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), octave - 6))
+    bands = counts.groupBy((F.ceil(F.col("n") / step) * step).cast("long").alias("n")).agg(F.count("*").alias("words"), F.max("n").alias("most")).collect()
+    total, least = 0, None
+    for r in sorted(bands, key=lambda r: -r["n"]):
+        total += r["words"]
+        if total > size:
+            break
+        least = r["n"]
+    above = [r["most"] for r in bands if least is None or r["n"] < least]
+    return (max(above) + 1 if above else 1) if bands else 1
+
+
 def classes(head: dict[bytes, int]) -> tuple[dict[bytes, int], np.ndarray]:
     """({word: class} of words that are a class of their own, class by the last two bytes of any other).
 
@@ -71,32 +87,58 @@ def _ending(word: bytes) -> int:
     return int.from_bytes(word[-2:], "big")
 
 
-def _classes_of(words: list[bytes], own: dict[bytes, int], table: np.ndarray) -> np.ndarray:
-    k = np.fromiter(map(own.get, words, repeat(-1)), np.int8, len(words))
-    other = np.flatnonzero(k < 0)
-    if len(other):
-        k[other] = table[np.fromiter((_ending(words[i]) for i in other.tolist()), np.int64, len(other))]
-    return k
+class Codes(dict):
+    """word -> crc32 + class * 2^32; the commonest words of a task are looked up, not computed again."""
+
+    MOST = 300_000
+
+    def __init__(self, own: dict[bytes, int], table: np.ndarray):
+        super().__init__()
+        self.own, self.table = own, table.tolist()
+
+    def __missing__(self, word: bytes) -> int:
+        k = self.own.get(word)
+        code = zlib.crc32(word) | (self.table[_ending(word)] if k is None else k) << 32
+        if len(self) < self.MOST:
+            self[word] = code
+        return code
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(crc32, class) of each word."""
+        found = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        return found & np.uint64(0xFFFFFFFF), (found >> np.uint64(32)).astype(np.int8)
 
 
-def _features(words: list[bytes]) -> np.ndarray:
-    """Rows of weights for each token: the word before, the two before, and skips to the second and third before."""
-    ids = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
-    back = [np.concatenate((np.full(k, 1, np.uint64), ids))[: len(ids)] for k in (1, 2, 3)]
+def _features(ids: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
+    """Rows of weights for each token: the word before, the two before, and skips to the second and third before.
+
+    starts: where texts start; what stands before them is a mark that is no word's.
+    """
+    none, n = np.uint64(1), len(ids)
+    back = []
+    for k in (1, 2, 3):
+        x = np.empty(n, np.uint64)
+        x[k:] = ids[: n - k] if n > k else ids[:0]
+        x[:k] = none
+        if starts is not None:
+            for j in range(k):
+                at = starts + j
+                x[at[at < np.append(starts[1:], n)]] = none
+        back.append(x)
     mixed = (back[0], back[0] * np.uint64(0x9E3779B1) + back[1], back[1] + np.uint64(0x5BD1E995), back[2] + np.uint64(0x27D4EB2F))
-    out = np.empty((len(ids), FEATURES), np.int32)
+    out = np.empty((FEATURES, n), np.intp)
     for k, x in enumerate(mixed):
-        out[:, k] = (((x + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(ROWS)
+        out[k] = (((x + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(ROWS)
     return out
 
 
 def _logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights[rows[:, 0]]
+    """Of each token and class; kept where exp holds in single precision, so no largest has to be taken off."""
+    z = weights.take(rows[0], axis=0)
     for k in range(1, FEATURES):
-        z += weights[rows[:, k]]
+        z += weights.take(rows[k], axis=0)
     z += bias
-    z -= z.max(1, keepdims=True)
-    return z
+    return np.clip(z, -60, 60, out=z)
 
 
 class Learner:
@@ -111,14 +153,14 @@ class Learner:
         p = np.exp(_logits(self.weights, self.bias, rows))
         p /= p.sum(1, keepdims=True)
         p[np.arange(len(target)), target] -= 1
-        for k in range(FEATURES):
-            order = np.argsort(rows[:, k], kind="stable")
-            sorted_ = rows[order, k]
-            starts = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
-            g, at = np.add.reduceat(p[order], starts, axis=0), sorted_[starts]
-            self.squares[at] += (g * g).mean(1)
-            self.weights[at] -= (RATE / np.sqrt(self.squares[at]))[:, None] * g
-            self.seen[at] += np.diff(np.append(starts, len(sorted_)))
+        at, by_class = rows.ravel(), np.ascontiguousarray(p.T, np.float64)
+        g = np.empty((CLASSES, ROWS))
+        for k in range(CLASSES):
+            g[k] = np.bincount(at, np.tile(by_class[k], FEATURES), ROWS)
+        self.squares += (g * g).mean(0)
+        g *= RATE / np.sqrt(self.squares)
+        self.weights -= g.T
+        self.seen += np.bincount(at, minlength=ROWS)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
@@ -167,11 +209,12 @@ def train(docs: DataFrame, own: dict[bytes, int], table: np.ndarray, totals: np.
 
         def learn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             weights, bias, own, table = shared.value
-            mine = Learner(weights, bias)
+            mine, codes = Learner(weights, bias), Codes(own, table)
             for words in _runs(batches):
-                rows, target = _features(words), _classes_of(words, own, table)
+                ids, target = codes.of(words)
+                rows = _features(ids)
                 for s in range(0, len(words), BATCH):
-                    mine.step(rows[s : s + BATCH], target[s : s + BATCH])
+                    mine.step(rows[:, s : s + BATCH], target[s : s + BATCH])
             if mine.seen.any():
                 scaled = mine.weights * mine.seen[:, None]
                 yield from add((k, scaled[k * size : (k + 1) * size].tobytes(), mine.seen[k * size : (k + 1) * size].tobytes()) for k in range(blocks))
@@ -199,15 +242,15 @@ def score(docs: DataFrame, training: DataFrame, head_size: int = HEAD, rounds: i
     counts = cut(count(training))
     whole = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n_all, v_all = whole["n"] or 0, whole["v"]
-    head = {bytes(r["word"]): r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(head_size).collect()}
+    head = {bytes(r["word"]): r["n"] for r in counts.where(F.col("n") >= _least(counts, head_size)).collect()}
     own, table = classes(head)
     kinds = spark.sparkContext.broadcast((own, table))
 
     def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, table = kinds.value
-        n, v = np.zeros(CLASSES), np.zeros(CLASSES)
+        n, v, codes = np.zeros(CLASSES), np.zeros(CLASSES), Codes(own, table)
         for b in batches:
-            k = _classes_of(b.column(0).to_pylist(), own, table)
+            k = codes.of(b.column(0).to_pylist())[1]
             n += np.bincount(k, b.column(1).to_numpy(), CLASSES)
             v += np.bincount(k, minlength=CLASSES)
         yield pa.RecordBatch.from_arrays([pa.array(range(CLASSES), pa.int32()), pa.array(n), pa.array(v)], ["k", "n", "v"])
@@ -222,26 +265,44 @@ def score(docs: DataFrame, training: DataFrame, head_size: int = HEAD, rounds: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias, own, table, within, logs = shared.value
-        row = TaskContext.get().partitionId() << 40
-        for b in batches:
+        row, codes, nan = TaskContext.get().partitionId() << 40, Codes(own, table), math.nan
+
+        def some(docs: list[tuple]) -> list[tuple]:
+            """Rows of some whole texts, their tokens taken together."""
+            words = [w for _, t in docs for w in t]
+            starts = np.cumsum([0, *[len(t) for _, t in docs[:-1]]])
+            ids, target = codes.of(words)
+            rows, found = _features(ids, starts), np.empty(len(words))
+            for s in range(0, len(words), BATCH):
+                z, t = _logits(weights, bias, rows[:, s : s + BATCH]), target[s : s + BATCH]
+                of = z[np.arange(len(t)), t]
+                found[s : s + BATCH] = of - np.log(np.exp(z, out=z).sum(1))
+            found = found / math.log(10) - within[target]
+            common = np.fromiter(map(logs.get, words, repeat(nan)), np.float64, len(words))
+            rare = np.isnan(common)
+            common[rare] = 0
+            sums = [np.add.reduceat(x, starts) for x in (common, found)]
+            known = np.add.reduceat((~rare).astype(np.int64), starts)
+            of_doc, rare = np.searchsorted(starts, np.flatnonzero(rare), "right") - 1, np.flatnonzero(rare)
+            edges = np.searchsorted(of_doc, np.arange(len(docs) + 1))
             out = []
+            for k, (doc_id, t) in enumerate(docs):
+                counted = Counter([words[i] for i in rare[edges[k] : edges[k + 1]].tolist()])
+                out.append((doc_id, len(t), int(known[k]), float(sums[0][k]), float(sums[1][k]), list(counted), list(counted.values())))
+            return out
+
+        for b in batches:
+            out, held, size = [], [], 0
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                words, row, found = tokens(text.as_py()), row + 1, 0.0
-                rows, target = _features(words), _classes_of(words, own, table)
-                for s in range(0, len(words), BATCH):
-                    z = _logits(weights, bias, rows[s : s + BATCH])
-                    t = target[s : s + BATCH]
-                    found += float((z[np.arange(len(t)), t] - np.log(np.exp(z).sum(1))).sum(dtype=np.float64)) / math.log(10)
-                found -= float(within[target].sum())
-                common, known, rare, times = 0.0, 0, [], []
-                for w, n in Counter(words).items():
-                    if (x := logs.get(w)) is None:
-                        rare.append(w)
-                        times.append(n)
-                    else:
-                        common += n * x
-                        known += n
-                out.append((row, doc_id, len(words), known, common, found, rare, times))
+                held.append((doc_id, tokens(text.as_py())))
+                size += len(held[-1][1])
+                if size >= 8 * BATCH:
+                    out += some(held)
+                    held, size = [], 0
+            if held:
+                out += some(held)
+            out = [(row + k, *x) for k, x in enumerate(out)]
+            row += len(out)
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
             names = ["row", "doc_id", "n_tokens", "known", "common", "context", "rare", "times"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types], names)

@@ -60,7 +60,7 @@ def clashing(docs):
     """The same rows, with columns that have the names operators use inside."""
     from pyspark.sql import functions as F
 
-    return docs.withColumns({c: F.lit(c) for c in ("fp", "size", "h", "n", "v", "spans", "place", "row", "word", "kept", "component_id", "target")})
+    return docs.withColumns({c: F.lit(c) for c in ("fp", "size", "h", "n", "v", "spans", "place", "row", "word", "kept", "component_id", "target", "part", "whole", "last_v", "plan_source", "copies", "rest")})
 
 
 # --- fingerprints and components
@@ -264,6 +264,9 @@ def test_secrets(spark):
         base = [x for x in want if x[3] != "entropy"]
         assert r.base_sha256 == hashlib.sha256(line(base).encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x[3] == k for x in base) for k in ("assign", "access", "hex"))
+    from pyspark.sql import functions as F
+
+    assert all(r.spans == "mine" for r in secrets.redact(docs.withColumn("spans", F.lit("mine"))).collect())
     for r in secrets.redact(docs).collect():
         want, at = "", 0
         text = texts[r.doc_id]
@@ -446,24 +449,43 @@ def test_maxent_is_a_distribution():
     head = {f"w{k}".encode(): r.randrange(1, 50) for k in range(300)} | {maxent.END: 40}
     own, table = maxent.classes(head)
     words = list(head)
-    kinds = maxent._classes_of(words, own, table)
+    kinds = maxent.Codes(own, table).of(words)[1]
+    assert all(k == own.get(w, table[maxent._ending(w)]) for k, w in zip(kinds, words, strict=True))
     n_k = np.bincount(kinds, [head[w] for w in words], maxent.CLASSES)
     v_k = np.bincount(kinds, minlength=maxent.CLASSES)
     weights = np.random.default_rng(0).normal(size=(maxent.ROWS, maxent.CLASSES)).astype(np.float32)
-    z = maxent._logits(weights, np.zeros(maxent.CLASSES, np.float32), maxent._features([b"w1", b"w2", b"w3"])[2:])[0]
+    z = maxent._logits(weights, np.zeros(maxent.CLASSES, np.float32), maxent._features(maxent.Codes(own, table).of([b"w1", b"w2", b"w3"])[0])[:, 2:])[0]
     p = np.exp(z) / np.exp(z).sum()
     shares = np.array([(head[w] + 1) / (n_k[k] + v_k[k] + 1) for w, k in zip(words, kinds, strict=True)])
     assert (p[kinds] * shares).sum() + (p / (n_k + v_k + 1)).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_features_start_afresh():
+    ids = np.random.default_rng(1).integers(2, 1 << 32, 30).astype(np.uint64)
+    starts = np.array([0, 1, 3, 10, 28])
+    got = maxent._features(ids, starts)
+    for a, b in zip(starts, [*starts[1:], 30], strict=True):
+        assert (got[:, a:b] == maxent._features(ids[a:b])).all()
+
+
+def test_head_threshold(spark):
+    r = random.Random(2)
+    n = [int(r.paretovariate(0.7)) for _ in range(3000)]
+    counts = spark.createDataFrame([(str(k).encode(), x) for k, x in enumerate(n)], "word binary, n long")
+    for size in (0, 10, 500, 5000):
+        least = maxent._least(counts, size)
+        assert sum(x >= least for x in n) <= size and (size < 5000 or least <= min(n))
+
+
 def test_maxent_learns_context():
     words = [b"a", b"x", b"b", b"y"] * 3000
     own = {w: k for k, w in enumerate([maxent.END, b"a", b"x", b"b", b"y"])}
-    rows, target = maxent._features(words), maxent._classes_of(words, own, np.full(1 << 16, 31, np.int8))
+    ids, target = maxent.Codes(own, np.full(1 << 16, 31, np.int8)).of(words)
+    rows = maxent._features(ids)
     learner = maxent.Learner(np.zeros((maxent.ROWS, maxent.CLASSES), np.float32), np.zeros(maxent.CLASSES, np.float32))
     for s in range(0, len(words), 512):
-        learner.step(rows[s : s + 512], target[s : s + 512])
-    z = maxent._logits(learner.weights, learner.bias, rows[-8:])
+        learner.step(rows[:, s : s + 512], target[s : s + 512])
+    z = maxent._logits(learner.weights, learner.bias, rows[:, -8:])
     assert (z.argmax(1) == target[-8:]).all()
 
 
