@@ -2,14 +2,18 @@
 
 import html
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import shuffle_partitions
+from fieldmark.llm.common import cut, shuffle_partitions
 
 #: Fixed values. Elements whose content is no text of the page.
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas")
@@ -125,7 +129,7 @@ BLOCKS_SET = frozenset(BLOCKS)
 INLINE = "a abbr b bdi bdo cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split()
 
 
-def shared(own: list[str], other: list[str]) -> set[int]:
+def shared(own: list, other: list) -> set[int]:
     """Places of own in a longest common subsequence of the two lists of lines (Hunt and Szymanski)."""
     where: dict[str, list[int]] = {}
     for j, line in enumerate(other):
@@ -148,20 +152,60 @@ def shared(own: list[str], other: list[str]) -> set[int]:
     return out
 
 
-def main_text(own: list[tuple[str, bool]], other: list[tuple[str, bool]] | None, most: float = 0.5) -> str:
-    """The page's blocks, less those that it shares with the other page.
+def sketch(line: str) -> int:
+    """Eight bytes, one of each of eight min-hashes of the line's three-word runs: lines with many runs in common have equal bytes."""
+    words = line.lower().split()
+    runs = np.array([xxhash.xxh64_intdigest(" ".join(words[k : k + 3])) for k in range(max(1, len(words) - 2))], np.uint64)
+    least = (runs[:, None] * _ODD + _ADD).min(0)
+    return int.from_bytes(((least >> np.uint64(24)) & np.uint64(255)).astype(np.uint8).tobytes(), "little")
 
-    What stands in an article or main element is the article's and stays, and if there is any, the rest is furniture.
-    On a page without one, the lines of a longest common subsequence with the other page go, unless they are more than
-    `most` of the page: then the two are copies of one article, and what they share is the article.
+
+_ODD = np.array([xxhash.xxh64_intdigest(b"odd", k) | 1 for k in range(8)], np.uint64)
+_ADD = np.array([xxhash.xxh64_intdigest(b"add", k) for k in range(8)], np.uint64)
+
+
+@dataclass(frozen=True)
+class Lines:
+    """What differencing needs of a page: a hash and a sketch of each line, and whether it is in the main part."""
+
+    hashes: list[int]
+    sketches: list[int]
+    main: list[bool]
+
+    @staticmethod
+    def of(own: list[tuple[str, bool]]) -> "Lines":
+        texts = [text for text, _ in own]
+        return Lines([xxhash.xxh64_intdigest(t) - (1 << 63) for t in texts], [sketch(t) - (1 << 63) for t in texts], [m for _, m in own])
+
+    def article(self) -> list[int]:
+        """Places of lines that may be the article's: those in an article or main element, or all if there are none."""
+        return [i for i, m in enumerate(self.main) if m] or list(range(len(self.main)))
+
+
+def copies(a: Lines, b: Lines) -> bool:
+    """Whether more than half of the lines of a that may be the article's are in b too."""
+    same = shared(a.hashes, b.hashes)
+    may = a.article()
+    return 2 * sum(i in same for i in may) > len(may)
+
+
+def kept(own: Lines, near: Lines | None, far: Lines | None = None) -> list[int]:
+    """Places of the page's lines that are left when it is differenced with the nearest page of its host.
+
+    Lines that may be the article's stay unless the other page has them too (longest common subsequence). In an article
+    or main element a line goes only if the page on the other side (far), where there is one, has it as well: short
+    lines agree by chance.
     """
-    if any(main for _, main in own):
-        return "\n\n".join(text for text, main in own if main)
-    lines = [text for text, _ in own]
-    same = shared(lines, [text for text, _ in other]) if other else set()
-    if len(same) > most * len(lines):
-        same = set()
-    return "\n\n".join(line for i, line in enumerate(lines) if i not in same)
+    same = shared(own.hashes, near.hashes) if near else set()
+    if same and far and any(own.main):
+        same &= shared(own.hashes, far.hashes)
+    return [i for i in own.article() if i not in same]
+
+
+def main_text(own: list[tuple[str, bool]], other: list[tuple[str, bool]] | None) -> str:
+    """The page's blocks, less those that it shares with the other page, if that is no copy."""
+    page, near = Lines.of(own), Lines.of(other) if other else None
+    return "\n\n".join(own[i][0] for i in kept(page, near if near and not copies(page, near) else None))
 
 
 def host(url: Column) -> Column:
@@ -183,44 +227,164 @@ def _common(a: str, b: str) -> int:
     return n
 
 
-def extract(pages: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Page:
+    """A page without its text: host, path, id and row key sort it."""
+
+    h: str
+    p: str
+    page_id: int
+    k1: int
+    k2: int
+    lines: Lines
+    own: bool = True
+
+    def row(self, r: int) -> tuple:
+        return r, self.h, self.p, self.page_id, self.k1, self.k2, self.lines.hashes, self.lines.sketches, self.lines.main, False
+
+
+KEYED = "h string, p string, page_id long, k1 long, k2 long, hashes array<long>, sketches array<long>, main array<boolean>"
+RANGED = f"r int, {KEYED}, own boolean"
+
+
+def compared(pages: Iterable[Page]) -> Iterator[tuple[Page, Page | None, Page | None]]:
+    """(page, the nearest before it, the nearest after it) of sorted pages: of its host, and no copies of it.
+
+    The pages that wait for one after them are a run of copies. A repeated row comes once.
+    """
+    waiting: list[tuple[Page, Page | None]] = []
+
+    def done(after: Page | None) -> Iterator[tuple[Page, Page | None, Page | None]]:
+        for x, before in waiting:
+            yield x, before, after if after and not copies(x.lines, after.lines) else None
+        waiting.clear()
+
+    for x in pages:
+        before = None
+        if waiting:
+            last, further = waiting[-1]
+            if last.h == x.h and (last.k1, last.k2) == (x.k1, x.k2):
+                continue
+            if last.h != x.h:
+                yield from done(None)
+            elif not copies(x.lines, last.lines):
+                before = last
+                yield from done(x)
+            elif further and not copies(x.lines, further.lines):
+                before = further
+        waiting.append((x, before))
+    yield from done(None)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Page]]:
+    for b in batches:
+        for x in b.to_pylist():  # no texts
+            yield x["r"], Page(x["h"], x["p"], x["page_id"], x["k1"], x["k2"], Lines(x["hashes"], x["sketches"], x["main"]), x["own"])
+
+
+def _ranges(rows: Iterator[tuple[int, Page]]) -> Iterator[tuple[int, Iterator[Page]]]:
+    for r, group in groupby(rows, key=lambda x: x[0]):
+        yield r, (x for _, x in group)
+
+
+def _packed(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of up to 2000 rows, or as many as hold 16 MB of the rows' third value."""
+    some, size = [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), schema.types, strict=True)], schema.names)
+
+    for row in rows:
+        some.append(row)
+        size += len(row[2]) if isinstance(row[2], str) else 0
+        if len(some) >= 2000 or size > 1 << 24:
+            yield batch()
+            some, size = [], 0
+    if some:
+        yield batch()
+
+
+def keyed(pages: DataFrame) -> DataFrame:
+    """pages with h, p, k1, k2 -> their lines as hashes and sketches, a sixteenth or so of the text."""
+    schema = pa.schema([("h", pa.string()), ("p", pa.string()), ("page_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("hashes", pa.list_(pa.int64())), ("sketches", pa.list_(pa.int64())), ("main", pa.list_(pa.bool_()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                for k in range(b.num_rows):
+                    *key, page = (c[k].as_py() for c in b.columns)
+                    found = Lines.of(blocks(page or ""))
+                    yield *key, found.hashes, found.sketches, found.main
+
+        yield from _packed(rows(), schema)
+
+    return pages.select("h", "p", F.coalesce("page_id", F.lit(-(1 << 63))).alias("page_id"), "k1", "k2", "html").mapInArrow(run, KEYED)
+
+
+#: Sampled pages for each range of pages, to choose its limits.
+SAMPLED = 20
+ORDER = ["r", "h", "p", "page_id", "k1", "k2"]
+
+
+def ranged(found: DataFrame, ranges: int) -> DataFrame:
+    """Rows of keyed() with the number of their range of (host, path, page_id)."""
+    n = found.count()
+    some = found.select("h", "p", "page_id").sample(min(1.0, SAMPLED * ranges / max(n, 1)), 42).collect() if n else []
+    some = sorted(tuple(x) for x in some)
+    limits = sorted({some[k * len(some) // ranges] for k in range(1, ranges)} if some else set())
+    shared_ = found.sparkSession.sparkContext.broadcast(limits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)
+            r = pa.array([bisect_right(shared_.value, x) for x in keys], pa.int32())
+            yield pa.RecordBatch.from_arrays([r, *b.columns, pa.array([True] * b.num_rows)], ["r", *b.schema.names, "own"])
+
+    return found.mapInArrow(run, RANGED)
+
+
+def decided(rows: DataFrame) -> DataFrame:
+    """rows (RANGED) -> (k1, k2, keep: places of the lines that stay) of each different row that is a range's own."""
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("keep", pa.list_(pa.int32()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> Iterator[tuple]:
+            for _, pages in _ranges(_read(batches)):
+                for x, before, after in compared(pages):
+                    if x.own:
+                        near, far = before, after
+                        if not near or far and _common(far.p, x.p) > _common(near.p, x.p):
+                            near, far = far, near
+                        yield x.k1, x.k2, kept(x.lines, near.lines if near else None, far.lines if far else None)
+
+        yield from _packed(out(), schema)
+
+    return rows.repartition(shuffle_partitions(rows.sparkSession), "r").sortWithinPartitions(*ORDER).mapInArrow(run, "k1 long, k2 long, keep array<int>")
+
+
+def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
     """pages (page_id, url, html) -> (page_id, url, text, n_chars), a row for each row.
 
-    Pages are dealt out in ranges of (host, path, page_id) and sorted, so that a large host takes many tasks; a page is
-    differenced with the one before or after it in its host whose path shares the longer prefix (ties: the one before).
-    At the edge of a range there is only the one side. A task holds three pages at a time. Null html is empty, a null
-    url is a host of its own kind; empty pages give empty texts; repeated rows stay, and as copies keep their lines.
+    A page is differenced with the page before or after it in (host, path, page_id) whose path shares the longer prefix
+    (ties: the one before), copies passed over. Lines are compared by 64-bit hashes, which are dealt out in ranges of
+    that order, so that a large host takes many tasks; texts are dealt out once, to meet the lines that stay. Null html
+    is empty, a null url is a host of its own kind; empty pages give empty texts; repeated rows stay.
     """
-    keys = pages.select("page_id", "url", "html", host(F.col("url")).alias("h"), path(F.col("url")).alias("p"))
-    sorted_ = keys.repartitionByRange(2 * shuffle_partitions(pages.sparkSession), "h", "p", "page_id").sortWithinPartitions("h", "p", "page_id")
+    spark, row = pages.sparkSession, [F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")]
+    keys = pages.select(*row, host(F.col("url")).alias("h"), path(F.col("url")).alias("p"), *(F.xxhash64(F.lit(k), *row, *[c.isNull() for c in row]).alias(f"k{k}") for k in (1, 2)))
+    rows = ranged(cut(keyed(keys)), ranges or 4 * shuffle_partitions(spark))
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def read() -> Iterator[tuple]:
+        def out() -> Iterator[tuple]:
             for b in batches:
                 for k in range(b.num_rows):
-                    page_id, url, page, h, p = (c[k].as_py() for c in b.columns)
-                    yield page_id, url, blocks(page or ""), h, p
-            yield None
-
-        def done(before: tuple | None, own: tuple, after: tuple | None) -> tuple:
-            near = [x for x in (before, after) if x and x[3] == own[3]]
-            other = max(near, key=lambda x: _common(x[4], own[4]), default=None)
-            text = main_text(own[2], other[2] if other else None)
-            return own[0], own[1], text, len(text)
-
-        before = own = None
-        out, size = [], 0
-        types = (id_type, pa.string(), pa.string(), pa.int64())
-        for after in read():
-            if own:
-                out.append(done(before, own, after))
-                size += len(out[-1][2])
-                if size > 1 << 24 or len(out) >= 10_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
-                    out, size = [], 0
-            before, own = own, after
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
-
-    names, id_type = ["page_id", "url", "text", "n_chars"], pa.int64()
-    return sorted_.withColumn("page_id", F.col("page_id").cast("long")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+                    page_id, url, page, keep = (c[k].as_py() for c in b.columns)
+                    own = blocks(page or "")
+                    text = "\n\n".join(own[i][0] for i in keep)
+                    yield page_id, url, text, len(text)
+
+        yield from _packed(out(), schema)
+
+    met = keys.select("page_id", "url", "html", "k1", "k2").join(decided(rows), ["k1", "k2"])
+    return met.select("page_id", "url", "html", "keep").mapInArrow(run, "page_id long, url string, text string, n_chars long")

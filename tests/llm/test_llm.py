@@ -530,6 +530,13 @@ def test_extract(spark):
     assert got[103].text == got[104].text == "same"
 
 
+def test_differencing_in_article(spark):
+    page = "<article><p class=kicker>Our daily letter</p><p>story {0} one</p><p>story {0} two</p><p>story {0} three</p><p class=tail>Write to the desk</p></article>"
+    rows = [(k, f"http://h.example/a/{k}", page.format(k)) for k in range(8)]
+    got = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), 1).collect()
+    assert {x.page_id: x.text for x in got} == {k: f"story {k} one\n\nstory {k} two\n\nstory {k} three" for k in range(8)}
+
+
 # --- folds and the pipeline
 
 
