@@ -343,6 +343,51 @@ def ranged(found: DataFrame, ranges: int) -> DataFrame:
     return found.mapInArrow(run, RANGED)
 
 
+def bordering(ends: list[tuple[Page, Page | None, Page, Page | None]]) -> Iterator[tuple[int, Page]]:
+    """(range, page) of what a range has to know of others: the nearest page before and after it, and theirs that is no copy.
+
+    ends has for each range in order: first page, nearest after it, last page, nearest before it, as found in the range.
+    """
+    for forward in (True, False):
+        carried: tuple[Page, Page | None] | None = None
+        for k in range(len(ends)) if forward else reversed(range(len(ends))):
+            if carried:
+                yield from ((k, x) for x in carried if x)
+            first, after, last, before = ends[k]
+            end, start, other = (last, first, before) if forward else (first, last, after)
+            if not other and start.h == end.h and carried and carried[0].h == end.h:  # the whole range is of copies
+                other = next((x for x in carried if x and not copies(end.lines, x.lines)), None)
+            carried = (end, other)
+
+
+def borders(rows: DataFrame) -> DataFrame:
+    """rows (RANGED) -> up to four pages for each range, of the ranges beside it, not its own.
+
+    The driver holds four pages' hashes for each range, whatever the table's size.
+    """
+    schema = pa.schema([("r", pa.int32()), ("part", pa.int32()), ("h", pa.string()), ("p", pa.string()), ("page_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("hashes", pa.list_(pa.int64())), ("sketches", pa.list_(pa.int64())), ("main", pa.list_(pa.bool_())), ("own", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> Iterator[tuple]:
+            for r, pages in _ranges(_read(batches)):
+                first = None
+                for x, before, after in compared(pages):
+                    first = first or (x, after)
+                    last = x, before
+                for part, x in enumerate((*first, *last)):
+                    if x:
+                        yield r, part, *x.row(r)[1:]
+
+        yield from _packed(out(), schema)
+
+    spark, found = rows.sparkSession, {}
+    dealt = rows.repartition(shuffle_partitions(spark), "r").sortWithinPartitions(*ORDER)
+    for x in dealt.mapInArrow(run, f"r int, part int, {KEYED}, own boolean").collect():
+        found.setdefault(x.r, [None] * 4)[x.part] = Page(x.h, x.p, x.page_id, x.k1, x.k2, Lines(x.hashes, x.sketches, x.main), False)
+    order = sorted(found)
+    return spark.createDataFrame([x.row(order[k]) for k, x in bordering([found[r] for r in order])], RANGED)
+
+
 def decided(rows: DataFrame) -> DataFrame:
     """rows (RANGED) -> (k1, k2, keep: places of the lines that stay) of each different row that is a range's own."""
     schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("keep", pa.list_(pa.int32()))])
@@ -367,7 +412,8 @@ def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
 
     A page is differenced with the page before or after it in (host, path, page_id) whose path shares the longer prefix
     (ties: the one before), copies passed over. Lines are compared by 64-bit hashes, which are dealt out in ranges of
-    that order, so that a large host takes many tasks; texts are dealt out once, to meet the lines that stay. Null html
+    that order, so that a large host takes many tasks; a range also gets the pages next to its edges, so that the result
+    does not depend on how many ranges there are. Texts are dealt out once, to meet the lines that stay. Null html
     is empty, a null url is a host of its own kind; empty pages give empty texts; repeated rows stay.
     """
     spark, row = pages.sparkSession, [F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")]
@@ -386,5 +432,5 @@ def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
 
         yield from _packed(out(), schema)
 
-    met = keys.select("page_id", "url", "html", "k1", "k2").join(decided(rows), ["k1", "k2"])
+    met = keys.select("page_id", "url", "html", "k1", "k2").join(decided(rows.unionByName(borders(rows))), ["k1", "k2"])
     return met.select("page_id", "url", "html", "keep").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -537,6 +537,17 @@ def test_differencing_in_article(spark):
     assert {x.page_id: x.text for x in got} == {k: f"story {k} one\n\nstory {k} two\n\nstory {k} three" for k in range(8)}
 
 
+def test_ranges_do_not_matter(spark):
+    page = "<div><p>Welcome to our site</p></div>{}<p>All rights reserved</p>"
+    story = lambda k: page.format(f"<p>story {k} one</p><p>story {k} two</p><p>story {k} three</p>")
+    rows = [(k, f"http://h.example/a/{k:02}", story(k)) for k in range(12)] + [(20 + k, f"http://h.example/b/{k:02}", story(77)) for k in range(9)] + [(40, "http://h.example/c", story(40)), (50, "http://z.example/", story(50))]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for ranges in (1, 5, 100):
+        got = {x.page_id: x.text for x in pages.extract(table, ranges).collect()}
+        assert len(got) == len(rows) and got[50].startswith("Welcome")
+        assert all(got[k] == "\n\n".join(f"story {77 if 20 <= k < 29 else k} {x}" for x in ("one", "two", "three")) for k in got if k != 50)
+
+
 # --- folds and the pipeline
 
 
