@@ -548,6 +548,20 @@ def test_ranges_do_not_matter(spark):
         assert all(got[k] == "\n\n".join(f"story {77 if 20 <= k < 29 else k} {x}" for x in ("one", "two", "three")) for k in got if k != 50)
 
 
+def test_copies_and_long_templates(spark):
+    top, end = "".join(f"<p>Section {k} of our site</p>" for k in range(7)), "".join(f"<p>Legal line {k} here</p>" for k in range(5))
+    r = random.Random(4)
+    lines = lambda: [" ".join(r.choice(VOCAB) + str(r.randrange(99)) for _ in range(15)) for _ in range(5)]
+    stories = [lines() for _ in range(4)]
+    again = [stories[0][0] + " changed", *stories[0][1:]]
+    more = [*stories[0], "An added paragraph of the later crawl"]
+    texts = {1: stories[0], 2: stories[0], 3: again, 4: more, 5: stories[1], 6: stories[2], 7: stories[3]}
+    rows = [(k, f"http://h.example/{min(k, 4) if k > 4 else 0}/{k}", top + "".join(f"<p>{x}</p>" for x in s) + end) for k, s in texts.items()]
+    for ranges in (1, 7):
+        got = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), ranges).collect()
+        assert {x.page_id: x.text for x in got} == {k: "\n\n".join(s) for k, s in texts.items()}
+
+
 # --- folds and the pipeline
 
 
