@@ -324,3 +324,18 @@ def test_refinement(spark):
     p = got[["x", "y", "z"]].to_numpy()
     d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1)) + np.eye(len(p))
     assert d.min() >= 0.1 and np.abs(np.linalg.norm(p, axis=1) - 0.65).max() < 0.15
+
+
+def test_queries_read_whole_tables(spark, tmp_path):
+    from fieldmark.plans import queries
+
+    r = random.Random(8)
+    customers = [(k + 1, r.randrange(25), r.uniform(-999, 9999)) for k in range(1500)]
+    spark.createDataFrame(customers, "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {x.frame: x.ssim for x in queries.QUERIES["agg_ssim"](spark, str(tmp_path)).collect()}
+    a, b = (np.array([x[k] for x in customers]).reshape(50, 30) / d for k, d in ((2, 10000), (1, 25.0)))
+    assert got == pytest.approx({k: render.ssim_of(a[20 * k : 20 * k + 20], b[20 * k : 20 * k + 20]) for k in range(3)}, abs=2e-6)
+
+    spark.createDataFrame([(k, r.randrange(1, 51), r.uniform(900, 2000)) for k in range(80)], "p_partkey long, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(k, r.uniform(0, 9999), r.randrange(25)) for k in range(20)], "s_suppkey long, s_acctbal double, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert {x.k for x in queries.QUERIES["wfl_field_diagnostics"](spark, str(tmp_path)).collect()} <= {20, 80}
