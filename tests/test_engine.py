@@ -339,3 +339,16 @@ def test_queries_read_whole_tables(spark, tmp_path):
     spark.createDataFrame([(k, r.randrange(1, 51), r.uniform(900, 2000)) for k in range(80)], "p_partkey long, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
     spark.createDataFrame([(k, r.uniform(0, 9999), r.randrange(25)) for k in range(20)], "s_suppkey long, s_acctbal double, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
     assert {x.k for x in queries.QUERIES["wfl_field_diagnostics"](spark, str(tmp_path)).collect()} <= {20, 80}
+
+
+def test_inducing_points_are_training_points(spark):
+    x = np.random.default_rng(5).normal([[0, 0, 0]] * 60 + [[9, 9, 9]] * 20, 0.3)
+    train = points(spark, x).repartition(3).withColumn("sdf", F.col("x"))
+    assert np.allclose(gp.inducing_points(train, 12), x[gp.farthest_points(x, 12)])
+    assert np.allclose(gp.inducing_points(train, 7, "first"), x[:7])
+    assert np.allclose(gp.inducing_points(train, 7, "uniform"), x[np.round(np.linspace(0, 79, 7)).astype(int)])
+    assert len(gp.inducing_points(points(spark, [[0, 0, 0], [1, 0, 0], [0, 0, 0]]), 3)) == 2
+    assert np.allclose(gp.fit("inducing", train, gp.Params(), inducing=5).z, x[gp.farthest_points(x, 5)])
+    assert [len(m.z) for m in gp.fit("multires", train, gp.Params(), inducing=4, selection="first").levels] == [4, 6, 9]
+    with pytest.raises(ValueError):
+        gp.inducing_points(train, 3, "nearest")
