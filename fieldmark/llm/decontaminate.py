@@ -59,8 +59,14 @@ def contained(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float =
 
 
 def clean(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of docs that contain no item."""
-    return docs.join(contained(docs, items, k, threshold).select("doc_id").distinct(), "doc_id", "left_anti")
+    """The rows of docs that contain no item.
+
+    Rows that repeat an id go together, if one of them contains an item. Rows without a doc_id are judged by their text.
+    """
+    key = F.when(F.col("doc_id").isNotNull(), F.col("doc_id").cast("string")).otherwise(F.concat(F.lit("text "), F.md5(F.col("text").cast("binary"))))
+    keyed = docs.withColumn("_row", key)
+    found = contained(keyed.select(F.col("_row").alias("doc_id"), "text"), items, k, threshold).select(F.col("doc_id").alias("_row")).distinct()
+    return keyed.join(found, "_row", "left_anti").select(*docs.columns)
 
 
 ORACLE = r"""

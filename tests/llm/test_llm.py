@@ -489,6 +489,14 @@ def test_maxent_learns_context():
     assert (z.argmax(1) == target[-8:]).all()
 
 
+def test_clean_rows_without_an_id(spark):
+    passage = " ".join(f"p{k}" for k in range(30))
+    rows = [(None, f"start {passage} end"), (None, "nothing of it here at all"), (None, None), (7, f"start {passage}"), (8, "another text of some words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontaminate.clean(docs, spark.createDataFrame([(1, passage)], "item_id long, text string"))
+    assert got.columns == docs.columns and sorted(map(str, got.collect())) == sorted(str(x) for x in docs.collect() if "p3" not in (x.text or ""))
+
+
 # --- pages
 
 
