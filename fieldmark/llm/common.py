@@ -1,6 +1,5 @@
 """What several operators share: tables cut from their lineage, words as array columns, crc32 folds."""
 
-import gc
 import tempfile
 import uuid
 
@@ -17,19 +16,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode, where it may be unset, one of our own."""
     if not (where := spark.conf.get("spark.checkpoint.dir", "")):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="fieldmark-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
 
 
+#: Spark drops the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df, written once as Parquet to the shared folder and read from there: nothing before it runs again, and a lost executor loses nothing."""
+    """df, written once as Parquet to the shared folder and read from there: nothing before it runs again, and a lost executor loses nothing.
+
+    The shuffle files that the write needed go when it is done: they are not read again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    read = spark.read.schema(df.schema).parquet(path)
+    read.cut_path = path
+    return read
+
+
+def drop(*cuts: DataFrame) -> None:
+    """Deletes the folders of tables that cut() wrote and nothing reads any more."""
+    for df in cuts:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def let(value: Column, body) -> Column:
@@ -63,9 +87,3 @@ BROADCAST_ROWS = 20_000
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, to be broadcast if a count shows that it has few rows; else df as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of what has been cut: it learns from the collector which are unused."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

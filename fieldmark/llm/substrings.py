@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import cut, release
+from fieldmark.llm.common import cut, drop
 
 WINDOW = 50
 #: Perfect difference sets, fixed values: every residue modulo the period is a difference of two members.
@@ -129,6 +129,11 @@ def repeats(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     return texts.select("doc_id", "text", "places").mapInArrow(run, "w1 long, w2 long, doc_id long")
 
 
+def _both(hashes: np.ndarray) -> np.ndarray:
+    """Rows of two numbers as values of 16 bytes."""
+    return np.ascontiguousarray(hashes).view([("w1", "<i8"), ("w2", "<i8")]).ravel()
+
+
 def strip(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     """texts (doc_id, text, places, gone: hashes of windows to remove) -> (doc_id, k1, k2, n_removed, kept)."""
 
@@ -137,7 +142,7 @@ def strip(texts: DataFrame, window: int = WINDOW) -> DataFrame:
             out = []
             for doc_id, text, places, gone in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3), strict=True):
                 line, starts, ends, at, found = _windows(text.as_py(), places.values.to_numpy(), window)
-                hit = at[np.isin(found[:, 0], gone.values.to_numpy())]
+                hit = at[np.isin(_both(found), _both(np.column_stack([gone.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1)])))]
                 mark = np.zeros(len(starts) + 1, np.int64)
                 np.add.at(mark, hit, 1)
                 np.add.at(mark, hit + window, -1)
@@ -167,25 +172,20 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     Null and blank texts have no word. A null doc_id loses nothing and takes nothing away. Rows that share a doc_id take
     nothing from each other.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = cut(summaries(docs))
     first = rows.where(F.col("n_words") >= window).groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("k1", "k2", "first")
     copies = rows.join(first, ["k1", "k2"], "left").select("doc_id", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("copy"))
     whole = cut(copies.groupBy("doc_id").agg(F.min("copy").alias("copy")).where("copy").select("doc_id"))
     marked = cut(anchors(docs, window).select("h", "doc_id").groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h"))
-    release(spark)
     places = cut(anchors(docs, window).join(marked, "h").join(whole, "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_set("place").alias("places")))
-    release(spark)
     texts = cut(docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(places, "doc_id"))
-    release(spark)
+    drop(whole, marked, places)
     hashed = repeats(texts, window)
     owners = cut(hashed.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("w1", "w2", "first"))
-    release(spark)
-    gone = cut(hashed.join(owners, ["w1", "w2"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("w1").alias("gone")))
-    release(spark)
+    gone = cut(hashed.join(owners, ["w1", "w2"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set(F.struct("w1", "w2")).alias("gone")))
     changed = cut(strip(texts.join(gone, "doc_id"), window))
-    release(spark)
+    drop(texts, owners, gone)
     lost = changed.select("doc_id", "k1", "k2", F.col("n_removed").alias("lost"), F.sha2("kept", 256).alias("kept_sha256")).dropDuplicates(["doc_id", "k1", "k2"])
     named = rows.join(first, ["k1", "k2"], "left").join(lost, ["doc_id", "k1", "k2"], "left")
     empty = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
