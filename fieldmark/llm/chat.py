@@ -1,6 +1,6 @@
 """Chat formatting (operator 9): an event log folded into final messages, rendered with a template that reads back."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldmark.llm.common import let
@@ -38,6 +38,12 @@ def _fold(items: Column) -> Column:
     return F.aggregate(F.array_sort(items), start, lambda old, x: _apply(old, x["s"]))
 
 
+def _blocks(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """rows with at, the place in the order among rows of the same keys, and block, BLOCK places each."""
+    placed = rows.withColumn("at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return placed.withColumn("block", F.floor((F.col("at") - 1) / BLOCK))
+
+
 def messages(events: DataFrame) -> DataFrame:
     """events (conv_id, seq, event, message_id, role, text) -> (conv_id, seq, role, text), a row a message that is left.
 
@@ -45,8 +51,9 @@ def messages(events: DataFrame) -> DataFrame:
     "regenerate" empty it, "delete" removes it (a later setting event brings it back). Its role is the last one given,
     its seq that of its first event. Events without message_id are messages of their own, as they stand, whatever they
     are, except "delete", which is nothing. Null texts are empty; a null or unknown event counts as "message". Of events
-    that tie in seq the order is that of event, role and text. A message's events are folded in blocks of seq first, so
-    a message of very many deltas is not gathered event by event.
+    that tie in seq the order is that of event, role and text. A message's events are sorted by Spark (which spills)
+    and folded in blocks of BLOCK, then block by block, so a message of very many deltas is not gathered event by event.
+    Columns other than these are not read. An empty table gives an empty one.
     """
     kind = F.coalesce("event", F.lit("message"))
     text = F.coalesce("text", F.lit(""))
@@ -57,23 +64,52 @@ def messages(events: DataFrame) -> DataFrame:
         F.when(kind.isin("start", "regenerate", "delete"), "").otherwise(text).alias("text"),
     )
     own = events.where(F.col("message_id").isNull() & (kind != "delete")).select("conv_id", "seq", "role", text.alias("text"))
-    logged = events.where("message_id is not null").select("conv_id", "message_id", "seq", F.floor(F.col("seq") / BLOCK).alias("block"), F.struct("seq", kind.alias("kind"), state.alias("s")).alias("x"))
-    blocks = logged.groupBy("conv_id", "message_id", "block").agg(F.min("seq").alias("seq"), _fold(F.collect_list("x")).alias("s"))
+    logged = events.where("message_id is not null").select("conv_id", "message_id", "seq", kind.alias("kind"), state.alias("s"))
+    dealt = _blocks(logged, ["conv_id", "message_id"], ["seq", "kind", "s.role", "s.text"])
+    blocks = dealt.groupBy("conv_id", "message_id", "block").agg(F.min("seq").alias("seq"), _fold(F.collect_list(F.struct("at", "s"))).alias("s"))
     whole = blocks.groupBy("conv_id", "message_id").agg(F.min("seq").alias("seq"), _fold(F.collect_list(F.struct("block", "s"))).alias("s"))
     return own.unionByName(whole.where("not s.gone").select("conv_id", "seq", "s.role", "s.text"))
 
 
+#: Events that streamed() writes for a turn, in this order.
+STEPS = 5
+
+
+def streamed(turns: DataFrame, discarded: str = "...") -> DataFrame:
+    """turns (conv_id, turn, role, text) -> the log of events that a client would have recorded of them, for messages().
+
+    A turn starts, a first answer arrives (discarded), is regenerated, and then its text comes in two deltas. A row is a
+    message of its own, also if another has the same turn: its id is the place where the row was read. seq is STEPS times
+    the turn, and counts the events; a null turn's are null, so its text comes in one delta and its discarded one is left out.
+    """
+    text, half = F.coalesce("text", F.lit("")), F.floor(F.length("text") / 2).cast("int")
+    known = F.col("turn").isNotNull()
+    step = lambda k, kind, role, t: F.struct(F.lit(k).alias("k"), F.lit(kind).alias("event"), role.alias("role"), t.alias("text"))
+    none = F.lit(None).cast("string")
+    steps = F.array(
+        step(0, "start", F.col("role"), none),
+        step(1, "delta", none, F.lit(discarded)),
+        step(2, "regenerate", none, none),
+        step(3, "delta", none, F.substring(text, F.lit(1), F.coalesce(half, F.lit(0)))),
+        step(4, "delta", none, F.substring(text, F.coalesce(half, F.lit(0)) + 1, F.greatest(F.length(text), F.lit(1)))),
+    )
+    whole = F.array(step(0, "message", F.col("role"), text))
+    named = turns.withColumn("message_id", F.monotonically_increasing_id().cast("string"))
+    log = named.select("conv_id", "message_id", "turn", F.explode(F.when(known, steps).otherwise(whole)).alias("e"))
+    return log.select("conv_id", (F.col("turn").cast("long") * STEPS + F.col("e.k")).alias("seq"), "e.event", "message_id", "e.role", "e.text")
+
+
 def render(turns: DataFrame) -> DataFrame:
     """turns (conv_id, seq, role, text) -> (conv_id, formatted), a row a conversation.
 
     A turn is START role \\n text END. Turns go by seq, then role, then text; repeated turns stay. A null role is empty.
-    Blocks of turns are joined first, each in a task of its own, so that a long conversation's last step has one row
-    for each BLOCK of its turns. The string itself is one value, and has to fit in one row.
+    Turns are sorted by Spark and joined in blocks of BLOCK, then block by block, so that a long conversation's last step
+    has one row for each BLOCK of its turns. The string itself is one value, and has to fit in one row.
     """
     turn = lambda x: F.concat(F.lit(START), escape_role(x["role"]), F.lit("\n"), escape(x["text"]), F.lit(END))
-    row = F.struct("seq", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    blocks = turns.groupBy("conv_id", F.floor(F.col("seq") / BLOCK).alias("block")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(row)), turn), "").alias("part")
+    filled = turns.select("conv_id", "seq", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    blocks = _blocks(filled, ["conv_id"], ["seq", "role", "text"]).groupBy("conv_id", "block").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "role", "text"))), turn), "").alias("part")
     )
     return blocks.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "part"))), lambda x: x["part"]), "").alias("formatted"))
 

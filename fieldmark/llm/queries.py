@@ -51,10 +51,9 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
-    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long").alias("seq"), "role", "text")
-    added = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("seq"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    events = rows.unionByName(added).select("conv_id", "seq", F.lit("message").alias("event"), F.lit(None).cast("string").alias("message_id"), "role", "text")
-    return chat.digest(chat.render(chat.messages(events)))
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    added = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return chat.digest(chat.render(chat.messages(chat.streamed(rows.unionByName(added)))))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
