@@ -8,9 +8,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldmark.llm.common import shuffle_partitions
+
 ORDER = 3
-#: Labelled texts that a language is learnt from, taken in the order of a hash of their ids, and bytes of each that count.
-SAMPLE_TEXTS, SAMPLE_BYTES = 200, 20_000
+#: Labelled texts that a language is learnt from, whole, in the order of a hash of their ids and texts.
+SAMPLE_TEXTS = 200
 PAD = b"\n" * ORDER
 
 
@@ -165,24 +167,36 @@ def _letters(text: bytes) -> bool:
     return text.upper() != text.lower() or (not text.isascii() and any(map(str.isalpha, text.decode("utf-8", "replace"))))
 
 
-def learn(labelled: DataFrame, order: int = ORDER, texts: int = SAMPLE_TEXTS, size: int = SAMPLE_BYTES) -> Model:
+def sample(labelled: DataFrame, texts: int = SAMPLE_TEXTS) -> DataFrame:
+    """labelled (doc_id, text, lang) -> (lang, text) of `texts` rows of each language at most, those that hash lowest.
+
+    Tasks keep no more than `texts` rows of a language before any row is shuffled. Null languages and texts count for none.
+    """
+    known = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("r"))
+    first = known.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("r", "text"))).where(F.col("k") <= texts)
+    return first.select("lang", F.col("text").cast("binary").alias("text"))
+
+
+def learn(labelled: DataFrame, order: int = ORDER, texts: int = SAMPLE_TEXTS) -> Model:
     """labelled (doc_id, text, lang) -> the frozen model.
 
-    Of each language (null counts for none) about `texts` texts are read, those whose id hashes lowest, and `size`
-    bytes of each; the driver holds texts * size bytes a language at most. A language's share is set from its count,
-    so executors send no more than twice that; all rows of a small language are read.
+    Of each language (null counts for none) `texts` whole texts are read. Tasks count their strings of up to order + 1
+    bytes; the driver gets the counts, of which there are no more than distinct strings, not the texts.
     """
-    known = labelled.where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return Model([], [], order)
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, 2.0 * texts / n))])
-    r = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5
-    near = known.select("lang", "doc_id", r.alias("r"), F.substring(F.col("text").cast("binary"), 1, size).alias("text")).where(F.col("r") < share[F.col("lang")])
-    first = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("r", "text"))).where(F.col("k") <= texts)
-    rows = first.select("lang", "text").collect()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                for k, found in enumerate(_count([text.as_py()], order)):
+                    keys = list(found)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array([k] * len(keys), pa.int32()), pa.array(keys, pa.binary()), pa.array(list(found.values()), pa.int64())], ["lang", "k", "s", "n"])
+
+    parts = sample(labelled, texts).repartition(shuffle_partitions(labelled.sparkSession)).mapInArrow(run, "lang string, k int, s binary, n long")
+    counts: dict[str, list[Counter]] = {}
+    for r in parts.groupBy("lang", "k", "s").agg(F.sum("n").alias("n")).collect():
+        counts.setdefault(r["lang"], [Counter() for _ in range(order + 1)])[r["k"]][bytes(r["s"])] = r["n"]
     langs = sorted(counts)
-    return Model(langs, [_count([bytes(r["text"]) for r in rows if r["lang"] == x], order) for x in langs], order)
+    return Model(langs, [counts[x] for x in langs], order)
 
 
 def _told(model: Model, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
