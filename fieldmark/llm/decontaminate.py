@@ -37,20 +37,28 @@ def sketches(items: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
     return own.select("item_id", F.explode(F.slice("hs", F.lit(1), enough)).alias("h")).distinct()
 
 
+def _row_key(docs: DataFrame) -> DataFrame:
+    """docs with _row: the id, or what tells the text of a row without one."""
+    text = F.concat(F.lit("text "), F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")))
+    return docs.withColumn("_row", F.coalesce(F.col("doc_id").cast("string"), text))
+
+
 def contained(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
     """docs (doc_id, text), items (item_id, text) -> (doc_id, item_id, n_shared, n_shingles, containment).
 
     A row for each document that has `threshold` or more of an item's distinct k-word shingles, words lower-cased.
     Null, empty and blank texts have no shingle: such items are in no document, such documents contain nothing. A text
-    of fewer than k words is one shingle. Rows that repeat an id count once, with the largest share. Extra columns are
-    not read. Empty tables give an empty one.
+    of fewer than k words is one shingle. Rows that repeat an id count once, with the largest share; rows without an id
+    are searched like all others, and count once, under a null doc_id. Items without an item_id are in no document.
+    Extra columns are not read. Empty tables give an empty one.
     """
+    docs = _row_key(docs.select("doc_id", "text"))
     found = sketches(items.select("item_id", "text"), k, threshold)
-    hits = docs.select("doc_id", F.explode(hashes(F.col("text"), k)).alias("h")).join(bounded(found, SKETCH_ROWS), "h")
-    pairs = cut(hits.select("doc_id", "item_id").distinct())
+    hits = docs.select("_row", F.explode(hashes(F.col("text"), k)).alias("h")).join(bounded(found, SKETCH_ROWS), "h")
+    pairs = cut(hits.select("_row", "item_id").distinct())
     sets = items.select("item_id", shingles(F.col("text"), k).alias("item"))
     share = (
-        docs.select("doc_id", "text").join(pairs, "doc_id").join(bounded(sets), "item_id")
+        docs.join(pairs, "_row").join(bounded(sets), "item_id")
         .select("doc_id", "item_id", F.size(F.array_intersect("item", shingles(F.col("text"), k))).cast("long").alias("n_shared"), F.size("item").cast("long").alias("n_shingles"))
         .withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
     )
@@ -62,9 +70,9 @@ def clean(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8)
     """The rows of docs that contain no item.
 
     Rows that repeat an id go together, if one of them contains an item. Rows without a doc_id are judged by their text.
+    All columns stay; none may be called _row.
     """
-    key = F.when(F.col("doc_id").isNotNull(), F.col("doc_id").cast("string")).otherwise(F.concat(F.lit("text "), F.md5(F.col("text").cast("binary"))))
-    keyed = docs.withColumn("_row", key)
+    keyed = _row_key(docs)
     found = contained(keyed.select(F.col("_row").alias("doc_id"), "text"), items, k, threshold).select(F.col("doc_id").alias("_row")).distinct()
     return keyed.join(found, "_row", "left_anti").select(*docs.columns)
 
