@@ -18,7 +18,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component, that with the smallest doc_id."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8 and somewhat below), that with the smallest doc_id."""
     return simhash.keep_one(docs)
 
 
