@@ -1,4 +1,4 @@
-"""LM scoring (operator 1): a hashed maximum-entropy model of word classes, and words within their class."""
+"""LM scoring (operator 1): a hashed maximum-entropy model, a softmax over classes of words and one over the words of a class."""
 
 import math
 import zlib
@@ -12,17 +12,28 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import cut
+from fieldmark.llm.common import cut, drop, tidy
 
-#: Words whose counts every task holds (about 25 MB); counts of the others are joined by shuffling.
+#: Words that are a leaf of their own and whose counts every task holds (about 25 MB); all others share leaves.
 HEAD = 200_000
-#: Classes in all; of them, words that are a class of their own (the end of a text is one).
-CLASSES, OWN = 32, 16
-#: Rows of weights that features are hashed to.
-ROWS = 1 << 13
-RATE, BATCH, FLUSH = 0.2, 16_384, 100_000
-END = b""
+CLASSES = 8
+#: Leaves of a class that its other words share.
+SHARED = 512
+#: Rows of weights that features of a class are hashed to.
+ROWS = 1 << 16
 FEATURES = 4
+#: Tokens that are looked at together, and for which a task keeps counts before it hands them on.
+BATCH, CHUNK, FLUSH = 16_384, 1 << 19, 1 << 22
+#: Training tokens for each shard of the words' weights.
+SHARD = 3_000_000
+#: Precisions of the weights' Gaussian priors; steps of their training.
+PRIOR_CLASS, PRIOR_WORD, STEPS = 8.0, 0.1, 12
+#: The share of its count that a class's weight starts from: its features overlap.
+START = 0.4
+END = b""
+NONE = np.uint64(1)
+MIX = np.uint64(0x9E3779B97F4A7C15)
+BLOCKS = 16
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -40,7 +51,7 @@ def count(docs: DataFrame) -> DataFrame:
         for b in batches:
             for text in b.column(0):
                 held.update(tokens(text.as_py()))
-                if len(held) >= 4 * FLUSH:
+                if len(held) >= 400_000:
                     yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
                     held = Counter()
         if held:
@@ -66,253 +77,486 @@ def _least(counts: DataFrame, size: int) -> int:
     return (max(above) + 1 if above else 1) if bands else 1
 
 
-def classes(head: dict[bytes, int]) -> tuple[dict[bytes, int], np.ndarray]:
-    """({word: class} of words that are a class of their own, class by the last two bytes of any other).
+def _ending(word: bytes) -> int:
+    return int.from_bytes(word[-2:], "big")
 
-    The commonest endings have a class each, the rest share the last four by hash.
-    """
-    own = {w: k for k, w in enumerate([END, *[w for w, _ in sorted(head.items(), key=lambda x: (-x[1], x[0])) if w != END][: OWN - 1]])}
-    endings: Counter = Counter()
-    for w, n in head.items():
-        if w not in own:
-            endings[_ending(w)] += n
-    rest = CLASSES - OWN
-    table = (np.arange(1 << 16) * 40503 >> 7) % 4 + CLASSES - 4
-    for k, (ending, _) in enumerate(sorted(endings.items(), key=lambda x: (-x[1], x[0]))[: rest - 4]):
-        table[ending] = OWN + k
-    return own, table.astype(np.int8)
 
+class Leaves:
+    """Where a word is in the tree: its class, and its leaf there.
 
-def _ending(word: bytes) -> int:
-    return int.from_bytes(word[-2:], "big")
+    A word's class is that of its last two bytes: the commonest endings are dealt to the classes, largest first, to that
+    which has the fewest tokens; others go by hash. A class's leaves are numbered in a row: SHARED for words that are not
+    of the head, by hash, then one for each of its words of the head.
+    """
+
+    def __init__(self, head: dict[bytes, int]):
+        sums: Counter = Counter()
+        for w, n in head.items():
+            sums[_ending(w)] += n
+        self.table = ((np.arange(1 << 16) * 40503 >> 7) % CLASSES).astype(np.int64)
+        held = [0] * CLASSES
+        for ending, n in sorted(sums.items(), key=lambda x: (-x[1], x[0])):
+            k = held.index(min(held))
+            self.table[ending] = k
+            held[k] += n
+        by_class: list[list[bytes]] = [[] for _ in range(CLASSES)]
+        for w in sorted(head):
+            by_class[self.table[_ending(w)]].append(w)
+        self.first = np.cumsum([0, *[SHARED + len(x) for x in by_class]])
+        self.own = {w: int(self.first[k]) + SHARED + j for k, x in enumerate(by_class) for j, w in enumerate(x)}
+        self.size = int(self.first[-1])
+
+    def class_of(self, leaves: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, leaves, "right") - 1
+
+    def is_shared(self, leaves: np.ndarray) -> np.ndarray:
+        return leaves - self.first[self.class_of(leaves)] < SHARED
 
 
 class Codes(dict):
-    """word -> crc32 + class * 2^32; the commonest words of a task are looked up, not computed again."""
+    """word -> crc32 + leaf * 2^32; the commonest words of a task are looked up, not computed again."""
 
     MOST = 300_000
 
-    def __init__(self, own: dict[bytes, int], table: np.ndarray):
+    def __init__(self, leaves: Leaves):
         super().__init__()
-        self.own, self.table = own, table.tolist()
+        self.own, self.table, self.first = leaves.own, leaves.table.tolist(), leaves.first.tolist()
 
     def __missing__(self, word: bytes) -> int:
-        k = self.own.get(word)
-        code = zlib.crc32(word) | (self.table[_ending(word)] if k is None else k) << 32
+        crc, leaf = zlib.crc32(word), self.own.get(word)
+        if leaf is None:
+            leaf = self.first[self.table[_ending(word)]] + (crc * 2654435761 >> 16) % SHARED
+        code = crc | leaf << 32
         if len(self) < self.MOST:
             self[word] = code
         return code
 
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(crc32, class) of each word."""
+        """(crc32, leaf) of each word."""
         found = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-        return found & np.uint64(0xFFFFFFFF), (found >> np.uint64(32)).astype(np.int8)
-
-
-def _features(ids: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
-    """Rows of weights for each token: the word before, the two before, and skips to the second and third before.
-
-    starts: where texts start; what stands before them is a mark that is no word's.
-    """
-    none, n = np.uint64(1), len(ids)
-    back = []
-    for k in (1, 2, 3):
-        x = np.empty(n, np.uint64)
-        x[k:] = ids[: n - k] if n > k else ids[:0]
-        x[:k] = none
-        if starts is not None:
-            for j in range(k):
-                at = starts + j
-                x[at[at < np.append(starts[1:], n)]] = none
-        back.append(x)
-    mixed = (back[0], back[0] * np.uint64(0x9E3779B1) + back[1], back[1] + np.uint64(0x5BD1E995), back[2] + np.uint64(0x27D4EB2F))
-    out = np.empty((FEATURES, n), np.intp)
+        return found & np.uint64(0xFFFFFFFF), (found >> np.uint64(32)).astype(np.int64)
+
+
+def _back(ids: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """The k-th token before each; a mark that is no word's where the text does not go back so far."""
+    n, x = len(ids), np.empty(len(ids), np.uint64)
+    x[k:] = ids[: n - k] if n > k else ids[:0]
+    x[:k] = NONE
+    ends = np.append(starts[1:], n)
+    for j in range(k):
+        at = starts + j
+        x[at[at < ends]] = NONE
+    return x
+
+
+def _features(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Rows of weights for each token: the word before, the two before, and skips to the second and third before. starts: where texts start."""
+    one, two, three = (_back(ids, starts, k) for k in (1, 2, 3))
+    mixed = (one, one * np.uint64(0x9E3779B1) + two, two + np.uint64(0x5BD1E995), three + np.uint64(0x27D4EB2F))
+    out = np.empty((FEATURES, len(ids)), np.intp)
     for k, x in enumerate(mixed):
-        out[k] = (((x + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(ROWS)
+        out[k] = (((x + np.uint64(k)) * MIX) >> np.uint64(40)) % np.uint64(ROWS)
     return out
 
 
-def _logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Of each token and class; kept where exp holds in single precision, so no largest has to be taken off."""
+def _class_logs(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Logarithms of the classes' probabilities for each token."""
     z = weights.take(rows[0], axis=0)
     for k in range(1, FEATURES):
         z += weights.take(rows[k], axis=0)
     z += bias
-    return np.clip(z, -60, 60, out=z)
-
-
-class Learner:
-    """Weights, moved by AdaGrad steps of the log-likelihood's gradient, a batch of tokens at a time."""
-
-    def __init__(self, weights: np.ndarray, bias: np.ndarray):
-        self.weights, self.bias = weights.copy(), bias
-        self.squares = np.full(len(weights), 1.0, np.float32)
-        self.seen = np.zeros(len(weights), np.float32)
-
-    def step(self, rows: np.ndarray, target: np.ndarray) -> None:
-        p = np.exp(_logits(self.weights, self.bias, rows))
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(target)), target] -= 1
-        at, by_class = rows.ravel(), np.ascontiguousarray(p.T, np.float64)
-        g = np.empty((CLASSES, ROWS))
-        for k in range(CLASSES):
-            g[k] = np.bincount(at, np.tile(by_class[k], FEATURES), ROWS)
-        self.squares += (g * g).mean(0)
-        g *= RATE / np.sqrt(self.squares)
-        self.weights -= g.T
-        self.seen += np.bincount(at, minlength=ROWS)
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
-    """Tokens of some texts in a row, enough for a step or more; what stands before a text's first word is what ended the last."""
-    held: list[bytes] = []
+    z -= z.max(1, keepdims=True)
+    z -= np.log(np.exp(z).sum(1, keepdims=True))
+    return z
+
+
+def _keys(ids: np.ndarray, leaf: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """What a word's own weight is kept under: the word before, hashed to 32 bits, and the leaf."""
+    return _back(ids, starts, 1) << np.uint64(32) | leaf.astype(np.uint64)
+
+
+def _shard(keys: np.ndarray, classes: np.ndarray, shards: int) -> np.ndarray:
+    """Contexts are dealt out by class: what one softmax needs is together, and a common context is not in one place."""
+    mixed = ((keys >> np.uint64(32)) * np.uint64(CLASSES) + classes.astype(np.uint64) + np.uint64(1)) * MIX
+    return ((mixed >> np.uint64(33)) % np.uint64(shards)).astype(np.uint16 if shards < 1 << 16 else np.int64)
+
+
+def _split(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(shard, kind="stable")
+    dealt = shard[order]
+    edges = np.flatnonzero(np.concatenate(([True], dealt[1:] != dealt[:-1], [True]))) if len(dealt) else []
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield int(dealt[a]), order[a:b]
+
+
+def fit_words(keys: np.ndarray, n: np.ndarray, share: np.ndarray, leaves: Leaves) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys sorted, counts) of whole softmaxes -> (weights of the keys, keys of the softmaxes: context and first leaf, log of their sums).
+
+    A leaf's probability in its class after a context is share * exp(weight) / sum; leaves not seen there have weight 0. Each
+    step moves all weights along the gradient of the log-likelihood less the prior's, scaled by its diagonal curvature.
+    """
+    leaf = (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    kind = leaves.class_of(leaf)
+    heads = (keys >> np.uint64(32) << np.uint64(32)) | leaves.first[kind].astype(np.uint64)
+    at = np.flatnonzero(np.concatenate(([True], heads[1:] != heads[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    if not len(keys):
+        return np.zeros(0), heads, np.zeros(0)
+    sizes = np.diff(np.append(at, len(keys)))
+    q, n = share[leaf], n.astype(np.float64)
+    total = np.repeat(np.add.reduceat(n, at), sizes)
+    theta = np.log(np.maximum(0.5 * n / (total + 1) / q, 0.5))
+    norm = None
+    for step in range(STEPS + 1):
+        e = q * np.exp(theta)
+        norm = 1 + np.add.reduceat(e - q, at)
+        if step == STEPS:
+            break
+        p = e / np.repeat(norm, sizes)
+        theta += np.clip((n - total * p - PRIOR_WORD * theta) / (total * p * (1 - p) + PRIOR_WORD), -1, 1)
+        np.clip(theta, -20, 40, out=theta)
+    return theta, heads[at], np.log(np.maximum(norm, 1e-300))
+
+
+def answer(keys: np.ndarray, theta: np.ndarray, heads: np.ndarray, logs: np.ndarray, asked: np.ndarray, leaves: Leaves) -> np.ndarray:
+    """weight - log of the sum, for each key asked; what was never seen has weight 0 and sum 1."""
+    out = np.zeros(len(asked))
+    leaf = (asked & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    want = (asked >> np.uint64(32) << np.uint64(32)) | leaves.first[leaves.class_of(leaf)].astype(np.uint64)
+    for own, values, wanted, sign in ((keys, theta, asked, 1.0), (heads, logs, want, -1.0)):
+        if len(own):
+            at = np.searchsorted(own, wanted).clip(0, len(own) - 1)
+            out += np.where(own[at] == wanted, sign * values[at], 0.0)
+    return out
+
+
+def _texts(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[tuple[list, list[bytes], np.ndarray]]:
+    """(rows of other columns, tokens, where texts start) of whole texts that have `most` tokens or a text more."""
+    held, words, starts = [], [], []
     for b in batches:
-        for text in b.column(0):
-            held += tokens(text.as_py())
-            if len(held) >= BATCH:
-                yield held
-                held = []
+        other = [c.to_pylist() for k, c in enumerate(b.columns) if k != column]
+        for k, text in enumerate(b.column(column)):
+            held.append(tuple(c[k] for c in other))
+            starts.append(len(words))
+            words += tokens(text.as_py())
+            if len(words) >= most:
+                yield held, words, np.array(starts)
+                held, words, starts = [], [], []
     if held:
-        yield held
+        yield held, words, np.array(starts)
+
 
+def _blocks(kind: int, at: list[int], a: list[bytes], b: list[bytes] | None = None) -> pa.RecordBatch:
+    n = len(at)
+    return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array(at, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary()) if b else pa.nulls(n, pa.binary())], ["kind", "at", "a", "b"])
 
-def train(docs: DataFrame, own: dict[bytes, int], table: np.ndarray, totals: np.ndarray, rounds: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """docs (doc_id, text) -> (weights, bias).
 
-    Each round every task starts from the same weights and steps through its texts of that round (a part of all, by a
-    hash of the id, each text in one round); the tasks' weights are then averaged, row by row, by how often a task saw
-    the row. What a task sends is the model's size, 1 MB, and the sums are shuffled by blocks of rows.
+PARTS = "kind int, at int, a binary, b binary"
+
+
+def _added(parts: DataFrame, rows: int) -> np.ndarray:
+    """The sum of arrays (rows x CLASSES, single precision, in BLOCKS parts) that tasks sent: over groups of tasks, then over those."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for at, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                x = np.frombuffer(x.as_py(), np.float32)
+                if at in sums:
+                    sums[at] += x
+                else:
+                    sums[at] = x.astype(np.float64)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in sums.values()], pa.binary())], ["at", "a"])
+
+    one = parts.select("at", "a", (F.spark_partition_id() % 64).alias("task")).repartition("at", "task").select("at", "a").mapInArrow(run, "at int, a binary")
+    out = np.zeros((BLOCKS, rows // BLOCKS * CLASSES))
+    with tidy(parts.sparkSession):
+        for r in one.repartition("at").mapInArrow(run, "at int, a binary").collect():
+            out[r["at"]] += np.frombuffer(r["a"], np.float32)
+    return out.reshape(rows, CLASSES)
+
+
+class Model:
+    """What scoring needs but the words' weights, which are a table."""
+
+    def __init__(self, leaves: Leaves, head: dict[bytes, int], n: np.ndarray, v: np.ndarray):
+        """n, v: training tokens and distinct words of each leaf; words of the head are their leaf's only ones."""
+        self.leaves, self.logs = leaves, {w: math.log10(c + 1) for w, c in head.items()}
+        weight = n + 1
+        total = np.add.reduceat(weight, leaves.first[:-1])
+        self.kinds = leaves.class_of(np.arange(leaves.size))
+        self.share = weight / total[self.kinds]
+        shared = leaves.is_shared(np.arange(leaves.size))
+        # log10 of what a word's count + 1 is divided by: a shared leaf also keeps a place for words never seen
+        self.within = np.where(shared, np.log10(n + v + 1), np.log10(n + 1))
+        self.of_class = np.add.reduceat(n, leaves.first[:-1])
+        p = (self.of_class + 1) / (self.of_class + 1).sum()
+        self.bias, self.weights = np.log(p).astype(np.float32), np.zeros((ROWS, CLASSES), np.float32)
+
+    def start(self, counts: np.ndarray) -> None:
+        """counts (ROWS x CLASSES) -> weights: how much more often the class follows the feature than it does at all."""
+        self.seen = counts.sum(1, keepdims=True)
+        p = np.exp(self.bias.astype(np.float64))
+        self.weights = (START * np.log((counts + PRIOR_CLASS * p) / (self.seen + PRIOR_CLASS) / p)).astype(np.float32)
+
+    def move(self, gradient: np.ndarray, part: float) -> None:
+        """A step along the gradient over a part of all tokens, scaled by the diagonal curvature; features share the way."""
+        p = np.exp(self.bias.astype(np.float64))
+        p /= p.sum()
+        self.weights -= ((gradient + part * PRIOR_CLASS * p * self.weights / FEATURES) / (part * (self.seen + PRIOR_CLASS) * p * FEATURES)).astype(np.float32)
+        total = gradient.sum(0) / FEATURES  # every token has FEATURES rows
+        self.bias -= (total / np.maximum(part * self.of_class, 1)).astype(np.float32)
+
+    def gradient(self, ids: np.ndarray, kind: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        rows, out = _features(ids, starts), np.zeros((CLASSES, ROWS))
+        for s in range(0, len(ids), 8 * BATCH):
+            r, t = rows[:, s : s + 8 * BATCH], kind[s : s + 8 * BATCH]
+            p = np.exp(_class_logs(self.weights, self.bias, r))
+            p[np.arange(len(t)), t] -= 1
+            by_class, at = np.ascontiguousarray(p.T, np.float64), r.ravel()
+            for k in range(CLASSES):
+                out[k] += np.bincount(at, np.tile(by_class[k], FEATURES), ROWS)
+        return out.T
+
+    def class_scores(self, ids: np.ndarray, leaf: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """log of P(class) * share, for each token."""
+        rows, out, kind = _features(ids, starts), np.log(self.share[leaf]), self.kinds[leaf]
+        for s in range(0, len(ids), BATCH):
+            z, t = _class_logs(self.weights, self.bias, rows[:, s : s + BATCH]), kind[s : s + BATCH]
+            out[s : s + BATCH] += z[np.arange(len(t)), t]
+        return out
+
+
+def _sent(spark, leaves: Leaves, model: Model | None = None):
+    """() -> (leaves, model) on executors: their contents are broadcast, the classes travel with the function."""
+    rest = {k: x for k, x in vars(model).items() if k != "leaves"} if model else None
+    shared = spark.sparkContext.broadcast((vars(leaves), rest))
+
+    def get() -> tuple[Leaves, Model | None]:
+        own, rest = shared.value
+        leaves, model = Leaves.__new__(Leaves), None
+        vars(leaves).update(own)
+        if rest is not None:
+            model = Model.__new__(Model)
+            vars(model).update(rest, leaves=leaves)
+        return leaves, model
+
+    return get
+
+
+def train(docs: DataFrame, model: Model, shards: int, rounds: int = 2) -> DataFrame:
+    """docs (doc_id, text) -> the words' weights as a table (shard, keys, theta, heads, logs); the model's other weights are set.
+
+    One pass counts, for each task, how often classes follow features and leaves follow words. From the first the classes'
+    weights start; in each round tasks sum their gradient over a part of the texts (by a hash of the id and text, each text in
+    one round), the sums are added up in two levels, and all weights move one step: the result does not depend on how texts are
+    dealt to tasks. The second, shuffled by shard, are what the words' weights are trained from, shard by shard: there are as many
+    of those as different pairs of words, however large the corpus.
     """
     spark = docs.sparkSession
-    weights, bias = np.zeros((ROWS, CLASSES), np.float32), np.log((totals + 1) / (totals + 1).sum()).astype(np.float32)
-    blocks = 16
-    size = ROWS // blocks
-    schema = "block int, sums binary, seen binary"
-
-    def add(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, list[np.ndarray]] = {}
-        for block, x, n in rows:
-            x, n = np.frombuffer(x, np.float32).reshape(size, CLASSES), np.frombuffer(n, np.float32)
-            if block in sums:
-                sums[block][0] += x
-                sums[block][1] += n
-            else:
-                sums[block] = [x.copy(), n.copy()]
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x, _ in sums.values()]), pa.array([n.tobytes() for _, n in sums.values()])], ["block", "sums", "seen"])
+    shared = _sent(spark, model.leaves, model)
 
-    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from add((k, x, n) for b in batches for k, x, n in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leaves, model = shared()
+        codes, sums = Codes(leaves), np.zeros(ROWS * CLASSES)
+        held: list[np.ndarray] = []
+
+        def pairs() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            dealt = list(_split(_shard(keys, leaves.class_of((keys & np.uint64(0xFFFFFFFF)).astype(np.int64)), shards)))
+            return _blocks(1, [s for s, _ in dealt], [keys[i].tobytes() for _, i in dealt], [n[i].astype(np.uint32).tobytes() for _, i in dealt])
+
+        for _, words, starts in _texts(batches, 0, CHUNK):
+            ids, leaf = codes.of(words)
+            rows = _features(ids, starts)
+            for k in range(FEATURES):
+                sums += np.bincount(rows[k] * CLASSES + model.kinds[leaf], minlength=ROWS * CLASSES)
+            held.append(_keys(ids, leaf, starts))
+            if sum(map(len, held)) >= FLUSH:
+                yield pairs()
+        if held:
+            yield pairs()
+        if sums.any():
+            yield _blocks(0, list(range(BLOCKS)), [x.astype(np.float32).tobytes() for x in np.split(sums, BLOCKS)])
 
+    parts = cut(docs.select(F.col("text").cast("binary")).mapInArrow(run, PARTS))
+    model.start(_added(parts.where("kind = 0"), ROWS))
     for r in range(rounds):
-        shared = spark.sparkContext.broadcast((weights, bias, own, table))
-
-        def learn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            weights, bias, own, table = shared.value
-            mine, codes = Learner(weights, bias), Codes(own, table)
-            for words in _runs(batches):
-                ids, target = codes.of(words)
-                rows = _features(ids)
-                for s in range(0, len(words), BATCH):
-                    mine.step(rows[:, s : s + BATCH], target[s : s + BATCH])
-            if mine.seen.any():
-                scaled = mine.weights * mine.seen[:, None]
-                yield from add((k, scaled[k * size : (k + 1) * size].tobytes(), mine.seen[k * size : (k + 1) * size].tobytes()) for k in range(blocks))
-
-        part = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds)) == r).select(F.col("text").cast("binary"))
-        found = part.mapInArrow(learn, schema).repartition(blocks, "block").mapInArrow(reduce, schema).collect()
-        for row in found:
-            x, n = np.frombuffer(row["sums"], np.float32).reshape(size, CLASSES), np.frombuffer(row["seen"], np.float32)
-            at = np.flatnonzero(n > 0)
-            weights[row["block"] * size + at] = x[at] / n[at, None]
-        shared.unpersist()
-    return weights, bias
-
-
-def score(docs: DataFrame, training: DataFrame, head_size: int = HEAD, rounds: int = 2) -> DataFrame:
+        given = _sent(spark, model.leaves, model)
+
+        def learn(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
+            model = given()[1]
+            codes, sums = Codes(model.leaves), None
+            for _, words, starts in _texts(batches, 0, CHUNK):
+                ids, leaf = codes.of(words)
+                g = model.gradient(ids, model.kinds[leaf], starts)
+                sums = g if sums is None else sums + g
+            if sums is not None:
+                yield _blocks(0, list(range(BLOCKS)), [np.ascontiguousarray(x, np.float32).tobytes() for x in np.split(sums, BLOCKS)])
+
+        part = docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("round")), F.lit(rounds)) == r).select(F.col("text").cast("binary"))
+        model.move(_added(part.mapInArrow(learn, PARTS), ROWS), 1 / rounds)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (leaves, model), by_shard = shared(), {}
+        for b in batches:
+            for at, x, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                by_shard.setdefault(at, []).append((np.frombuffer(x.as_py(), np.uint64), np.frombuffer(n.as_py(), np.uint32)))
+        for at in sorted(by_shard):
+            keys, n = (np.concatenate(x) for x in zip(*by_shard.pop(at), strict=True))
+            order = np.argsort(keys)
+            keys, n = keys[order], n[order].astype(np.int64)
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            keys, n = keys[first], np.add.reduceat(n, first)
+            theta, heads, logs = fit_words(keys, n, model.share, leaves)
+            values = [keys.tobytes(), theta.astype(np.float32).tobytes(), heads.tobytes(), logs.astype(np.float32).tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), *[pa.array([x], pa.binary()) for x in values]], ["shard", "keys", "theta", "heads", "logs"])
+
+    pairs = parts.where("kind = 1").select("at", "a", "b").repartition(shards, "at")
+    table = cut(pairs.mapInArrow(fit, "shard int, keys binary, theta binary, heads binary, logs binary"))
+    drop(parts)
+    return table
+
+
+SCORED = {
+    "chunk": pa.int64(), "kind": pa.int32(), "shard": pa.int32(), "a": pa.binary(), "b": pa.binary(), "c": pa.binary(), "d": pa.binary(),
+    "row": pa.int64(), "doc_id": pa.int64(), "n_tokens": pa.int64(), "known": pa.int64(), "common": pa.float64(), "context": pa.float64(), "rare": pa.list_(pa.binary()), "times": pa.list_(pa.int32()),
+}
+SCHEMA = "chunk long, kind int, shard int, a binary, b binary, c binary, d binary, row long, doc_id long, n_tokens long, known long, common double, context double, rare array<binary>, times array<int>"
+#: Kinds of rows, in the order in which a task has to see them: weights, keys asked or sums of their answers, texts.
+WEIGHTS, ASKED, TEXT = 0, 1, 2
+
+
+def _rows(columns: dict[str, list]) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in SCORED.items()], list(SCORED))
+
+
+def score(docs: DataFrame, training: DataFrame, head_size: int = HEAD, rounds: int = 2, shard: int = SHARD) -> DataFrame:
     """docs (doc_id, text, ...), training (doc_id, text) -> (doc_id, n_tokens, n_known, train_tokens, base_score, score).
 
-    A token has the probability P(its class | the words before) * (c + 1) / (N_k + V_k + 1): a softmax over classes of
-    hashed n-gram and skip features, times the word's share of its class, whose N_k training tokens are of V_k words;
-    an unseen word takes the one left over. base_score: the sum of log10((c + 1) / (N + V + 1)). Null texts are empty
-    and score their end. Context runs on from the text before within a batch of texts only in training; a scored text
-    starts afresh. Rows of docs, repeated ones too, each give a row. Nothing to learn from: every word is unseen.
+    A token has the probability P(class | words before) * P(leaf | class, word before) * P(word | leaf): a softmax over
+    classes of hashed n-gram and skip features, one over the class's leaves with a weight for each pair of words seen, and the word's
+    share of its leaf, which is 1 for words of the head; words never seen take a share of their leaf. base_score: the sum of
+    log10((c + 1) / (N + V + 1)). Null texts are empty and score their end; a text is read whole, however long. Rows of docs,
+    repeated and null ids too, each give a row; rows of training count each, whatever their ids. Other columns are not read. Nothing to
+    learn from: every word is unseen. An empty table gives an empty one.
+
+    Texts ask for the weights of their pairs of words shard by shard: keys are shuffled to the shards, and each chunk of texts
+    gets one sum a text back from each. Counts of words outside the head are joined by word.
     """
     spark = docs.sparkSession
     counts = cut(count(training))
     whole = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n_all, v_all = whole["n"] or 0, whole["v"]
     head = {bytes(r["word"]): r["n"] for r in counts.where(F.col("n") >= _least(counts, head_size)).collect()}
-    own, table = classes(head)
-    kinds = spark.sparkContext.broadcast((own, table))
+    leaves = Leaves(head)
+    shared = _sent(spark, leaves)
 
-    def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, table = kinds.value
-        n, v, codes = np.zeros(CLASSES), np.zeros(CLASSES), Codes(own, table)
+    def by_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leaves = shared()[0]
+        n, v, codes = np.zeros(leaves.size), np.zeros(leaves.size), Codes(leaves)
         for b in batches:
-            k = codes.of(b.column(0).to_pylist())[1]
-            n += np.bincount(k, b.column(1).to_numpy(), CLASSES)
-            v += np.bincount(k, minlength=CLASSES)
-        yield pa.RecordBatch.from_arrays([pa.array(range(CLASSES), pa.int32()), pa.array(n), pa.array(v)], ["k", "n", "v"])
-
-    sums = counts.mapInArrow(by_class, "k int, n double, v double").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
-    n_k, v_k = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in sums:
-        n_k[r["k"]], v_k[r["k"]] = r["n"], r["v"]
-    weights, bias = train(training, own, table, n_k, rounds)
-    within = np.log10(n_k + v_k + 1)
-    shared = spark.sparkContext.broadcast((weights, bias, own, table, within, {w: math.log10(c + 1) for w, c in head.items()}))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias, own, table, within, logs = shared.value
-        row, codes, nan = TaskContext.get().partitionId() << 40, Codes(own, table), math.nan
-
-        def some(docs: list[tuple]) -> list[tuple]:
-            """Rows of some whole texts, their tokens taken together."""
-            words = [w for _, t in docs for w in t]
-            starts = np.cumsum([0, *[len(t) for _, t in docs[:-1]]])
-            ids, target = codes.of(words)
-            rows, found = _features(ids, starts), np.empty(len(words))
-            for s in range(0, len(words), BATCH):
-                z, t = _logits(weights, bias, rows[:, s : s + BATCH]), target[s : s + BATCH]
-                of = z[np.arange(len(t)), t]
-                found[s : s + BATCH] = of - np.log(np.exp(z, out=z).sum(1))
-            found = found / math.log(10) - within[target]
-            common = np.fromiter(map(logs.get, words, repeat(nan)), np.float64, len(words))
+            leaf = codes.of(b.column(0).to_pylist())[1]
+            n += np.bincount(leaf, b.column(1).to_numpy(), len(n))
+            v += np.bincount(leaf, minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at]), pa.array(v[at])], ["leaf", "n", "v"])
+
+    rare_counts = counts.where(F.col("n") < (min(head.values()) if head else 1 << 62))
+    n, v = np.zeros(leaves.size), np.zeros(leaves.size)
+    for r in rare_counts.mapInArrow(by_leaf, "leaf int, n double, v double").groupBy("leaf").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
+        n[r["leaf"]], v[r["leaf"]] = r["n"], r["v"]
+    for w, c in head.items():
+        n[leaves.own[w]], v[leaves.own[w]] = c, 1
+    model = Model(leaves, head, n, v)
+    shards = max(1, -(-n_all // shard))
+    weights = train(training, model, shards, rounds)
+    given = _sent(spark, leaves, model)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = given()[1]
+        codes, nan, chunk = Codes(model.leaves), math.nan, TaskContext.get().partitionId() << 32
+        for ids_, words, starts in _texts(batches, 1, CHUNK):
+            ids, leaf = codes.of(words)
+            found = model.class_scores(ids, leaf, starts) / math.log(10) - model.within[leaf]
+            common = np.fromiter(map(model.logs.get, words, repeat(nan)), np.float64, len(words))
             rare = np.isnan(common)
             common[rare] = 0
             sums = [np.add.reduceat(x, starts) for x in (common, found)]
             known = np.add.reduceat((~rare).astype(np.int64), starts)
-            of_doc, rare = np.searchsorted(starts, np.flatnonzero(rare), "right") - 1, np.flatnonzero(rare)
-            edges = np.searchsorted(of_doc, np.arange(len(docs) + 1))
-            out = []
-            for k, (doc_id, t) in enumerate(docs):
-                counted = Counter([words[i] for i in rare[edges[k] : edges[k + 1]].tolist()])
-                out.append((doc_id, len(t), int(known[k]), float(sums[0][k]), float(sums[1][k]), list(counted), list(counted.values())))
-            return out
-
+            of_doc = np.searchsorted(starts, np.arange(len(words)), "right") - 1
+            rare = np.flatnonzero(rare)
+            edges = np.searchsorted(of_doc[rare], np.arange(len(starts) + 1))
+            counted = [Counter([words[i] for i in rare[a:b].tolist()]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            sizes = np.diff(np.append(starts, len(words)))
+            m = len(starts)
+            yield _rows({
+                "chunk": [chunk] * m, "kind": [TEXT] * m, "shard": [chunk % shards] * m, "row": list(range(m)), "doc_id": [x[0] for x in ids_], "n_tokens": sizes.tolist(), "known": known.tolist(),
+                "common": sums[0].tolist(), "context": sums[1].tolist(), "rare": [list(x) for x in counted], "times": [list(x.values()) for x in counted],
+            })
+            keys = _keys(ids, leaf, starts)
+            dealt = list(_split(_shard(keys, model.kinds[leaf], shards)))
+            k = len(dealt)
+            yield _rows({"chunk": [chunk] * k, "kind": [ASKED] * k, "shard": [s for s, _ in dealt], "a": [keys[i].tobytes() for _, i in dealt], "b": [of_doc[i].astype(np.int32).tobytes() for _, i in dealt]})
+            chunk += 1
+
+    def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leaves, at, own = shared()[0], None, None
+        for b in batches:
+            kind = b.column(1).to_numpy()
+            out: dict[str, list] = {"chunk": [], "kind": [], "a": [], "b": []}
+            for i in np.flatnonzero(kind != TEXT).tolist():
+                s = b.column(2)[i].as_py()
+                if kind[i] == WEIGHTS:
+                    at, own = s, [np.frombuffer(b.column(k)[i].as_py(), t) for k, t in zip((3, 4, 5, 6), (np.uint64, np.float32, np.uint64, np.float32), strict=True)]
+                    continue
+                asked, of_doc = (np.frombuffer(b.column(k)[i].as_py(), t) for k, t in ((3, np.uint64), (4, np.int32)))
+                if s == at:
+                    sums = np.bincount(of_doc, answer(*own, asked, leaves))
+                    some = np.unique(of_doc)
+                    out["chunk"].append(b.column(0)[i].as_py())
+                    out["kind"].append(ASKED)
+                    out["a"].append(some.tobytes())
+                    out["b"].append(sums[some].tobytes())
+            if out["chunk"]:
+                yield _rows(out)
+            if (kind == TEXT).any():
+                yield b.filter(pa.array(kind == TEXT))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sums = None, np.zeros(0)
         for b in batches:
-            out, held, size = [], [], 0
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                held.append((doc_id, tokens(text.as_py())))
-                size += len(held[-1][1])
-                if size >= 8 * BATCH:
-                    out += some(held)
-                    held, size = [], 0
-            if held:
-                out += some(held)
-            out = [(row + k, *x) for k, x in enumerate(out)]
-            row += len(out)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
-            names = ["row", "doc_id", "n_tokens", "known", "common", "context", "rare", "times"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types], names)
-
-    schema = "row long, doc_id long, n_tokens long, known long, common double, context double, rare array<binary>, times array<int>"
-    scored = cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, schema))
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    sums = rare.join(counts, "word").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"), F.sum("times").alias("found"))
+            chunk, kind, row = b.column(0).to_pylist(), b.column(1).to_numpy(), b.column(7).to_numpy(zero_copy_only=False)
+            more = np.zeros(b.num_rows)
+            for i in range(b.num_rows):
+                if chunk[i] != at:
+                    at, sums = chunk[i], np.zeros(0)
+                if kind[i] == ASKED:
+                    docs, x = np.frombuffer(b.column(3)[i].as_py(), np.int32), np.frombuffer(b.column(4)[i].as_py(), np.float64)
+                    if len(docs) and docs[-1] >= len(sums):
+                        sums = np.append(sums, np.zeros(int(docs[-1]) + 1 - len(sums)))
+                    sums[docs] += x
+                elif (r := int(row[i])) < len(sums):
+                    more[i] = sums[r]
+            stay = pa.array(kind == TEXT)
+            out = pa.RecordBatch.from_arrays([b.column(0), *b.columns[7:12], pa.array(b.column(12).to_numpy(zero_copy_only=False) + more / math.log(10)), *b.columns[13:]], ["chunk", *list(SCORED)[7:]])
+            yield out.filter(stay)
+
+    known_weights = weights.select(
+        F.lit(None).cast("long").alias("chunk"), F.lit(WEIGHTS).alias("kind"), "shard", F.col("keys").alias("a"), F.col("theta").alias("b"), F.col("heads").alias("c"), F.col("logs").alias("d"),
+        *[F.lit(None).cast(t).alias(c) for c, t in (x.split(" ") for x in SCHEMA.split(", ")[7:])],
+    )
+    asked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(ask, SCHEMA)
+    met = asked.unionByName(known_weights).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    replied = met.mapInArrow(reply, SCHEMA).repartition("chunk").sortWithinPartitions("chunk", "kind")
+    scored = cut(replied.mapInArrow(add, "chunk long, " + SCHEMA[SCHEMA.index("row ") :]))
+    drop(weights)
+    rare = scored.select("chunk", "row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("chunk", "row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
+    sums = rare.join(counts, "word").groupBy("chunk", "row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"), F.sum("times").alias("found"))
     both = F.col("common") + F.coalesce("logs", F.lit(0.0))
-    return scored.join(sums, "row", "left").select(
+    return scored.join(sums, ["chunk", "row"], "left").select(
         "doc_id",
         "n_tokens",
         (F.col("known") + F.coalesce("found", F.lit(0))).cast("long").alias("n_known"),
