@@ -69,12 +69,17 @@ def equivalent(a: Column, b: Column, tolerance: float = EPS) -> Column:
 
 
 def safe_ratio(a: Column, b: Column) -> Column:
-    """0/0 is 0, x/0 infinite."""
-    return F.when(b != 0, F.try_divide(a, b)).when(a == 0, F.lit(0.0)).otherwise(F.lit(float("inf")))
+    """NaN under a non-finite denominator; over one of up to EPS, 0 for a numerator of up to EPS and infinity for any other."""
+    small = F.when(F.abs(a) <= EPS, F.lit(0.0)).otherwise(F.lit(float("inf")))
+    return F.when(F.isnan(b) | (F.abs(b) == float("inf")), F.lit(float("nan"))).when(F.abs(b) <= EPS, small).otherwise(F.try_divide(a, b))
 
 
 def charbonnier(x: Column, scale: float = 1.0, eps: float = 1e-3) -> Column:
-    return scale * (F.sqrt(x * x + eps * eps) - eps)
+    """A smooth absolute value of x / scale, times the scale."""
+    if scale <= 0 or eps <= 0:
+        raise ValueError("scale and eps have to be positive")
+    y = x / scale
+    return scale * (F.sqrt(y * y + eps * eps) - eps)
 
 
 def finite(x: Column) -> Column:
@@ -95,13 +100,22 @@ def ard(deltas: list[Column], lengthscales: list[float], variance: float = 1.0)
     return variance * F.exp(-0.5 * sum((d / s) * (d / s) for d, s in zip(deltas, lengthscales, strict=True)))
 
 
+#: Radii of the analytic shapes, fixed values: of a scene's sphere and torus, and of those of a backend's benchmark.
+SPHERE, TORUS = 0.72, (0.78, 0.28)
+BENCHMARK_SPHERE, BENCHMARK_TORUS = 0.65, (0.62, 0.22)
+
+
+def _torus(x: Column, y: Column, z: Column, major: float, minor: float) -> Column:
+    ring = F.sqrt(x * x + y * y) - major
+    return F.sqrt(ring * ring + z * z) - minor
+
+
 def sdf(x: Column, y: Column, z: Column, shape: str) -> Column:
-    """Signed distances of analytic shapes."""
+    """Signed distances of a scene's analytic shapes."""
     if shape == "sphere":
-        return norm3(x, y, z) - 0.65
+        return norm3(x, y, z) - SPHERE
     if shape == "torus":
-        ring = F.sqrt(x * x + y * y) - 0.55
-        return F.sqrt(ring * ring + z * z) - 0.22
+        return _torus(x, y, z, *TORUS)
     if shape == "two_objects":
         return F.least(norm3(x + 0.52, y, z) - 0.47, norm3(x - 0.52, y, z) - 0.42)
     if shape == "non_star_convex":
@@ -109,6 +123,17 @@ def sdf(x: Column, y: Column, z: Column, shape: str) -> Column:
     raise ValueError(f"unknown shape {shape!r}")
 
 
+def benchmark_sdf(x: Column, y: Column, z: Column, shape: str) -> Column:
+    """Signed distances of the shapes that backends are compared on."""
+    if shape == "sphere":
+        return norm3(x, y, z) - BENCHMARK_SPHERE
+    if shape == "torus":
+        return _torus(x, y, z, *BENCHMARK_TORUS)
+    if shape == "wavy_plane":
+        return z - 0.18 * F.sin(4 * x) * F.cos(4 * y)
+    raise ValueError(f"unknown shape {shape!r}")
+
+
 def sdf_normal(x: Column, y: Column, z: Column, shape: str, eps: float = 1e-3) -> tuple[Column, Column, Column]:
     """Central differences, normalised."""
     grads = []

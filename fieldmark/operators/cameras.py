@@ -75,12 +75,29 @@ def motion_filter(pairs: DataFrame, translation: float, degrees: float) -> DataF
     return pairs.where((F.col("translation") <= translation) & (F.col("degrees") <= degrees))
 
 
-def failure_mode(psnr: Column, valid: Column, in_frame: Column, coverage: Column, blank: Column, low: float = 15.0, least: tuple[float, float, float] = (0.5, 0.1, 0.05)) -> Column:
-    """The first that holds: nothing rendered, points behind the camera, off frame, too little coverage, low PSNR; else none."""
-    return (
-        F.when(blank, "blank_render").when(valid < least[0], "behind_camera").when(in_frame < least[1], "off_frame")
-        .when(coverage < least[2], "low_coverage").when(psnr.isNull() | F.isnan(psnr), "missing_metric").when(psnr < low, "low_psnr").otherwise("none")
-    )
+def failure(frames: DataFrame, low_psnr: float = 12.0, valid: float = 0.05, in_frame: float = 0.01, coverage: float = 0.01, nonblack: float = 0.001) -> DataFrame:
+    """frames with failure_mode and failure_score (the higher the worse): the first that holds.
+
+    frames: missing_prediction, valid_depth_fraction, in_frame_fraction, projected_coverage_fraction,
+    prediction_nonblack_fraction, psnr; null fractions are 0, and a PSNR of 0 counts as none.
+    """
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    psnr = F.col("psnr")
+    known = psnr.isNotNull() & ~F.isnan(psnr) & (F.abs(psnr) != float("inf")) & (psnr != 0)
+    # names and scores are fixed values
+    cases = [
+        (F.coalesce("missing_prediction", F.lit(False)), "missing_prediction", F.lit(1000.0)),
+        (zero("valid_depth_fraction") < valid, "mostly_behind_camera_or_bad_convention", 900.0 + valid - zero("valid_depth_fraction")),
+        (zero("in_frame_fraction") < in_frame, "mostly_out_of_frame", 800.0 + in_frame - zero("in_frame_fraction")),
+        (zero("projected_coverage_fraction") < coverage, "low_projected_coverage", 700.0 + coverage - zero("projected_coverage_fraction")),
+        (zero("prediction_nonblack_fraction") < nonblack, "render_opacity_or_compositing_failure", 600.0 + nonblack - zero("prediction_nonblack_fraction")),
+        (known & (psnr < low_psnr), "appearance_or_alignment_error", 500.0 + low_psnr - psnr),
+    ]
+    found = F.lit(None)
+    for holds, name, score in reversed(cases):
+        found = F.when(holds, F.struct(F.lit(name).alias("m"), score.alias("s"))).otherwise(found if found is not None else F.lit(None))
+    none = F.struct(F.lit("no_obvious_alignment_failure").alias("m"), F.lit(0.0).alias("s"))
+    return frames.withColumn("_f", F.coalesce(found, none)).withColumns({"failure_mode": F.col("_f.m"), "failure_score": F.col("_f.s")}).drop("_f")
 
 
 def alignment_summary(frames: DataFrame, mode: str, metrics: list[str]) -> DataFrame:

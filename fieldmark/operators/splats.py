@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.functions.scalars import MIN_BAND_STD, MIN_GRAD, MIN_STD, clamp, normal_cdf, norm3, sigmoid, threshold_label
+from fieldmark.functions.scalars import EPS, MIN_BAND_STD, MIN_GRAD, MIN_STD, clamp, normal_cdf, norm3, sigmoid, threshold_label
 
 #: The constant spherical harmonic, a fixed value.
 SH0 = 0.28209479177387814
@@ -106,10 +106,14 @@ def normalise_confidence(df: DataFrame, c: str, least: float = 0.0, power: float
     return df.withColumn(c, F.pow(clamp(x, least, 1.0), F.lit(power)))
 
 
-def scales_from_uncertainty(std: Column, spacing: float, least: float, most: float) -> tuple[Column, Column]:
-    """(normal, tangent) scales: they widen by a quarter and a half of the uncertainty in units of the spacing."""
-    u = std / spacing
-    return clamp(spacing * (1 + 0.25 * u), least, most), clamp(spacing * (1 + 0.5 * u), least, most)
+def scales_from_uncertainty(std: Column, spacing: float, epsilon: float = 0.05, normal: float | None = None, tangent: float | None = None, factors: tuple[float, float] = (0.2, 0.8), most: float = 3.0, widen: bool = True) -> tuple[Column, Column, Column]:
+    """(normal, tangent, tangent) scales: factors of the spacing if they are not given, widened by a quarter and a half of the
+    uncertainty in units of epsilon, up to `most` of those."""
+    n = normal if normal is not None else max(spacing * factors[0], EPS)
+    t = tangent if tangent is not None else max(spacing * factors[1], EPS)
+    u = clamp(std / max(epsilon, EPS), 0.0, most) if widen else F.lit(0.0)
+    across = t * (1 + 0.5 * u)
+    return n * (1 + 0.25 * u), across, across
 
 
 def minmax01(df: DataFrame, c: str, name: str) -> DataFrame:

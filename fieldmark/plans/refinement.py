@@ -51,5 +51,5 @@ def zero_level_splats(seeds: DataFrame, model, copies: int = 3, spread: float =
     good = scored.where((F.abs("distance") <= band) & (F.col("band_probability") >= least_gate) & (F.col("distance_std") <= most_std))
     rows = cut(moved.join(good.select("id", F.col("band_probability").alias("score"), "distance_std", *[(F.col(f"g{a}") / F.col("grad_norm")).alias(f"n{a}") for a in gp.XYZ]), "id"))
     kept = select_diverse(rows, "score", radius, most)
-    normal, tangent = splats.scales_from_uncertainty(F.col("distance_std"), radius, radius / 4, radius * 4)
+    normal, tangent, _ = splats.scales_from_uncertainty(F.col("distance_std"), radius, epsilon)
     return kept.withColumns({"normal_scale": normal, "tangent_scale": tangent, "tau": splats.alpha_to_tau(F.col("score"))})
