@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldmark.functions.scalars import clamp, logit, sigmoid
-from fieldmark.operators.ranking import row_numbers
+from fieldmark.operators.ranking import quantiles, row_numbers
 
 TINY = 1e-6
 
@@ -70,41 +70,49 @@ class Isotonic:
         return step(F.col(self.column))
 
 
+#: Rows whose isotonic fit one task makes.
+BLOCK = 500_000
+
+
 def pool(scores: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Adjacent violators pooled, rows in the given order: (largest score, mean label, weight) of each block."""
-    value, weight, top = [], [], []
-    for s, y, w in zip(scores.tolist(), labels.tolist(), (np.ones(len(scores)) if weights is None else weights).tolist(), strict=True):
-        value.append(y)
-        weight.append(w)
-        top.append(s)
-        while len(value) > 1 and value[-2] > value[-1]:
-            w2 = weight[-2] + weight[-1]
-            value[-2:] = [(value[-2] * weight[-2] + value[-1] * weight[-1]) / w2]
-            weight[-2:], top[-2:] = [w2], [top[-1]]
-    return np.array(top), np.array(value), np.array(weight)
+    """Isotonic regression of rows in the given order: (largest score, mean label, weight) of each block; blocks' means increase.
+
+    The fit is the slope of the greatest convex function below the running sums of the labels over those of the weights: its
+    corners are what a monotone chain keeps of them. Blocks of equal means are one, which leaves the step function as it is.
+    """
+    w = np.concatenate(([0.0], np.cumsum(np.ones(len(scores)) if weights is None else weights)))
+    total = np.concatenate(([0.0], np.cumsum(labels if weights is None else labels * weights)))
+    x, y, corners = w.tolist(), total.tolist(), [0]
+    for k in range(1, len(x)):
+        while len(corners) > 1:
+            i, j = corners[-2:]
+            if (y[j] - y[i]) * (x[k] - x[j]) < (y[k] - y[j]) * (x[j] - x[i]):
+                break
+            corners.pop()
+        corners.append(k)
+    at = np.array(corners)
+    return np.asarray(scores)[at[1:] - 1], np.diff(total[at]) / np.diff(w[at]), np.diff(w[at])
 
 
 def fit_isotonic(train: DataFrame, column: str, label: str, id_: str) -> Isotonic:
     """Row by row, ties unpooled, in the order of (score, id).
 
-    Blocks of blocks pool to the same blocks as rows do, so each range of scores is pooled where it is, and only its
-    blocks, with their weights, are pooled again on the driver.
+    Blocks of blocks pool to the same blocks as rows do: rows are pooled BLOCK at a time, by rank, and only blocks, with their
+    weights, are pooled again on the driver.
     """
-    from fieldmark.operators.ranking import ranges
-
-    dealt = train.select(F.col(column).cast("double").alias("s"), F.col(label).cast("double").alias("y"), F.col(id_).alias("i")).where("s is not null and not isnan(s)")
-    dealt = dealt.withColumn("_range", ranges(dealt, "s"))
+    rows = train.select(F.col(column).cast("double").alias("s"), F.col(label).cast("double").alias("y"), F.col(id_).alias("i")).where("s is not null and not isnan(s)")
+    dealt = row_numbers(rows, "s", ["i"], "at").withColumn("part", F.floor((F.col("at") - 1) / BLOCK))
 
     def blocks(pdf):
         import pandas as pd
 
-        pdf = pdf.sort_values(["s", "i"], kind="mergesort")
+        pdf = pdf.sort_values("at")
         t, v, w = pool(pdf["s"].to_numpy(), pdf["y"].to_numpy())
-        return pd.DataFrame({"r": pdf["_range"].iloc[0], "k": range(len(t)), "t": t, "v": v, "w": w})
+        return pd.DataFrame({"r": pdf["part"].iloc[0], "k": range(len(t)), "t": t, "v": v, "w": w})
 
-    rows = dealt.groupBy("_range").applyInPandas(blocks, "r int, k int, t double, v double, w double").toPandas().sort_values(["r", "k"])
-    total = float((rows["v"] * rows["w"]).sum() / rows["w"].sum()) if len(rows) else 0.5
-    t, v, _ = pool(rows["t"].to_numpy(), rows["v"].to_numpy(), rows["w"].to_numpy())
+    found = dealt.groupBy("part").applyInPandas(blocks, "r long, k int, t double, v double, w double").toPandas().sort_values(["r", "k"])
+    total = float((found["v"] * found["w"]).sum() / found["w"].sum()) if len(found) else 0.5
+    t, v, _ = pool(found["t"].to_numpy(), found["v"].to_numpy(), found["w"].to_numpy())
     return Isotonic(column, t.tolist(), np.clip(v, TINY, 1 - TINY).tolist(), float(np.clip(total, TINY, 1 - TINY)))
 
 
@@ -133,7 +141,7 @@ def fit_logistic(train: DataFrame, features: list[str], label: str, iterations:
     """
     ok = lambda c: F.when(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c).cast("double"))
     clean = train.select(*[ok(c).alias(c) for c in features], F.col(label).cast("double").alias("_y"))
-    fill = [float(x) if x is not None else 0.0 for x in clean.agg(*[F.percentile(c, 0.5) for c in features]).first()]
+    fill = [float(x) if (x := quantiles(clean, c, {"m": 0.5}).first()[0]) is not None else 0.0 for c in features]
     filled = clean.fillna(dict(zip(features, fill, strict=True)), subset=features)
     stats = filled.agg(F.avg("_y"), F.min("_y"), F.max("_y"), *[F.avg(c) for c in features], *[F.stddev_pop(c) for c in features]).first()
     p = len(features)

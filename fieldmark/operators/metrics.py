@@ -33,8 +33,7 @@ def log_loss(p: Column, label: Column) -> Column:
 
 def pearson(x: Column, y: Column) -> Column:
     """Null for fewer than two rows or a constant column."""
-    sxy, sx, sy = F.avg(x * y) - F.avg(x) * F.avg(y), F.avg(x * x) - F.avg(x) * F.avg(x), F.avg(y * y) - F.avg(y) * F.avg(y)
-    return F.when((F.count("*") >= 2) & (F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.try_divide(sxy, F.sqrt(F.greatest(sx * sy, F.lit(0.0)))))
+    return F.when((F.count("*") >= 2) & (F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.corr(x, y))
 
 
 def ece_equal_width(df: DataFrame, p: str, label: str, bins: int = 10) -> DataFrame:
@@ -81,12 +80,34 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def classification(df: DataFrame, p: str, label: str, ties: list[str], bins: int = 10) -> DataFrame:
-    """Brier, NLL, ECE, AUC, average precision, Spearman and mean probability in a row; p is clipped to [1e-6, 1 - 1e-6]."""
-    q = df.withColumns({"_p": clamp(F.col(p), 1e-6, 1 - 1e-6), "_y": F.col(label).cast("double")})
-    base = q.agg(brier(F.col("_p"), F.col("_y")).alias("brier"), log_loss(F.col("_p"), F.col("_y")).alias("nll"), F.avg("_p").alias("mean_probability"), F.avg("_y").alias("positive_rate"))
-    for one in (ece_equal_width(q, "_p", "_y", bins), roc_auc(q, "_p", "_y"), average_precision(q, "_p", "_y", ties), spearman(q, "_p", "_y")):
-        base = base.join(F.broadcast(one))  # each side is one row, an aggregate of all
-    return base
+    """Brier, NLL, ECE, AUC, average precision, Spearman and mean probability in a row; p is clipped to [1e-6, 1 - 1e-6], label is 0 or 1.
+
+    Bins give all sums; values with their counts give AUC and Spearman (a label has two ranks); rows are ranked once, for average precision.
+    """
+    one = F.lit(1).cast("long")
+    q = df.select(*ties, clamp(F.col(p), 1e-6, 1 - 1e-6).alias("_p"), F.col(label).cast("double").alias("_y"), one.alias("_one"))
+    x, y, n = F.col("_p"), F.col("_y"), F.col("n")
+    binned = q.groupBy(bin_of(x, bins).alias("bin")).agg(
+        F.count("*").alias("n"), F.sum(x).alias("sp"), F.sum(y).alias("sy"), F.sum((x - y) * (x - y)).alias("se"), F.sum(y * F.log(x) + (1 - y) * F.log(1 - x)).alias("sl")
+    )
+    total = F.sum("n")
+    base = binned.agg(
+        (F.sum("se") / total).alias("brier"), (-F.sum("sl") / total).alias("nll"), (F.sum("sp") / total).alias("mean_probability"), (F.sum("sy") / total).alias("positive_rate"),
+        (F.sum(F.abs(F.col("sp") - F.col("sy"))) / total).alias("ece"),
+    )
+    values = running(q.groupBy("_p").agg(F.count("*").alias("n"), F.sum(y).alias("pos")), "_p", [], {"upto": "n"})
+    rank = F.col("upto") - n + (n + 1) / 2
+    pos, neg, size = F.sum("pos"), F.sum(n - F.col("pos")), F.sum(n)
+    # ranks of the labels are two values, so Spearman is the share of the largest sum of ranks that positives can reach, by deviation
+    gap, spread = F.sum(rank * F.col("pos")) - pos * (size + 1) / 2, F.sum(n * (rank - (F.lit(0.5)) ) * (rank - F.lit(0.5))) - size * (size / 2) * (size / 2)
+    ranks = values.agg(
+        F.when((pos > 0) & (neg > 0), (F.sum(rank * F.col("pos")) - pos * (pos + 1) / 2) / (pos * neg)).alias("auc"),
+        F.when((pos > 0) & (neg > 0) & (F.min("_p") < F.max("_p")), gap / F.sqrt(spread * pos * neg / size)).alias("spearman"),
+    )
+    ranked = running(q, "_p", ties, {"at": "_one", "tp": "_y"}, descending=True)
+    precision = ranked.agg(F.when(F.sum("_y") > 0, F.sum(F.col("tp") / F.col("at") * y) / F.sum("_y")).alias("average_precision"))
+    out = base.join(F.broadcast(ranks)).join(F.broadcast(precision))  # each side is one row, an aggregate of all
+    return out.select("brier", "nll", "mean_probability", "positive_rate", "ece", "auc", "average_precision", "spearman")
 
 
 def score_bins(df: DataFrame, score: str, error: str, thresholds: list[float], bins: int = 10) -> DataFrame:

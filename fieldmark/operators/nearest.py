@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldmark.operators.ranking import quantiles
 from fieldmark.sources.shared import cut
 
 #: Reference points that are sent to every task (32 bytes each, 6.4 MB); beyond, a grid join is used.
@@ -107,10 +108,16 @@ def grid_knn(query: DataFrame, reference: DataFrame, k: int = 1, coords: tuple[s
 
 def geometry_summary(pred: DataFrame, truth: DataFrame, thresholds: list[float]) -> DataFrame:
     """Accuracy and completion (mean, median, rmse), Chamfer distances, and precision, recall and F at each threshold."""
-    side = lambda a, b, n: knn(a, b).agg(
-        F.avg("distance").alias(f"{n}_mean"), F.percentile("distance", 0.5).alias(f"{n}_median"), F.sqrt(F.avg(F.col("distance") * F.col("distance"))).alias(f"{n}_rmse"),
-        F.array(*[F.avg((F.col("distance") <= t).cast("double")) for t in thresholds]).alias(f"{n}_within"),
-    )
+
+
+    def side(a: DataFrame, b: DataFrame, n: str) -> DataFrame:
+        found = cut(knn(a, b).select("distance"))
+        sums = found.agg(
+            F.avg("distance").alias(f"{n}_mean"), F.sqrt(F.avg(F.col("distance") * F.col("distance"))).alias(f"{n}_rmse"),
+            F.array(*[F.avg((F.col("distance") <= t).cast("double")) for t in thresholds]).alias(f"{n}_within"),
+        )
+        return sums.join(F.broadcast(quantiles(found, "distance", {f"{n}_median": 0.5})))  # a row each
+
     both = side(pred, truth, "accuracy").join(F.broadcast(side(truth, pred, "completion")))  # a row each
     ts = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col("accuracy_within")[k].alias("precision"), F.col("completion_within")[k].alias("recall")) for k, t in enumerate(thresholds)])
     total = F.col("precision") + F.col("recall")
@@ -126,23 +133,19 @@ def geometry_summary(pred: DataFrame, truth: DataFrame, thresholds: list[float])
 
 
 def in_polygon(x: Column, y: Column, polygon: list[tuple[float, float]]) -> Column:
-    """Even-odd rule; an edge counts when the point lies strictly left of where it crosses the point's height."""
-    inside = F.lit(False)
-    for (xj, yj), (xi, yi) in zip([polygon[-1], *polygon[:-1]], polygon, strict=True):
-        crosses = (F.lit(yi) > y) != (F.lit(yj) > y)
-        inside = inside != (crosses & (x < (xj - xi) * (y - yi) / (yj - yi + 1e-300) + xi))
-    return inside
+    """Whether a ray to the right of the point crosses an odd number of edges: those that pass its height, and of which it lies to the left.
+
+    On which side of an edge a point lies is the sign of the cross product of the edge and the way from its start to the point.
+    """
+    crossings = F.lit(0)
+    for k, (ax, ay) in enumerate(polygon):
+        bx, by = polygon[(k + 1) % len(polygon)]
+        if ay != by:
+            low, high = min(ay, by), max(ay, by)
+            cross = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+            crossings = crossings + F.when((y >= low) & (y < high) & (cross * (1.0 if by > ay else -1.0) > 0), 1).otherwise(0)
+    return crossings % 2 == 1
 
 
 def crop_box(points: DataFrame, lo: dict[str, float], hi: dict[str, float]) -> DataFrame:
     return points.where(" and ".join(f"{c} between {lo[c]!r} and {hi[c]!r}" for c in lo))
-
-
-def running_completion(ranked: DataFrame, truth: DataFrame) -> DataFrame:
-    """truth x ranked points -> for each truth point and rank, the distance to the nearest of the points up to that rank.
-
-    For nested top-k sets one pass over the pairs gives the completion of every k: a running minimum.
-    """
-    pairs = truth.select(F.col("id").alias("truth"), F.col("x").alias("r_x"), F.col("y").alias("r_y"), F.col("z").alias("r_z")).join(F.broadcast(ranked.limit(SMALL)))
-    w = Window.partitionBy("truth").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    return pairs.select("truth", "position", F.min(F.sqrt(_distance(("x", "y", "z")))).over(w).alias("distance"))

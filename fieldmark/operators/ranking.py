@@ -3,32 +3,52 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that a table is cut into for running sums.
-RANGES = 64
+#: Cells that the span of a key is cut into at each of two levels.
+CELLS = 4096
 
 
-def ranges(df: DataFrame, key: str, parts: int = RANGES) -> Column:
-    """The number of the range of a numeric column that a row is in; ranges hold about equally many rows."""
-    cuts = df.agg(F.percentile_approx(F.col(key), [k / parts for k in range(1, parts)], 2000).alias("c")).first()["c"] or []
-    below = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
-    return F.size(F.filter(below, lambda c: c < F.col(key)))
+def cells(df: DataFrame, key: str) -> DataFrame:
+    """df with _c1 and _c2: the cell of a numeric column that a row is in, and the cell within that cell.
+
+    Cells divide the span between the least and the largest finite value evenly, CELLS^2 in all; minus infinity (and null)
+    goes below them, infinity and NaN above. They never decrease with the key, and nothing is computed before the plan runs.
+    """
+    x = F.col(key).cast("double")
+    finite = F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")), x)
+    ends = df.agg(F.min(finite).alias("_lo"), F.max(finite).alias("_hi"))
+    part = (finite - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-300))
+    inside = F.least(F.floor(part * (CELLS * CELLS)), F.lit(CELLS * CELLS - 1))
+    cell = F.when(finite.isNotNull(), inside).when(x.isNull() | (x == float("-inf")), -CELLS).otherwise(CELLS * CELLS)
+    placed = df.join(F.broadcast(ends)).withColumn("_cell", cell)  # one row
+    return placed.withColumns({"_c1": F.floor(F.col("_cell") / CELLS), "_c2": F.col("_cell")}).drop("_lo", "_hi", "_cell")
 
 
 def running(df: DataFrame, key: str, ties: list[str], sums: dict[str, str], descending: bool = False, by: list[str] | None = None) -> DataFrame:
     """df with, for each name in sums, the sum of that column over all rows up to this one in the order of key and ties.
 
-    Rows are windowed within a range of the key; the sums of the ranges before are added from a table of a row a range.
-    With `by`, each group has its own sums.
+    Rows are windowed within a cell of the key; the sums of the cells before are added, in two levels, from tables of a row a
+    cell. With `by`, each group has its own sums. Rows of one key value are ordered in one task (Spark spills): group equal values
+    first where the result allows it.
     """
     by = by or []
-    dealt = df.withColumn("_range", ranges(df, key))
-    order = [F.desc(key) if descending else F.asc(key), *[F.asc(t) for t in ties]]
-    inner = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    outer = Window.partitionBy(*by).orderBy(F.desc("_range") if descending else F.asc("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = dealt.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
-    before = totals.select(*by, "_range", *[F.coalesce(F.sum(f"_t_{n}").over(outer), F.lit(0)).alias(f"_b_{n}") for n in sums])
+    dealt = cells(df, key)
+    way = F.desc if descending else F.asc
+    inner = Window.partitionBy(*by, "_c1", "_c2").orderBy(way(key), *[F.asc(t) for t in ties]).rowsBetween(Window.unboundedPreceding, 0)
+    fine = dealt.groupBy(*by, "_c1", "_c2").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    coarse = fine.groupBy(*by, F.col("_c1").alias("_c")).agg(*[F.sum(f"_t_{n}").alias(f"_u_{n}") for n in sums])
+    upto = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    outer = Window.partitionBy(*by).orderBy(way("_c"))
+    coarse = coarse.select(*[F.col(c).alias(f"_by_{c}") for c in by], "_c", *[upto(outer, f"_u_{n}").alias(f"_u_{n}") for n in sums])
+    middle = Window.partitionBy(*by, "_c1").orderBy(way("_c2"))
+    same = lambda t: [F.col(c).eqNullSafe(F.col(f"{t}_{c}")) for c in by]
+    before = (
+        fine.select(*by, "_c1", "_c2", *[upto(middle, f"_t_{n}").alias(f"_b_{n}") for n in sums])
+        .join(coarse, [F.col("_c1") == F.col("_c"), *same("_by")])
+        .select(*[F.col(c).alias(f"_at_{c}") for c in by], F.col("_c2").alias("_cell"), *[(F.col(f"_b_{n}") + F.col(f"_u_{n}")).alias(f"_b_{n}") for n in sums])
+    )
     within = dealt.withColumns({n: F.sum(c).over(inner) for n, c in sums.items()})
-    return within.join(before, [*by, "_range"]).withColumns({n: F.col(n) + F.col(f"_b_{n}") for n in sums}).drop("_range", *[f"_b_{n}" for n in sums])
+    joined = within.join(before, [F.col("_c2") == F.col("_cell"), *same("_at")])
+    return joined.withColumns({n: F.col(n) + F.col(f"_b_{n}") for n in sums}).drop("_c1", "_c2", "_cell", *[f"_b_{n}" for n in sums], *[f"_at_{c}" for c in by])
 
 
 def row_numbers(df: DataFrame, key: str, ties: list[str], name: str = "position", descending: bool = False) -> DataFrame:
@@ -42,14 +62,30 @@ def average_ranks(df: DataFrame, key: str, name: str = "average_rank") -> DataFr
     return df.join(ends, F.col(key) == F.col("_value")).drop("_value")
 
 
+def quantiles(df: DataFrame, column: str, qs: dict[str, float]) -> DataFrame:
+    """One row: for each name the quantile of the column's values (null and NaN left out), linear between two values; null if there are none.
+
+    Values are counted before they are ranked; the two values on either side of each quantile are picked by rank.
+    """
+    values = df.where(F.col(column).isNotNull() & ~F.isnan(column)).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    ranked = running(values, "v", [], {"upto": "n"}).join(F.broadcast(values.agg(F.sum("n").alias("all"))))  # one row
+    at = lambda q: F.lit(float(q)) * (F.col("all") - 1)
+    holds = lambda place: (F.col("upto") - F.col("n") <= place) & (place < F.col("upto"))
+    low = lambda q: F.max(F.when(holds(F.floor(at(q))), F.col("v")))
+    high = lambda q: F.max(F.when(holds(F.ceil(at(q))), F.col("v")))
+    part = lambda q: F.max(at(q) - F.floor(at(q)))
+    mixed = lambda q: F.when(low(q) == high(q), low(q)).otherwise(low(q) + (high(q) - low(q)) * part(q))
+    return ranked.agg(*[mixed(q).alias(name) for name, q in qs.items()])
+
+
 def top_fractions(df: DataFrame, key: str, ties: list[str], fractions: list[float], label: str | None = None) -> DataFrame:
     """A row for each distinct fraction: k = max(1, min(n, ceil(f n))), and the least and mean key, and hits, of the first k."""
     ranked = row_numbers(df, key, ties, descending=True)
-    n = df.count()
     hit = F.sum(F.col(label).cast("double")) if label else F.lit(None).cast("double")
-    out = None
-    wanted = sorted({(f, max(1, min(n, -int(-f * n // 1)))) for f in fractions})
-    fs = df.sparkSession.createDataFrame([(float(f), int(k)) for f, k in wanted], "fraction double, k long")
+    n = df.agg(F.count("*").alias("_all"))
+    wanted = df.sparkSession.createDataFrame([(float(f),) for f in sorted(set(fractions))], "fraction double")
+    k = F.greatest(F.lit(1), F.least(F.col("_all"), F.ceil(F.col("fraction") * F.col("_all"))))
+    fs = wanted.join(F.broadcast(n)).select("fraction", k.alias("k"))
     out = ranked.join(F.broadcast(fs), F.col("position") <= F.col("k"))  # a few fractions: a bounded table
     return out.groupBy("fraction", "k").agg(F.min(key).alias("key_min"), F.avg(key).alias("key_mean"), hit.alias("hits"))
 
