@@ -111,17 +111,18 @@ def gates(spark: SparkSession, path: str, candidates: tuple[str, ...] = ("gate",
 
 
 def maps(spark: SparkSession, path: str) -> DataFrame:
-    """2-D .npy maps as (path, y, x, value)."""
+    """.npy maps as (path, y, x, channel, value): one channel of 2-D maps, all of those of H x W x channels."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for p, content in zip(pdf["path"], pdf["content"], strict=True):
                 m = np.load(io.BytesIO(bytes(content)))
-                y, x = np.indices(m.shape[:2])
-                yield pd.DataFrame({"path": p, "y": y.ravel(), "x": x.ravel(), "value": m.reshape(m.shape[0] * m.shape[1], -1)[:, 0].astype(float)})
+                m = m.reshape(*m.shape[:2], -1)
+                y, x, c = (k.ravel() for k in np.indices(m.shape))
+                yield pd.DataFrame({"path": p, "y": y, "x": x, "channel": c, "value": m.ravel().astype(float)})
 
-    return files.mapInPandas(run, "path string, y int, x int, value double")
+    return files.mapInPandas(run, "path string, y int, x int, channel int, value double")
 
 
 def metric_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

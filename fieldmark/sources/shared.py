@@ -3,14 +3,22 @@
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; in local mode, where it may be unset, a folder of our own."""
     if not (where := spark.conf.get("spark.checkpoint.dir", "")):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="fieldmark-")
         spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where}/cut-{uuid.uuid4().hex}"
+    return where
+
+
+def cut(df: DataFrame) -> DataFrame:
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
