@@ -69,9 +69,9 @@ def agg_ece_equal_count(spark, d):
     return rounded(metrics.ece_equal_count(T.ev(spark, d), "p", "y", ["id"]))
 
 
-@query(oracle("ev", f"SELECT CAST(i AS INT) AS bin, coalesce(n, 0) AS n, {r('mp', 'mean_p')}, {r('my', 'rate')}, {r('abs(mp - my)', 'gap')} FROM range(10) t(i) LEFT JOIN (SELECT {BIN} AS b, count(*) AS n, avg(p) AS mp, avg(y) AS my FROM ev WHERE kind <> 'view' GROUP BY 1) ON b = i"))
+@query(oracle("ev", f"SELECT CAST(i AS INT) AS bin, coalesce(n, 0) AS n, {r('mp', 'mean_p')}, {r('my', 'rate')}, {r('abs(mp - my)', 'gap')} FROM range(10) t(i) LEFT JOIN (SELECT {BIN} AS b, count(*) AS n, avg(p) AS mp, avg(y) AS my FROM ev GROUP BY 1) ON b = i"))
 def agg_reliability_bins(spark, d):
-    return rounded(metrics.reliability(T.ev(spark, d).where("kind <> 'view'"), "p", "y"))
+    return rounded(metrics.reliability(T.ev(spark, d), "p", "y"))
 
 
 RANKS = "ranks AS (SELECT *, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2::DOUBLE AS rk FROM ev)"
@@ -150,7 +150,7 @@ def agg_iteration_trend(spark, d):
 
 @query(oracle("ev", f"SELECT {r('quantile_cont(value, 0.25)', 'q25')}, {r('median(value)', 'q50')}, {r('quantile_cont(value, 0.9)', 'q90')}, {r('median(value) FILTER (WHERE value > 0)', 'positive_median')} FROM ev"))
 def agg_quantiles(spark, d):
-    return rounded(T.ev(spark, d).agg(*[F.percentile("value", q).alias(f"q{round(100 * q)}") for q in (0.25, 0.5, 0.9)], F.percentile(F.when(F.col("value") > 0, F.col("value")), 0.5).alias("positive_median")))
+    return rounded(ranking.quantiles(T.ev(spark, d), "value", {f"q{round(100 * q)}": q for q in (0.25, 0.5, 0.9)}).join(F.broadcast(ranking.quantiles(T.ev(spark, d).where("value > 0"), "value", {"positive_median": 0.5}))))
 
 
 @query(oracle("ev", f"SELECT {r('sum(p * (value / 50 - 0.5) * (value / 50 - 0.5)) / greatest(sum(p), 1e-12::DOUBLE)', 'loss')} FROM ev"))
@@ -214,18 +214,21 @@ def prj_quality_labels(spark, d):
     return splats.within(T.ev(spark, d).select("id", "value"), "value", [0.05, 5.0]).select("id", "within_0p05", "within_5")
 
 
-@query(oracle("field", f"SELECT CAST(i AS BIGINT) AS id, {r('coalesce(variance, 0)', 'gate')}, variance IS NOT NULL AS scored FROM range(2000) t(i) LEFT JOIN (SELECT * FROM field WHERE id < 1000) ON id = i"))
+@query(f"SELECT CAST(i AS BIGINT) AS id, {r('coalesce(CAST(quality AS DOUBLE), 0)', 'gate')}, quality IS NOT NULL AS scored FROM range((SELECT max(doc_id) + 1 FROM documents)) t(i) LEFT JOIN labels ON doc_id = i")
 def snk_dense_gate(spark, d):
-    return rounded(splats.dense_gate(T.field(spark, d).where("id < 1000").select("id", F.col("variance").alias("gate")), 2000, "id", "gate"))
+    """Labels are the scored rows; every document's place below the largest id gets a gate."""
+    count = spark.read.parquet(f"{d}/documents.parquet").agg(F.max("doc_id")).first()[0] + 1
+    labels = spark.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("gate"))
+    return rounded(splats.dense_gate(labels, count, "id", "gate"))
 
 
 # --- scalars
 
 
-@query(oracle("pred", f"SELECT id, {r('sqrt(x * x + y * y + z * z) - 0.65::DOUBLE', 'sphere')}, {r('least(sqrt((x + 0.52::DOUBLE) * (x + 0.52::DOUBLE) + y * y + z * z) - 0.47::DOUBLE, sqrt((x - 0.52::DOUBLE) * (x - 0.52::DOUBLE) + y * y + z * z) - 0.42::DOUBLE)', 'two')}, {r('greatest(sqrt(x * x + y * y + z * z) - 0.82::DOUBLE, 0.62::DOUBLE - sqrt((x - 0.38::DOUBLE) * (x - 0.38::DOUBLE) + y * y + z * z))', 'notched')} FROM pred"))
+@query(oracle("pred", f"SELECT id, {r('sqrt(x * x + y * y + z * z) - 0.72::DOUBLE', 'sphere')}, {r('sqrt((sqrt(x * x + y * y) - 0.78::DOUBLE) * (sqrt(x * x + y * y) - 0.78::DOUBLE) + z * z) - 0.28::DOUBLE', 'torus')}, {r('sqrt((sqrt(x * x + y * y) - 0.62::DOUBLE) * (sqrt(x * x + y * y) - 0.62::DOUBLE) + z * z) - 0.22::DOUBLE', 'bench_torus')}, {r('z - 0.18::DOUBLE * sin(4 * x) * cos(4 * y)', 'wavy')}, {r('least(sqrt((x + 0.52::DOUBLE) * (x + 0.52::DOUBLE) + y * y + z * z) - 0.47::DOUBLE, sqrt((x - 0.52::DOUBLE) * (x - 0.52::DOUBLE) + y * y + z * z) - 0.42::DOUBLE)', 'two')}, {r('greatest(sqrt(x * x + y * y + z * z) - 0.82::DOUBLE, 0.62::DOUBLE - sqrt((x - 0.38::DOUBLE) * (x - 0.38::DOUBLE) + y * y + z * z))', 'notched')} FROM pred"))
 def scl_sdf(spark, d):
     xyz = [F.col(c) for c in "xyz"]
-    return rounded(T.pred(spark, d).select("id", S.sdf(*xyz, "sphere").alias("sphere"), S.sdf(*xyz, "two_objects").alias("two"), S.sdf(*xyz, "non_star_convex").alias("notched")))
+    return rounded(T.pred(spark, d).select("id", S.sdf(*xyz, "sphere").alias("sphere"), S.sdf(*xyz, "torus").alias("torus"), S.benchmark_sdf(*xyz, "torus").alias("bench_torus"), S.benchmark_sdf(*xyz, "wavy_plane").alias("wavy"), S.sdf(*xyz, "two_objects").alias("two"), S.sdf(*xyz, "non_star_convex").alias("notched")))
 
 
 @query(oracle("pred", f"SELECT id, {r('0.5::DOUBLE * x - y + 2', 'ax')}, {r('x + 0.25::DOUBLE * z', 'ay')}, {r('z - 1', 'az')}, {r('100 * x / (z + 1) + 50', 'u')}, {r('120 * y / (z + 1) + 40', 'v')} FROM pred"))
@@ -236,10 +239,10 @@ def scl_transform_project(spark, d):
     return rounded(T.pred(spark, d).select("id", ax.alias("ax"), ay.alias("ay"), az.alias("az"), u.alias("u"), v.alias("v")))
 
 
-@query(oracle("pred", f"SELECT id, {r('1 / (1 + exp(-(x - y)))', 'sigmoid')}, {r('ln(least(greatest(x, 1e-6::DOUBLE), 1 - 1e-6::DOUBLE) / (1 - least(greatest(x, 1e-6::DOUBLE), 1 - 1e-6::DOUBLE)))', 'logit')}, {r('CASE WHEN z <> 0 THEN x / z WHEN x = 0 THEN 0 END', 'ratio')}, {r('sqrt(x * x + 1e-6::DOUBLE) - 0.001::DOUBLE', 'charbonnier')}, {r('exp(-0.5::DOUBLE * (x * x + y * y) / (0.34::DOUBLE * 0.34::DOUBLE))', 'rbf')} FROM pred WHERE z <> 0 OR x = 0"))
+@query(oracle("pred", f"SELECT id, {r('1 / (1 + exp(-(x - y)))', 'sigmoid')}, {r('ln(least(greatest(x, 1e-6::DOUBLE), 1 - 1e-6::DOUBLE) / (1 - least(greatest(x, 1e-6::DOUBLE), 1 - 1e-6::DOUBLE)))', 'logit')}, {r('CASE WHEN abs(z) > 1e-12::DOUBLE THEN x / z WHEN abs(x) <= 1e-12::DOUBLE THEN 0 END', 'ratio')}, abs(z) <= 1e-12::DOUBLE AND abs(x) > 1e-12::DOUBLE AS ratio_infinite, {r('0.5::DOUBLE * (sqrt(4 * x * x + 1e-6::DOUBLE) - 0.001::DOUBLE)', 'charbonnier')}, {r('exp(-0.5::DOUBLE * (x * x + y * y) / (0.34::DOUBLE * 0.34::DOUBLE))', 'rbf')} FROM pred"))
 def scl_elementary(spark, d):
     x, y, z = (F.col(c) for c in "xyz")
-    return rounded(T.pred(spark, d).where("z <> 0 or x = 0").select("id", S.sigmoid(x - y).alias("sigmoid"), S.logit(x).alias("logit"), S.safe_ratio(x, z).alias("ratio"), S.charbonnier(x).alias("charbonnier"), S.rbf(x * x + y * y).alias("rbf")))
+    return rounded(T.pred(spark, d).withColumn("q", S.safe_ratio(F.col("x"), F.col("z"))).select("id", S.sigmoid(x - y).alias("sigmoid"), S.logit(x).alias("logit"), S.finite(F.col("q")).alias("ratio"), (F.col("q") == float("inf")).alias("ratio_infinite"), S.charbonnier(x, 0.5).alias("charbonnier"), S.rbf(x * x + y * y).alias("rbf")))
 
 
 @query("SELECT p_partkey AS id, substr(sha256(p_name), 1, 12) AS sha12, map_extract_value(map_from_entries([('a', p_brand), ('b', p_type)]), 'b') AS b FROM part")
@@ -265,8 +268,7 @@ def flt_polygon(spark, d):
 @query(oracle("ev", "SELECT id, value FROM ev WHERE value <= least(60, (SELECT quantile_cont(value, 0.8) FROM ev WHERE isfinite(value)))"))
 def flt_error_percentile(spark, d):
     e = T.ev(spark, d).select("id", "value")
-    limit = min(60.0, e.where(S.finite(F.col("value")).isNotNull()).agg(F.percentile("value", 0.8)).first()[0])
-    return e.where(F.col("value") <= limit)
+    return selection.within_quantile(e, "value", 0.8, 60.0)
 
 
 @query(oracle("ev", "SELECT id, p FROM ev WHERE p >= 0.25::DOUBLE"))
@@ -431,11 +433,11 @@ def src_regular_grid(spark, d):
     return g.select(F.col("i0").cast("int").alias("x"), F.col("i1").cast("int").alias("y"), F.round("c0", 6).alias("gx"), F.round("c1", 6).alias("gy"))
 
 
-@query(oracle("ev", f"SELECT id, k, {r('value * (0.2::DOUBLE + 0.6::DOUBLE * k / 2)', 'depth')}, {r('least(value * (1 - (0.2::DOUBLE + 0.6::DOUBLE * k / 2)), 0.5::DOUBLE)', 'sdf')} FROM ev, (SELECT unnest([0, 1, 2]) AS k) WHERE g < 10"))
+@query(oracle("ev", f"SELECT id, k, {r('value * (0.2::DOUBLE + 0.6::DOUBLE * k / 2)', 'depth')}, {r('least(value * (1 - (0.2::DOUBLE + 0.6::DOUBLE * k / 2)), 0.5::DOUBLE)', 'sdf')} FROM ev, (SELECT unnest([0, 1, 2]) AS k)"))
 def smp_ray_samples(spark, d):
     from fieldmark.operators.sampling import free_space
 
-    return rounded(free_space(T.ev(spark, d).where("g < 10").select("id", "value"), "value", 3, 0.2, 0.8, 0.5))
+    return rounded(free_space(T.ev(spark, d).select("id", "value"), "value", 3, 0.2, 0.8, 0.5))
 
 
 @query("""WITH long AS (SELECT l_returnflag AS case_id, 'q' AS metric, avg(l_quantity) AS value, 'filter' AS source, 1 AS priority FROM lineitem WHERE l_returnflag <> 'A' GROUP BY 1
@@ -545,11 +547,11 @@ def mod_opacity_grid(spark, d):
     return rounded(render.opacity_grid(p, -0.5, 1.5, 8).select("i", "j", "k", "opacity"), 5)
 
 
-@query("WITH v AS (SELECT DISTINCT l_linenumber AS i, CAST(l_quantity AS INT) // 10 AS j, CAST(round(l_discount * 100) AS INT) // 4 AS k FROM lineitem WHERE l_orderkey % 50 = 0), f AS (SELECT *, a AS axis, s AS side FROM v, (SELECT unnest([0, 1, 2]) AS a), (SELECT unnest([-1, 1]) AS s)) SELECT f.i, f.j, f.k, axis, side FROM f WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.i = f.i + CASE WHEN axis = 0 THEN side ELSE 0 END AND v.j = f.j + CASE WHEN axis = 1 THEN side ELSE 0 END AND v.k = f.k + CASE WHEN axis = 2 THEN side ELSE 0 END)")
+@query("WITH v AS (SELECT DISTINCT l_linenumber AS i, CAST(l_quantity AS INT) // 10 AS j, CAST(round(l_discount * 100) AS INT) // 4 AS k FROM lineitem), f AS (SELECT *, a AS axis, s AS side FROM v, (SELECT unnest([0, 1, 2]) AS a), (SELECT unnest([-1, 1]) AS s)) SELECT f.i, f.j, f.k, axis, side FROM f WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.i = f.i + CASE WHEN axis = 0 THEN side ELSE 0 END AND v.j = f.j + CASE WHEN axis = 1 THEN side ELSE 0 END AND v.k = f.k + CASE WHEN axis = 2 THEN side ELSE 0 END)")
 def mod_boundary_faces(spark, d):
     from fieldmark.operators import render
 
-    li = spark.read.parquet(f"{d}/lineitem.parquet").where("l_orderkey % 50 = 0")
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
     v = li.select(F.col("l_linenumber").alias("i"), F.expr("cast(cast(l_quantity as int) div 10 as int)").alias("j"), F.expr("cast(cast(round(l_discount * 100) as int) div 4 as int)").alias("k")).distinct()
     return render.boundary_faces(v)
 
@@ -570,11 +572,11 @@ def scl_quaternion(spark, d):
     return rounded(T.field(spark, d).select("id", m[0][0].alias("r00"), m[0][1].alias("r01"), m[1][2].alias("r12")))
 
 
-@query(oracle("ev", "SELECT id, CAST(active AS BOOLEAN) AS active, CASE WHEN active THEN least(1, (id - 100 + 1) / 50::DOUBLE) ELSE 0 END + 0.0::DOUBLE AS weight FROM (SELECT id, id BETWEEN 100 AND 900 AND (id - 100) % 10 = 0 AS active FROM ev WHERE id < 2000)"))
+@query(oracle("ev", "SELECT id, CAST(active AS BOOLEAN) AS active, CASE WHEN active THEN least(1, (id - 100 + 1) / 50::DOUBLE) ELSE 0 END + 0.0::DOUBLE AS weight FROM (SELECT id, id BETWEEN 100 AND 900 AND (id - 100) % 10 = 0 AS active FROM ev)"))
 def flt_schedule(spark, d):
     from fieldmark.streaming.scoring import schedule
 
-    return schedule(T.ev(spark, d).where("id < 2000").select("id", F.col("id").alias("iteration")), 100, 900, 10, 50).select("id", "active", "weight")
+    return schedule(T.ev(spark, d).select("id", F.col("id").alias("iteration")), 100, 900, 10, 50).select("id", "active", "weight")
 
 
 @query(oracle("ev", f"SELECT date_trunc('hour', ts) AS start, kind, count(*) AS n, {r('avg(value)', 'mean')} FROM ev GROUP BY 1, 2"))
@@ -691,13 +693,19 @@ def jon_ray_cameras(spark, d):
     return rounded(cameras.ray_cameras(p, T.truth(spark, d), images, 2))
 
 
-@query(oracle("ev", "SELECT CASE WHEN value < 1 THEN 'blank_render' WHEN p < 0.1::DOUBLE THEN 'behind_camera' WHEN value < 8 THEN 'off_frame' WHEN g % 10 = 0 THEN 'low_coverage' WHEN kind = 'view' THEN 'missing_metric' WHEN value < 30 THEN 'low_psnr' ELSE 'none' END AS mode, count(*) AS frames, round(avg(value), 6) + 0.0::DOUBLE AS mean_value FROM ev GROUP BY 1"))
+@query(oracle("ev", f"""SELECT f.m AS failure_mode, count(*) AS frames, {r('avg(f.s)', 'mean_score')} FROM (SELECT CASE WHEN g % 10 = 0 THEN {{m: 'missing_prediction', s: 1000::DOUBLE}} WHEN p < 0.05::DOUBLE THEN {{m: 'mostly_behind_camera_or_bad_convention', s: 900.05::DOUBLE - p}}
+  WHEN value / 100 < 0.01::DOUBLE THEN {{m: 'mostly_out_of_frame', s: 800.01::DOUBLE - value / 100}} WHEN (id % 50) / 500::DOUBLE < 0.01::DOUBLE THEN {{m: 'low_projected_coverage', s: 700.01::DOUBLE - (id % 50) / 500::DOUBLE}}
+  WHEN (id % 97) / 10000::DOUBLE < 0.001::DOUBLE THEN {{m: 'render_opacity_or_compositing_failure', s: 600.001::DOUBLE - (id % 97) / 10000::DOUBLE}} WHEN kind <> 'view' AND value <> 0 AND value < 12 THEN {{m: 'appearance_or_alignment_error', s: 512::DOUBLE - value}}
+  ELSE {{m: 'no_obvious_alignment_failure', s: 0::DOUBLE}} END AS f FROM ev) GROUP BY 1"""))
 def scl_failure_mode(spark, d):
     from fieldmark.operators import cameras
 
-    v = F.col("value")
-    mode = cameras.failure_mode(F.when(F.col("kind") != "view", v), F.when(F.col("p") < 0.1, 0.0).otherwise(1.0), F.when(v < 8, 0.0).otherwise(1.0), F.when(F.col("g") % 10 == 0, 0.0).otherwise(1.0), v < 1, 30.0)
-    return rounded(cameras.alignment_summary(T.ev(spark, d).withColumn("mode", mode), "mode", ["value"]))
+    v, i = F.col("value"), F.col("id")
+    frames = T.ev(spark, d).withColumns({
+        "missing_prediction": F.col("g") % 10 == 0, "valid_depth_fraction": F.col("p"), "in_frame_fraction": v / 100, "projected_coverage_fraction": (i % 50) / 500.0,
+        "prediction_nonblack_fraction": (i % 97) / 10000.0, "psnr": F.when(F.col("kind") != "view", v),
+    })
+    return rounded(cameras.alignment_summary(cameras.failure(frames), "failure_mode", ["failure_score"]).withColumnRenamed("mean_failure_score", "mean_score"))
 
 
 @query(oracle("variants", "SELECT kind, 'mean_psnr' AS metric, count(*) AS rows, count(*) - count(mean_psnr) AS missing, min(mean_psnr) AS worst_low, max(mean_psnr) AS worst_high, min(mean_psnr) >= 25.2::DOUBLE AS passed FROM variants GROUP BY kind UNION ALL SELECT kind, 'mean_lpips_vgg', count(*), count(*) - count(mean_lpips_vgg), min(mean_lpips_vgg), max(mean_lpips_vgg), false FROM variants GROUP BY kind"))

@@ -8,7 +8,7 @@ SQL = {
     "pred": "pred AS (SELECT p_partkey AS id, p_size / 50::DOUBLE AS x, p_retailprice / 2000::DOUBLE AS y, (p_partkey % 97) / 97::DOUBLE AS z FROM part)",
     "truth": "truth AS (SELECT s_suppkey AS id, (s_suppkey % 50) / 50::DOUBLE AS x, s_acctbal / 10000::DOUBLE AS y, s_nationkey / 25::DOUBLE AS z FROM supplier)",
     "field": "field AS (SELECT o_orderkey AS id, (o_custkey % 201 - 100) / 500::DOUBLE AS mean, (o_orderkey % 97 + 1) / 10000::DOUBLE AS variance, (o_custkey % 7) / 3.5::DOUBLE AS gx, (o_orderkey % 5) / 2.5::DOUBLE AS gy, 0.3::DOUBLE AS gz FROM orders)",
-    "variants": """variants AS (SELECT l_returnflag || l_linestatus || l_linenumber AS variant, l_returnflag AS kind, l_linenumber AS step, count(*) AS retained_count, count(*) / 60000::DOUBLE AS retention_fraction,
+    "variants": """variants AS (SELECT l_returnflag || l_linestatus || l_linenumber AS variant, l_returnflag AS kind, l_linenumber AS step, count(*) AS retained_count, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS retention_fraction,
   round(avg(l_quantity), 6) AS mean_psnr, round(avg(l_discount), 6) AS mean_ssim, CASE WHEN l_linenumber % 3 > 0 THEN round(avg(l_tax), 6) END AS mean_lpips_vgg FROM lineitem GROUP BY l_returnflag, l_linestatus, l_linenumber)""",
     "pix": "pix AS (SELECT l_linenumber AS frame, l_discount * 10 AS a, l_tax / 0.08::DOUBLE AS b FROM lineitem)",
 }
@@ -41,9 +41,10 @@ def field(spark, d):
 
 def variants(spark, d):
     g = _table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus", "l_linenumber").agg(F.count("*").alias("retained_count"), F.round(F.avg("l_quantity"), 6).alias("mean_psnr"), F.round(F.avg("l_discount"), 6).alias("mean_ssim"), F.round(F.avg("l_tax"), 6).alias("t"))
-    return g.select(
+    total = g.agg(F.sum("retained_count").alias("total"))
+    return g.join(F.broadcast(total)).select(
         F.concat("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")).alias("variant"), F.col("l_returnflag").alias("kind"), F.col("l_linenumber").alias("step"),
-        "retained_count", (F.col("retained_count") / 60000.0).alias("retention_fraction"), "mean_psnr", "mean_ssim", F.when(F.col("l_linenumber") % 3 > 0, F.col("t")).alias("mean_lpips_vgg"),
+        "retained_count", (F.col("retained_count") / F.col("total").cast("double")).alias("retention_fraction"), "mean_psnr", "mean_ssim", F.when(F.col("l_linenumber") % 3 > 0, F.col("t")).alias("mean_lpips_vgg"),
     )
 
 

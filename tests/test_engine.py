@@ -95,6 +95,39 @@ def test_pareto_infinite_baseline(spark):
     assert got["half"].selected and not got["third"].feasible and not got["base"].pareto_frontier and got["third"].psnr_drop == inf
 
 
+def test_values_of_the_shapes_and_functions(spark):
+    """Constants that results depend on."""
+    from fieldmark.functions import scalars as S
+
+    p = spark.createDataFrame([(0.0, 0.0, 1.0, float("inf"), float("nan"))], "x double, y double, z double, i double, n double")
+    x, y, z, i, n = (F.col(c) for c in "xyzin")
+    got = p.select(
+        S.sdf(x, y, z, "sphere").alias("a"), S.sdf(x, y, z, "torus").alias("b"), S.benchmark_sdf(x, y, z, "sphere").alias("c"), S.charbonnier(z, 0.5, 1e-3).alias("d"), S.safe_ratio(z, i).alias("e"),
+        S.safe_ratio(z, x + 1e-13).alias("f"), S.safe_ratio(x, y).alias("g"), S.safe_ratio(z, n).alias("h"), S.benchmark_sdf(x, y, z, "torus").alias("k"),
+    ).first()
+    assert got.a == pytest.approx(0.28) and got.b == pytest.approx((0.78**2 + 1) ** 0.5 - 0.28) and got.c == pytest.approx(0.35) and got.k == pytest.approx((0.62**2 + 1) ** 0.5 - 0.22)
+    assert got.d == pytest.approx(0.5 * ((4 + 1e-6) ** 0.5 - 1e-3)) and np.isnan(got.e) and np.isnan(got.h) and got.f == float("inf") and got.g == 0
+    s = spark.createDataFrame([(0.0,), (0.025,), (1.0,)], "s double")
+    scales = [tuple(r) for r in s.select(*[c.alias(f"c{k}") for k, c in enumerate(splats.scales_from_uncertainty(F.col("s"), 0.1, 0.05))]).collect()]
+    assert scales == [pytest.approx((0.02 * (1 + 0.25 * u), 0.08 * (1 + 0.5 * u), 0.08 * (1 + 0.5 * u))) for u in (0, 0.5, 3)]
+
+
+def test_quantiles(spark):
+    r = np.random.default_rng(5)
+    x = np.concatenate([np.round(r.normal(size=500), 1), [1e9, -1e9, 3.25]])
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "v double").repartition(4)
+    got = ranking.quantiles(df, "v", {"a": 0.0, "b": 0.37, "c": 0.5, "d": 1.0}).first()
+    assert list(got) == pytest.approx(np.quantile(x, [0, 0.37, 0.5, 1]).tolist())
+    assert ranking.quantiles(df.limit(0), "v", {"a": 0.5}).first().a is None
+
+
+def test_pooling_joins_equal_blocks():
+    top, value, weight = calibration.pool(np.arange(20_000.0), (np.arange(20_000) >= 7_000).astype(float))
+    assert top.tolist() == [6999, 19999] and value.tolist() == [0, 1] and weight.tolist() == [7000, 13000]
+    top, value, _ = calibration.pool(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]))
+    assert top.tolist() == [1, 3, 4] and value.tolist() == [0, 0.5, 1]
+
+
 def test_isotonic_matches_plain_pooling(spark):
     r = np.random.default_rng(1)
     s, y = np.round(r.random(800), 2), (r.random(800) < 0.4).astype(float)
@@ -286,6 +319,8 @@ def test_scene_sources(spark, tmp_path):
     assert [r.gate for r in scenes.gates(spark, str(tmp_path / "s.npz")).orderBy("row").collect()] == [0.0, 1.0]
     np.save(tmp_path / "m.npy", np.arange(6).reshape(2, 3))
     assert scenes.maps(spark, str(tmp_path / "m.npy")).where("y = 1 and x = 2").first().value == 5.0
+    np.save(tmp_path / "n.npy", np.arange(24.0).reshape(2, 4, 3))
+    assert [r.value for r in scenes.maps(spark, str(tmp_path / "n.npy")).where("y = 1 and x = 2").orderBy("channel").collect()] == [18.0, 19.0, 20.0]
     (tmp_path / "a.txt").write_text(" ".join(map(str, range(16))))
     assert scenes.matrix(spark, str(tmp_path / "a.txt"))[1, 0] == 4
 
