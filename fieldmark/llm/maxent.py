@@ -23,7 +23,7 @@ SHARED = 512
 ROWS = 1 << 16
 FEATURES = 4
 #: Tokens that are looked at together, and for which a task keeps counts before it hands them on.
-BATCH, CHUNK, FLUSH = 16_384, 1 << 19, 1 << 22
+BATCH, CHUNK, FLUSH = 16_384, 1 << 18, 1 << 21
 #: Training tokens for each shard of the words' weights.
 SHARD = 3_000_000
 #: Precisions of the weights' Gaussian priors; steps of their training.
@@ -189,6 +189,36 @@ def _split(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(dealt[a]), order[a:b]
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers up to 32 bits, compressed, with their width and number before them."""
+    x = x.astype("<u2" if len(x) and x.max() < 1 << 16 else "<u4")
+    return bytes([x.itemsize]) + len(x).to_bytes(4, "little") + pa.compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    size, n = blob[0], int.from_bytes(blob[1:5], "little")
+    raw = pa.decompress(blob[5:], decompressed_size=size * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(f"<u{size}").ravel()
+
+
+def _packed_keys(keys: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted keys as steps from context to context, and leaves."""
+    context = (keys >> np.uint64(32)).astype(np.uint32)
+    return _packed(np.diff(context, prepend=np.uint32(0))), _packed((keys & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+
+
+def _unpacked_keys(steps: bytes, leaf: bytes) -> np.ndarray:
+    context = np.cumsum(_unpacked(steps).astype(np.uint32), dtype=np.uint32)
+    return context.astype(np.uint64) << np.uint64(32) | _unpacked(leaf).astype(np.uint64)
+
+
+def _heads(keys: np.ndarray, leaves: Leaves) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted keys, which softmax each is in, as context and first leaf; and where in the keys each softmax starts."""
+    kind = leaves.class_of((keys & np.uint64(0xFFFFFFFF)).astype(np.int64))
+    heads = (keys >> np.uint64(32) << np.uint64(32)) | leaves.first[kind].astype(np.uint64)
+    return heads, np.flatnonzero(np.concatenate(([True], heads[1:] != heads[:-1]))) if len(keys) else np.zeros(0, np.int64)
+
+
 def fit_words(keys: np.ndarray, n: np.ndarray, share: np.ndarray, leaves: Leaves) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(keys sorted, counts) of whole softmaxes -> (weights of the keys, keys of the softmaxes: context and first leaf, log of their sums).
 
@@ -196,9 +226,7 @@ def fit_words(keys: np.ndarray, n: np.ndarray, share: np.ndarray, leaves: Leaves
     step moves all weights along the gradient of the log-likelihood less the prior's, scaled by its diagonal curvature.
     """
     leaf = (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    kind = leaves.class_of(leaf)
-    heads = (keys >> np.uint64(32) << np.uint64(32)) | leaves.first[kind].astype(np.uint64)
-    at = np.flatnonzero(np.concatenate(([True], heads[1:] != heads[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    heads, at = _heads(keys, leaves)
     if not len(keys):
         return np.zeros(0), heads, np.zeros(0)
     sizes = np.diff(np.append(at, len(keys)))
@@ -220,8 +248,7 @@ def fit_words(keys: np.ndarray, n: np.ndarray, share: np.ndarray, leaves: Leaves
 def answer(keys: np.ndarray, theta: np.ndarray, heads: np.ndarray, logs: np.ndarray, asked: np.ndarray, leaves: Leaves) -> np.ndarray:
     """weight - log of the sum, for each key asked; what was never seen has weight 0 and sum 1."""
     out = np.zeros(len(asked))
-    leaf = (asked & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    want = (asked >> np.uint64(32) << np.uint64(32)) | leaves.first[leaves.class_of(leaf)].astype(np.uint64)
+    want = _heads(asked, leaves)[0]
     for own, values, wanted, sign in ((keys, theta, asked, 1.0), (heads, logs, want, -1.0)):
         if len(own):
             at = np.searchsorted(own, wanted).clip(0, len(own) - 1)
@@ -245,12 +272,13 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterato
         yield held, words, np.array(starts)
 
 
-def _blocks(kind: int, at: list[int], a: list[bytes], b: list[bytes] | None = None) -> pa.RecordBatch:
+def _blocks(kind: int, at: list[int], *blobs: list[bytes]) -> pa.RecordBatch:
     n = len(at)
-    return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array(at, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary()) if b else pa.nulls(n, pa.binary())], ["kind", "at", "a", "b"])
+    columns = [pa.array(x, pa.binary()) for x in blobs] + [pa.nulls(n, pa.binary())] * (3 - len(blobs))
+    return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array(at, pa.int32()), *columns], ["kind", "at", "a", "b", "c"])
 
 
-PARTS = "kind int, at int, a binary, b binary"
+PARTS = "kind int, at int, a binary, b binary, c binary"
 
 
 def _added(parts: DataFrame, rows: int) -> np.ndarray:
@@ -345,7 +373,7 @@ def _sent(spark, leaves: Leaves, model: Model | None = None):
 
 
 def train(docs: DataFrame, model: Model, shards: int, rounds: int = 2) -> DataFrame:
-    """docs (doc_id, text) -> the words' weights as a table (shard, keys, theta, heads, logs); the model's other weights are set.
+    """docs (doc_id, text) -> the words' weights as a table (shard, contexts, leaves, theta, logs of the softmaxes' sums); the model's other weights are set.
 
     One pass counts, for each task, how often classes follow features and leaves follow words. From the first the classes'
     weights start; in each round tasks sum their gradient over a part of the texts (by a hash of the id and text, each text in
@@ -365,7 +393,8 @@ def train(docs: DataFrame, model: Model, shards: int, rounds: int = 2) -> DataFr
             keys, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
             dealt = list(_split(_shard(keys, leaves.class_of((keys & np.uint64(0xFFFFFFFF)).astype(np.int64)), shards)))
-            return _blocks(1, [s for s, _ in dealt], [keys[i].tobytes() for _, i in dealt], [n[i].astype(np.uint32).tobytes() for _, i in dealt])
+            packed = [_packed_keys(keys[i]) for _, i in dealt]
+            return _blocks(1, [s for s, _ in dealt], [x for x, _ in packed], [x for _, x in packed], [_packed(n[i]) for _, i in dealt])
 
         for _, words, starts in _texts(batches, 0, CHUNK):
             ids, leaf = codes.of(words)
@@ -401,20 +430,20 @@ def train(docs: DataFrame, model: Model, shards: int, rounds: int = 2) -> DataFr
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (leaves, model), by_shard = shared(), {}
         for b in batches:
-            for at, x, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                by_shard.setdefault(at, []).append((np.frombuffer(x.as_py(), np.uint64), np.frombuffer(n.as_py(), np.uint32)))
+            for at, x, y, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                by_shard.setdefault(at, []).append((_unpacked_keys(x, y), _unpacked(n)))
         for at in sorted(by_shard):
             keys, n = (np.concatenate(x) for x in zip(*by_shard.pop(at), strict=True))
             order = np.argsort(keys)
             keys, n = keys[order], n[order].astype(np.int64)
             first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
             keys, n = keys[first], np.add.reduceat(n, first)
-            theta, heads, logs = fit_words(keys, n, model.share, leaves)
-            values = [keys.tobytes(), theta.astype(np.float32).tobytes(), heads.tobytes(), logs.astype(np.float32).tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), *[pa.array([x], pa.binary()) for x in values]], ["shard", "keys", "theta", "heads", "logs"])
+            theta, _, logs = fit_words(keys, n, model.share, leaves)
+            values = [*_packed_keys(keys), theta.astype(np.float32).tobytes(), logs.astype(np.float32).tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), *[pa.array([x], pa.binary()) for x in values]], ["shard", "contexts", "leaves", "theta", "logs"])
 
-    pairs = parts.where("kind = 1").select("at", "a", "b").repartition(shards, "at")
-    table = cut(pairs.mapInArrow(fit, "shard int, keys binary, theta binary, heads binary, logs binary"))
+    pairs = parts.where("kind = 1").select("at", "a", "b", "c").repartition(shards, "at")
+    table = cut(pairs.mapInArrow(fit, "shard int, contexts binary, leaves binary, theta binary, logs binary"))
     drop(parts)
     return table
 
@@ -497,9 +526,14 @@ def score(docs: DataFrame, training: DataFrame, head_size: int = HEAD, rounds: i
                 "common": sums[0].tolist(), "context": sums[1].tolist(), "rare": [list(x) for x in counted], "times": [list(x.values()) for x in counted],
             })
             keys = _keys(ids, leaf, starts)
-            dealt = list(_split(_shard(keys, model.kinds[leaf], shards)))
-            k = len(dealt)
-            yield _rows({"chunk": [chunk] * k, "kind": [ASKED] * k, "shard": [s for s, _ in dealt], "a": [keys[i].tobytes() for _, i in dealt], "b": [of_doc[i].astype(np.int32).tobytes() for _, i in dealt]})
+            order = np.argsort(keys)
+            keys, of_doc = keys[order], of_doc[order]
+            out: dict[str, list] = {c: [] for c in ("chunk", "kind", "shard", "a", "b", "c", "d")}
+            for s, i in _split(_shard(keys, model.kinds[leaf[order]], shards)):
+                own, new = keys[i], np.concatenate(([True], keys[i][1:] != keys[i][:-1]))
+                for c, x in zip(out, (chunk, ASKED, s, *_packed_keys(own[new]), _packed(new.astype(np.uint32)), _packed(of_doc[i])), strict=True):
+                    out[c].append(x)
+            yield _rows(out)
             chunk += 1
 
     def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -509,17 +543,18 @@ def score(docs: DataFrame, training: DataFrame, head_size: int = HEAD, rounds: i
             out: dict[str, list] = {"chunk": [], "kind": [], "a": [], "b": []}
             for i in np.flatnonzero(kind != TEXT).tolist():
                 s = b.column(2)[i].as_py()
+                blobs = [b.column(k)[i].as_py() for k in (3, 4, 5, 6)]
                 if kind[i] == WEIGHTS:
-                    at, own = s, [np.frombuffer(b.column(k)[i].as_py(), t) for k, t in zip((3, 4, 5, 6), (np.uint64, np.float32, np.uint64, np.float32), strict=True)]
-                    continue
-                asked, of_doc = (np.frombuffer(b.column(k)[i].as_py(), t) for k, t in ((3, np.uint64), (4, np.int32)))
-                if s == at:
-                    sums = np.bincount(of_doc, answer(*own, asked, leaves))
+                    keys = _unpacked_keys(*blobs[:2])
+                    heads, first = _heads(keys, leaves)
+                    at, own = s, (keys, np.frombuffer(blobs[2], np.float32), heads[first], np.frombuffer(blobs[3], np.float32))
+                elif s == at:
+                    of_doc = _unpacked(blobs[3])
+                    value = answer(*own, _unpacked_keys(*blobs[:2]), leaves)[np.cumsum(_unpacked(blobs[2]), dtype=np.int64) - 1]
+                    sums = np.bincount(of_doc, value)
                     some = np.unique(of_doc)
-                    out["chunk"].append(b.column(0)[i].as_py())
-                    out["kind"].append(ASKED)
-                    out["a"].append(some.tobytes())
-                    out["b"].append(sums[some].tobytes())
+                    for c, x in zip(out, (b.column(0)[i].as_py(), ASKED, _packed(some), sums[some].astype(np.float32).tobytes()), strict=True):
+                        out[c].append(x)
             if out["chunk"]:
                 yield _rows(out)
             if (kind == TEXT).any():
@@ -534,7 +569,7 @@ def score(docs: DataFrame, training: DataFrame, head_size: int = HEAD, rounds: i
                 if chunk[i] != at:
                     at, sums = chunk[i], np.zeros(0)
                 if kind[i] == ASKED:
-                    docs, x = np.frombuffer(b.column(3)[i].as_py(), np.int32), np.frombuffer(b.column(4)[i].as_py(), np.float64)
+                    docs, x = _unpacked(b.column(3)[i].as_py()), np.frombuffer(b.column(4)[i].as_py(), np.float32)
                     if len(docs) and docs[-1] >= len(sums):
                         sums = np.append(sums, np.zeros(int(docs[-1]) + 1 - len(sums)))
                     sums[docs] += x
@@ -545,7 +580,7 @@ def score(docs: DataFrame, training: DataFrame, head_size: int = HEAD, rounds: i
             yield out.filter(stay)
 
     known_weights = weights.select(
-        F.lit(None).cast("long").alias("chunk"), F.lit(WEIGHTS).alias("kind"), "shard", F.col("keys").alias("a"), F.col("theta").alias("b"), F.col("heads").alias("c"), F.col("logs").alias("d"),
+        F.lit(None).cast("long").alias("chunk"), F.lit(WEIGHTS).alias("kind"), "shard", F.col("contexts").alias("a"), F.col("leaves").alias("b"), F.col("theta").alias("c"), F.col("logs").alias("d"),
         *[F.lit(None).cast(t).alias(c) for c, t in (x.split(" ") for x in SCHEMA.split(", ")[7:])],
     )
     asked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(ask, SCHEMA)
