@@ -19,9 +19,9 @@ HEAD = 200_000
 CLASSES = 8
 #: Leaves of a class that its other words share.
 SHARED = 512
-#: Rows of weights that features of a class are hashed to.
+#: Rows of weights that features of a class are hashed to, a power of two.
 ROWS = 1 << 16
-FEATURES = 4
+FEATURES = 3
 #: Tokens that are looked at together, and for which a task keeps counts before it hands them on.
 BATCH, CHUNK, FLUSH = 16_384, 1 << 18, 1 << 21
 #: Training tokens for each shard of the words' weights.
@@ -150,23 +150,23 @@ def _back(ids: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
 
 
 def _features(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Rows of weights for each token: the word before, the two before, and skips to the second and third before. starts: where texts start."""
-    one, two, three = (_back(ids, starts, k) for k in (1, 2, 3))
-    mixed = (one, one * np.uint64(0x9E3779B1) + two, two + np.uint64(0x5BD1E995), three + np.uint64(0x27D4EB2F))
+    """Rows of weights for each token: the word before, the two before, and a skip to the second before. starts: where texts start."""
+    one, two = (_back(ids, starts, k) for k in (1, 2))
+    mixed = (one, one * np.uint64(0x9E3779B1) + two, two + np.uint64(0x5BD1E995))
     out = np.empty((FEATURES, len(ids)), np.intp)
     for k, x in enumerate(mixed):
-        out[k] = (((x + np.uint64(k)) * MIX) >> np.uint64(40)) % np.uint64(ROWS)
+        out[k] = (((x + np.uint64(k)) * MIX) >> np.uint64(40)) & np.uint64(ROWS - 1)
     return out
 
 
 def _class_logs(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Logarithms of the classes' probabilities for each token."""
+    """Logarithms of the classes' probabilities for each token; kept where exp holds in single precision."""
     z = weights.take(rows[0], axis=0)
     for k in range(1, FEATURES):
         z += weights.take(rows[k], axis=0)
     z += bias
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
+    np.clip(z, -60, 60, out=z)
+    z -= np.log(np.exp(z) @ np.ones(CLASSES, np.float32))[:, None]
     return z
 
 
@@ -515,11 +515,11 @@ def score(docs: DataFrame, training: DataFrame, head_size: int = HEAD, rounds: i
             common[rare] = 0
             sums = [np.add.reduceat(x, starts) for x in (common, found)]
             known = np.add.reduceat((~rare).astype(np.int64), starts)
-            of_doc = np.searchsorted(starts, np.arange(len(words)), "right") - 1
+            sizes = np.diff(np.append(starts, len(words)))
+            of_doc = np.repeat(np.arange(len(starts)), sizes)
             rare = np.flatnonzero(rare)
             edges = np.searchsorted(of_doc[rare], np.arange(len(starts) + 1))
             counted = [Counter([words[i] for i in rare[a:b].tolist()]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            sizes = np.diff(np.append(starts, len(words)))
             m = len(starts)
             yield _rows({
                 "chunk": [chunk] * m, "kind": [TEXT] * m, "shard": [chunk % shards] * m, "row": list(range(m)), "doc_id": [x[0] for x in ids_], "n_tokens": sizes.tolist(), "known": known.tolist(),

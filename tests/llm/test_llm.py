@@ -542,8 +542,8 @@ def plain_maxent(training, texts, head_size, parts, rounds):
     def features(t):
         big, out = (1 << 64) - 1, []
         for i in range(len(t)):
-            one, two, three = (crc(t[i - j]) if i >= j else 1 for j in (1, 2, 3))
-            mixed = (one, (one * 0x9E3779B1 + two) & big, two + 0x5BD1E995, three + 0x27D4EB2F)
+            one, two = (crc(t[i - j]) if i >= j else 1 for j in (1, 2))
+            mixed = (one, (one * 0x9E3779B1 + two) & big, two + 0x5BD1E995)
             out.append([((x + k) * 0x9E3779B97F4A7C15 & big) >> 40 & maxent.ROWS - 1 for k, x in enumerate(mixed)])
         return out
 
@@ -575,7 +575,7 @@ def plain_maxent(training, texts, head_size, parts, rounds):
         for row, w in weights.items():
             d = g.get(row, [0.0] * maxent.CLASSES)
             for k in k_all:
-                w[k] -= (d[k] + maxent.PRIOR_CLASS * now[k] * w[k] / 4 / rounds) / ((at_row[row] + maxent.PRIOR_CLASS) * now[k] * 4 / rounds)
+                w[k] -= (d[k] + maxent.PRIOR_CLASS * now[k] * w[k] / maxent.FEATURES / rounds) / ((at_row[row] + maxent.PRIOR_CLASS) * now[k] * maxent.FEATURES / rounds)
         bias = [b - d / max(n / rounds, 1) for b, d, n in zip(bias, g0, total, strict=True)]
     pairs = {}
     for t in training:
