@@ -1,8 +1,6 @@
 """A query for each operator that the driver's tables can show, with the SQL that gives the same rows."""
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldmark.functions import scalars as S
@@ -10,36 +8,14 @@ from fieldmark.functions.linspace import bin_of
 from fieldmark.functions.scalars import normal_cdf_sql
 from fieldmark.operators import calibration, metrics, nearest, ranking, selection, splats
 from fieldmark.plans import tables as T
+from fieldmark.plans.registry import ORACLES, QUERIES, query, r, rounded
 from fieldmark.plans.tables import oracle
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
 FRACTIONS = [0.01, 0.1, 0.25, 0.5, 1.0]
 THRESHOLDS = [0.05, 0.1, 0.2]
 
 
-def query(sql: str | None = None):
-    """Registers a function under its name, with its SQL if there is any."""
-
-    def put(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return put
-
-
-def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Doubles to so many places: sums in another order differ in the last bits. Minus zero is zero."""
-    return df.select(*[(F.round(c, places) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
-
-def r(expression: str, name: str, places: int = 6) -> str:
-    return f"round({expression}, {places}) + 0.0::DOUBLE AS {name}"
-
+__all__ = ["ORACLES", "QUERIES"]
 
 # --- aggregates
 
