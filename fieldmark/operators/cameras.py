@@ -48,17 +48,19 @@ def orient(normals: DataFrame) -> DataFrame:
 def view_counts(points: DataFrame, frames: DataFrame, near: float = 1e-3) -> DataFrame:
     """(id, views): in how many frames each point is in front and inside the image.
 
-    frames: (frame, m: array of 12 doubles, row by row, fx, fy, cx, cy, w, h). Each point meets each frame once, inside
-    the task that reads it: frames are folded as an array, never joined.
+    frames: (frame, m: array of 12 doubles, row by row, fx, fy, cx, cy, w, h), of one scene: they are one array, which every
+    task gets and folds for each point; the plan is as long for many frames as for one.
     """
-    packed = frames.agg(F.collect_list(F.struct("m", "fx", "fy", "cx", "cy", "w", "h")).alias("fs")).first()["fs"]
-    total: Column = F.lit(0)
-    for f in packed:
+    packed = frames.agg(F.collect_list(F.struct("m", "fx", "fy", "cx", "cy", "w", "h")).alias("_fs"))
+
+    def seen(count: Column, f: Column) -> Column:
         m = f["m"]
-        x, y, z = (sum(float(m[4 * r + k]) * F.col(a) for k, a in enumerate("xyz")) + float(m[4 * r + 3]) for r in range(3))
+        x, y, z = (sum(m[4 * r + k] * F.col(a) for k, a in enumerate("xyz")) + m[4 * r + 3] for r in range(3))
         u, v, depth = pinhole(x, y, z, f["fx"], f["fy"], f["cx"], f["cy"])
-        total = total + F.when((depth > near) & u.between(0, f["w"] - 1) & v.between(0, f["h"] - 1), 1).otherwise(0)
-    return points.select("id", total.cast("int").alias("views"))
+        return count + F.when((depth > near) & u.between(0, f["w"] - 1) & v.between(0, f["h"] - 1), 1).otherwise(0)
+
+    total = F.aggregate("_fs", F.lit(0), seen)
+    return points.join(F.broadcast(packed)).select("id", total.cast("int").alias("views"))  # one row
 
 
 def pose_deltas(frames: DataFrame) -> DataFrame:

@@ -387,3 +387,121 @@ def test_inducing_points_are_training_points(spark):
     assert [len(m.z) for m in gp.fit("multires", train, gp.Params(), inducing=4, selection="first").levels] == [4, 6, 9]
     with pytest.raises(ValueError):
         gp.inducing_points(train, 3, "nearest")
+
+
+# --- splats, priors, supervision, models
+
+
+def test_native_features_without_properties(spark):
+    """A vertex table may lack opacity, scales, colours and rotation: constants stand for them."""
+    from fieldmark.operators import gaussians
+
+    bare = spark.createDataFrame([(0, 1.0, 2.0, 3.0)], "splat_index long, x double, y double, z double")
+    r = gaussians.native_features(bare).first()
+    assert r.gaussian_alpha == 1 and r.gaussian_scale_mean == pytest.approx(0.025) and r.gaussian_rotation_norm_deviation == 0 and r.gaussian_color_norm == pytest.approx(0.7 * 3**0.5)
+    s = gaussians.to_splats(bare).first()
+    assert (s.tau, s.sigma, s.r) == (1.0, 0.025, 0.7)
+    with pytest.raises(ValueError, match="splat_index 5"):
+        gaussians.with_native_features(spark.createDataFrame([(5,)], "splat_index long"), gaussians.native_features(bare))
+    sh = spark.createDataFrame([(0, *map(float, range(12)))], "splat_index long, f_dc_0 double, f_dc_1 double, f_dc_2 double, " + ", ".join(f"f_rest_{k} double" for k in range(9)))
+    assert gaussians.harmonics(sh).first().sh == [[0, 1, 2], [3, 6, 9], [4, 7, 10], [5, 8, 11]] and len(gaussians.harmonics(sh, 0).first().sh) == 1
+    with pytest.raises(ValueError):
+        gaussians.harmonics(sh, 2)
+
+
+def test_random_retention(spark):
+    from fieldmark.operators import gaussians
+
+    df = spark.range(500).withColumnRenamed("id", "splat_index")
+    got = gaussians.random_retention(df, 40, [1, 2])
+    rows = {s: {r.splat_index for r in got.where(F.col("variant") == f"random_seed_{s}").collect()} for s in (1, 2)}
+    assert len(rows[1]) == len(rows[2]) == 40 and rows[1] != rows[2]
+    assert {r.splat_index for r in gaussians.random_retention(df.repartition(3), 40, [1]).collect()} == rows[1]
+
+
+def test_prior_padding_and_errors(spark):
+    from fieldmark.operators import priors
+
+    p = spark.createDataFrame([(k, k / 9, 0.5, [None, float("nan"), 1.0, 2.0][k % 4]) for k in range(10)], "splat_index long, gate double, alpha double, distance_std double")
+    t = priors.training_prior(p)
+    assert t.count() == 10 and all(0 <= r.uncertainty <= 1 for r in t.collect())
+    with pytest.raises(ValueError):
+        priors.aligned(t, 12)
+    got = {r.splat_index: r for r in priors.aligned(t, 12, "pad").collect()}
+    assert got[11].gate == 1 and got[11].densify_weight == 0 and not got[11].prune_candidate_mask
+    with pytest.raises(ValueError, match="densify_weight"):
+        priors.checked(p)
+
+
+def test_unprojection_inverts_projection(spark):
+    from fieldmark.operators import supervision
+
+    for convention in ("opencv", "opengl"):
+        c, s = 0.8, 0.6
+        df = spark.createDataFrame([(3.0, 5.0, 2.0, [c, 0.0, s, 1.0, 0.0, 1.0, 0.0, -2.0, -s, 0.0, c, 0.5])], "px double, py double, d double, pose array<double>")
+        x, y, z, ray = supervision.unproject(F.col("px"), F.col("py"), F.col("d"), *[F.lit(v) for v in (7.0, 9.0, 4.0, 4.5)], [F.col("pose")[k] for k in range(12)], convention)
+        r = df.select(x.alias("x"), y.alias("y"), z.alias("z"), ray.alias("ray")).first()
+        world = np.array([r.x, r.y, r.z]) - [1.0, -2.0, 0.5]
+        camera = np.array([[c, 0, s], [0, 1, 0], [-s, 0, c]]).T @ world
+        flip = 1 if convention == "opencv" else -1
+        assert camera[2] * flip == pytest.approx(2) and 7 * camera[0] / 2 + 4 == pytest.approx(3) and 9 * camera[1] * flip / 2 + 4.5 == pytest.approx(5) and r.ray == pytest.approx(np.linalg.norm(world))
+
+
+def test_synthetic_sources(spark):
+    from fieldmark.operators import supervision
+
+    s = supervision.candidate_splats(spark, "sphere", 200, seed=3).collect()
+    off = [r for r in s if not r.is_surface]
+    assert len(s) == 200 and len(off) == 56 and all(abs((r.x**2 + r.y**2 + r.z**2) ** 0.5 - 0.72) > 0.18 for r in off)
+    assert np.mean([abs((r.x**2 + r.y**2 + r.z**2) ** 0.5 - 0.72) for r in s if r.is_surface]) < 0.03
+    scene = supervision.scene_samples(spark, "torus", 100, noise=0.01).collect()
+    assert len({r.id for r in scene}) == 100 and np.mean([abs(r.sdf) < 0.15 for r in scene]) > 0.6
+    square = {"orthogonal_axis": "Y", "axis_min": 2.0, "axis_max": 1.0, "bounding_polygon": [[0, 0, 0], [1, 0, 0], [0, 0, 1]]}
+    points = supervision.crop_points(spark, square, 50).collect()
+    assert [r.id for r in sorted(points, key=lambda r: r.id)] == list(range(50)) and all(r.x + r.z <= 1 and 1 <= r.y <= 2 for r in points)
+    assert supervision.benchmark_samples(spark, 20, "wavy_plane").where("abs(x) <= 1 and abs(y) <= 1 and abs(z) <= 1").count() == 20
+
+
+def test_kept_and_read_again(spark, tmp_path):
+    import json
+
+    from fieldmark.sources import models
+
+    np.savez(tmp_path / "s.npz", centers=np.arange(6.0).reshape(2, 3), colors=np.ones((2, 3)) / 2, tau=np.array([0.1, 0.2]), sigma=np.array([1.0, 2.0]), is_surface=np.array([True, False]))
+    s = models.read_splats(spark, str(tmp_path / "s.npz")).orderBy("splat_index").collect()
+    assert [(r.x, r.g, r.tau, r.is_surface) for r in s] == [(0.0, 0.5, 0.1, True), (3.0, 0.5, 0.2, False)]
+    models.write_splats(models.read_splats(spark, str(tmp_path / "s.npz")), f"{tmp_path}/splats")
+    assert models.read_splats(spark, f"{tmp_path}/splats").count() == 2
+    np.savez(tmp_path / "g.npz", raw_gate=np.array([-1.0, 0.5, 2.0]))
+    assert [r.gate for r in models.read_gates(spark, str(tmp_path / "g.npz"), 3).orderBy("row").collect()] == [0, 0.5, 1]
+    with pytest.raises(ValueError):
+        models.read_gates(spark, str(tmp_path / "g.npz"), 4)
+    models.write_json(spark, f"{tmp_path}/j", {"b": 1, "a": [1, 2]})
+    assert models.read_json(spark, f"{tmp_path}/j") == {"a": [1, 2], "b": 1}
+    with pytest.raises(ValueError):
+        models.read_config(spark, f"{tmp_path}/j", ("checks",))
+    (tmp_path / "scene").mkdir()
+    frame = {"file_name": "a.png", "width": 4, "height": 3, "intrinsics": {"fx": 1, "fy": 2, "cx": 3, "cy": 4}, "camera_to_world": np.eye(4).tolist()}
+    for name, value in (("real_scene", {"scene": "s"}), ("cameras", {"frames": [frame]}), ("splits", {"train": [0]})):
+        (tmp_path / "scene" / f"{name}.json").write_text(json.dumps(value))
+    meta, frames, splits = models.read_scene(spark, f"{tmp_path}/scene")
+    assert meta["scene"] == "s" and splits == {"train": [0]} and frames.first().pose[:5] == [1, 0, 0, 0, 0] and frames.first().fy == 2
+    v = spark.createDataFrame([(k, float(k), 0.0, 1.0) for k in range(3)], "vertex long, x double, y double, z double")
+    models.write_surface(v, spark.createDataFrame([(0, 0, 1, 2)], "face long, a long, b long, c long"), f"{tmp_path}/mesh")
+    again = ply.read_mesh(spark, f"{tmp_path}/mesh")
+    assert again[0].count() == 3 and [tuple(r) for r in again[1].collect()] == [(0, 0, 1, 2)]
+    assert models.point_source(spark, [f"{tmp_path}/none", f"{tmp_path}/mesh"]).endswith("mesh")
+    with pytest.raises(FileNotFoundError):
+        models.point_source(spark, [f"{tmp_path}/none"])
+    assert models.file_report(spark, f"{tmp_path}/scene").count() == 3
+    with pytest.raises(ValueError):
+        models.gate_coverage(spark.createDataFrame([(0, 0.5, True), (1, 0.0, False)], "row long, gate double, scored boolean"), 2)
+
+
+def test_frames_of_reconstruction(spark):
+    from fieldmark.sources import models
+
+    images = spark.createDataFrame([(1, 1.0, 0.0, 0.0, 0.0, 1.0, 2.0, 3.0, 7, "b.png"), (2, 0.0, 1.0, 0.0, 0.0, 1.0, 2.0, 3.0, 7, "a.png")], "image_id int, qw double, qx double, qy double, qz double, tx double, ty double, tz double, camera_id int, name string")
+    cams = spark.createDataFrame([(7, "PINHOLE", 4, 3, [1.0])], "camera_id int, model string, width int, height int, params array<double>")
+    got = {r.name: r for r in models.frames_of(images, cams).collect()}
+    assert got["a.png"].frame_index == 0 and got["b.png"].pose == pytest.approx([1, 0, 0, -1, 0, 1, 0, -2, 0, 0, 1, -3]) and got["a.png"].pose == pytest.approx([1, 0, 0, -1, 0, -1, 0, 2, 0, 0, -1, 3])
