@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -813,3 +814,67 @@ def test_pipeline(spark, tmp_path):
     assert seen[0] == {*range(40), 50, 51, 52} and seen[1] == seen[0] - {50} and seen[2] == seen[1] - {51} and seen[3] == seen[2] and seen[4] <= seen[3]
     assert {x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == seen[4]
     assert all("abcdef123456" not in x.text for x in docs.collect())
+
+
+# --- edges that all operators share
+
+
+def test_clashing_columns_and_empty_tables(spark, docs, rows):
+    """Columns of other names are not read; an empty table gives an empty one."""
+    from pyspark.sql import functions as F
+
+    wide, none = clashing(docs.limit(20)), empty(spark)
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    plain = wide.select("doc_id", "text", "lang", "source", "n_chars")
+    assert same(quality.judge(wide).drop("quality"), quality.judge(plain).drop("quality"))
+    model = langid.learn(wide)
+    assert same(langid.predict(wide, model), langid.predict(plain, langid.learn(plain))) and langid.predict(none, model).count() == 0 and langid.keep_told(none, model, 0.4).count() == 0
+    assert same(secrets.digest(secrets.scan(wide)), secrets.digest(secrets.scan(plain))) and secrets.digest(secrets.scan(none)).count() == 0 and secrets.redact(none).count() == 0
+    html = spark.createDataFrame([(k, f"http://h.example/{k}", f"<p>top</p><p>story {k}</p>") for k in range(4)], "page_id long, url string, html string")
+    more = html.withColumns({c: F.lit(c) for c in ("h", "p", "r", "lines", "text", "keep", "k1", "k2")})
+    assert same(pages.extract(more), pages.extract(html)) and pages.extract(html.limit(0)).count() == 0
+    log = spark.createDataFrame([(1, k, "message", None, "user", f"t{k}") for k in range(3)], "conv_id long, seq long, event string, message_id string, role string, text string")
+    clash = log.withColumns({c: F.lit(c) for c in ("at", "block", "kind", "s", "part")})
+    assert same(chat.digest(chat.render(chat.messages(clash))), chat.digest(chat.render(chat.messages(log)))) and chat.messages(chat.streamed(log.limit(0).withColumnRenamed("seq", "turn"))).count() == 0
+
+
+def test_very_long_texts_and_repeated_rows(spark):
+    long_ = "word " * 400_000 + "token=abcdef123456 " + "x" * 100_000
+    docs = spark.createDataFrame([(1, long_), (1, long_), (2, "a b"), (2, "a b"), (None, long_)], "doc_id long, text string")
+    found = sorted((r.doc_id or 0, r.n_assign, r.spans) for r in secrets.digest(secrets.scan(docs)).collect())
+    assert len(found) == 5 and found[0][1] == found[1][1] == 1 and found[1] == found[2] and found[3] == found[4]
+    html = spark.createDataFrame([(1, "http://h.example/a", f"<p>{long_}</p>"), (2, "http://h.example/b", "<p>short</p>")], "page_id long, url string, html string")
+    assert {r.page_id: r.n_chars for r in pages.extract(html).collect()} == {1: len(long_), 2: 5}
+    items = spark.createDataFrame([(1, "token=abcdef123456"), (1, "token=abcdef123456"), (None, "a b")], "item_id long, text string")
+    got = sorted((r.doc_id or 0, r.item_id) for r in decontaminate.contained(docs.union(spark.createDataFrame([(7, "token=abcdef123456")], docs.schema)), items).collect())
+    assert got == [(7, 1)]  # an item of one word is one shingle, which longer texts do not hold; one without an id is in none
+
+
+def test_contained_finds_rows_without_an_id(spark):
+    passage = " ".join(f"p{k}" for k in range(30))
+    docs = spark.createDataFrame([(None, f"x {passage}"), (None, f"{passage} y"), (None, "z"), (5, passage)], "doc_id long, text string")
+    got = decontaminate.contained(docs, spark.createDataFrame([(1, passage)], "item_id long, text string")).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.item_id, r.containment) for r in got) == [(-1, 1, 1.0), (5, 1, 1.0)]
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001/documents.parquet"), reason="needs the given tables")
+def test_queries_keep_their_contracts(spark):
+    """Each of the ten queries over its whole table: columns as agreed, a row a row."""
+    from fieldmark.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    columns = {
+        1: "doc_id held_out n_tokens n_known train_tokens base_score score", 2: "doc_id item_id", 3: "doc_id n_words n_removed kept_sha256", 4: "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+        5: "doc_id held_out lang_pred score", 6: "page_id url text n_chars", 7: "doc_id fingerprint component_id", 8: "doc_id size source_size target taken",
+        9: "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars", 10: "doc_id n_assign n_access n_hex base_sha256 spans",
+    }
+    count = lambda name: spark.read.parquet(f"{sf}/{name}.parquet").count()
+    n, conversations = count("documents"), spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id").distinct().count()
+    rows = {k: n for k in (1, 3, 4, 5, 7, 8, 10)} | {6: count("pages"), 9: conversations + 1}
+    for name, query in QUERIES.items():
+        k, got = int(name[2:].split("_")[0]), query(spark, sf)
+        assert got.columns[: len(columns[k].split())] == columns[k].split(), name
+        found = got.collect()
+        assert k not in rows or len(found) == rows[k], name
+        assert k != 1 or all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2) for r in found)
+        assert k != 5 or all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in found)
