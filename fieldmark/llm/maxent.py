@@ -4,7 +4,6 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ BATCH, CHUNK, FLUSH = 16_384, 1 << 18, 1 << 21
 #: Training tokens for each shard of the words' weights.
 SHARD = 3_000_000
 #: Precisions of the weights' Gaussian priors; steps of their training.
-PRIOR_CLASS, PRIOR_WORD, STEPS = 8.0, 0.1, 12
+PRIOR_CLASS, PRIOR_WORD, STEPS = 8.0, 0.1, 8
 #: The share of its count that a class's weight starts from: its features overlap.
 START = 0.4
 END = b""
@@ -308,8 +307,9 @@ class Model:
     """What scoring needs but the words' weights, which are a table."""
 
     def __init__(self, leaves: Leaves, head: dict[bytes, int], n: np.ndarray, v: np.ndarray):
-        """n, v: training tokens and distinct words of each leaf; words of the head are their leaf's only ones."""
-        self.leaves, self.logs = leaves, {w: math.log10(c + 1) for w, c in head.items()}
+        """n, v: training tokens and distinct words of each leaf; words of the head are their leaf's only ones, and logs has their counts."""
+        self.leaves, self.logs = leaves, np.full(leaves.size, np.nan)
+        self.logs[[leaves.own[w] for w in head]] = np.log10(np.fromiter(head.values(), np.float64, len(head)) + 1)
         weight = n + 1
         total = np.add.reduceat(weight, leaves.first[:-1])
         self.kinds = leaves.class_of(np.arange(leaves.size))
@@ -506,11 +506,11 @@ def score(docs: DataFrame, training: DataFrame, head_size: int = HEAD, rounds: i
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = given()[1]
-        codes, nan, chunk = Codes(model.leaves), math.nan, TaskContext.get().partitionId() << 32
+        codes, chunk = Codes(model.leaves), TaskContext.get().partitionId() << 32
         for ids_, words, starts in _texts(batches, 1, CHUNK):
             ids, leaf = codes.of(words)
             found = model.class_scores(ids, leaf, starts) / math.log(10) - model.within[leaf]
-            common = np.fromiter(map(model.logs.get, words, repeat(nan)), np.float64, len(words))
+            common = model.logs[leaf]
             rare = np.isnan(common)
             common[rare] = 0
             sums = [np.add.reduceat(x, starts) for x in (common, found)]
