@@ -108,8 +108,8 @@ def trend(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(*[F.avg(v).alias(f"mean_{v}") for v in values])
 
 
-def ablation_deltas(metrics: DataFrame, view: str) -> DataFrame:
-    """metrics (shape, feedback_iterations, feedback_selector, psnr_gpis_<view>, psnr_feedback_<view>, ...) with what feedback changed.
+def ablation_deltas(metrics: DataFrame, view: str, model: str = "base") -> DataFrame:
+    """metrics (shape, feedback_iterations, feedback_selector, psnr_<model>_<view>, psnr_feedback_<view>, ...) with what feedback changed.
 
     Without a selector it is "none" at no iterations and "gate" at some; rows of "none" have changed nothing.
     """
@@ -118,11 +118,11 @@ def ablation_deltas(metrics: DataFrame, view: str) -> DataFrame:
     of = lambda c: F.col(c).cast("double") if c in metrics.columns else F.lit(None).cast("double")
     zero = lambda c: F.when(F.col("feedback_selector") == "none", 0.0).otherwise(c)
     named = metrics.select(
-        "shape", it.alias("feedback_iterations"), selector.alias("feedback_selector"), of(f"psnr_gpis_{view}").alias("psnr_gpis"), of(f"psnr_feedback_{view}").alias("psnr_feedback"),
+        "shape", it.alias("feedback_iterations"), selector.alias("feedback_selector"), of(f"psnr_{model}_{view}").alias("psnr_base"), of(f"psnr_feedback_{view}").alias("psnr_feedback"),
         *[of(c).alias(c) for c in ("rmse_sdf", "feedback_rmse_sdf", "iou_inside", "feedback_iou_inside")],
     )
     return named.withColumns({
-        "psnr_delta": zero(F.col("psnr_feedback") - F.col("psnr_gpis")), "rmse_delta": zero(F.col("feedback_rmse_sdf") - F.col("rmse_sdf")), "iou_delta": zero(F.col("feedback_iou_inside") - F.col("iou_inside")),
+        "psnr_delta": zero(F.col("psnr_feedback") - F.col("psnr_base")), "rmse_delta": zero(F.col("feedback_rmse_sdf") - F.col("rmse_sdf")), "iou_delta": zero(F.col("feedback_iou_inside") - F.col("iou_inside")),
     })
 
 

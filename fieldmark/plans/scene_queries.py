@@ -354,13 +354,13 @@ def agg_compare_images(spark, d):
     return rounded(whole.withColumn("low_psnr", F.col("reasons").contains("mean_psnr")).drop("reasons"))
 
 
-ABLATION = """, a AS (SELECT kind AS shape, step - 1 AS feedback_iterations, CASE WHEN step = 1 THEN 'none' WHEN step % 2 = 0 THEN 'gate' ELSE 'diverse' END AS feedback_selector, mean_psnr AS psnr_gpis_front, mean_psnr + mean_ssim AS psnr_feedback_front, mean_ssim AS rmse_sdf, mean_lpips_vgg AS feedback_rmse_sdf FROM variants),
-s AS (SELECT *, CASE WHEN feedback_selector = 'none' THEN 0 ELSE psnr_feedback_front - psnr_gpis_front END AS psnr_delta, CASE WHEN feedback_selector = 'none' THEN 0 ELSE feedback_rmse_sdf - rmse_sdf END AS rmse_delta FROM a)"""
+ABLATION = """, a AS (SELECT kind AS shape, step - 1 AS feedback_iterations, CASE WHEN step = 1 THEN 'none' WHEN step % 2 = 0 THEN 'gate' ELSE 'diverse' END AS feedback_selector, mean_psnr AS psnr_base_front, mean_psnr + mean_ssim AS psnr_feedback_front, mean_ssim AS rmse_sdf, mean_lpips_vgg AS feedback_rmse_sdf FROM variants),
+s AS (SELECT *, CASE WHEN feedback_selector = 'none' THEN 0 ELSE psnr_feedback_front - psnr_base_front END AS psnr_delta, CASE WHEN feedback_selector = 'none' THEN 0 ELSE feedback_rmse_sdf - rmse_sdf END AS rmse_delta FROM a)"""
 
 
 def _ablation(spark, d):
     s = F.col("step")
-    v = T.variants(spark, d).select(F.col("kind").alias("shape"), (s - 1).alias("feedback_iterations"), F.when(s == 1, "none").when(s % 2 == 0, "gate").otherwise("diverse").alias("feedback_selector"), F.col("mean_psnr").alias("psnr_gpis_front"), (F.col("mean_psnr") + F.col("mean_ssim")).alias("psnr_feedback_front"), F.col("mean_ssim").alias("rmse_sdf"), F.col("mean_lpips_vgg").alias("feedback_rmse_sdf"))
+    v = T.variants(spark, d).select(F.col("kind").alias("shape"), (s - 1).alias("feedback_iterations"), F.when(s == 1, "none").when(s % 2 == 0, "gate").otherwise("diverse").alias("feedback_selector"), F.col("mean_psnr").alias("psnr_base_front"), (F.col("mean_psnr") + F.col("mean_ssim")).alias("psnr_feedback_front"), F.col("mean_ssim").alias("rmse_sdf"), F.col("mean_lpips_vgg").alias("feedback_rmse_sdf"))
     return summaries.ablation_deltas(v, "front")
 
 
