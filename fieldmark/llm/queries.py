@@ -1,11 +1,11 @@
-"""The queries op1 to op10 over whole tables, and their SQL where SQL can express them."""
+"""The queries op1 to op13 over whole tables, and their SQL where SQL can express them."""
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm import chat, decontaminate, langid, maxent, mixing, pages, quality, secrets, simhash, substrings
+from fieldmark.llm import chat, clusters, decontaminate, langid, maxent, merkle, mixing, pages, quality, secrets, simhash, substrings, tokens
 from fieldmark.llm.common import fold, table
 
 
@@ -60,5 +60,25 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_maxent": op1_maxent, "op2_decontaminate": op2_decontaminate, "op3_substrings": op3_substrings, "op4_quality": op4_quality, "op5_langid": op5_langid, "op6_pages": op6_pages, "op7_simhash": op7_simhash, "op8_mixing": op8_mixing, "op9_chat": op9_chat, "op10_secrets": op10_secrets}
-ORACLES: dict[str, str] = {"op2_decontaminate": decontaminate.ORACLE, "op8_mixing": mixing.ORACLE, "op9_chat": chat.ORACLE}
+def op11_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fields = table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    leaves = docs.select("doc_id", "source", merkle.leaf(*[F.col(c) for c in fields]).alias("leaf"), merkle.leaf(*[F.col(c) for c in fields[:-1]], tampered).alias("own"))
+    proven = merkle.manifest(leaves, "source", ["doc_id", "own"])
+    folded = merkle.folded(F.col("own"), F.col("proof"))
+    out = proven.select("doc_id", "leaf", "subroot", "root", merkle.joined(F.col("proof")).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.digest(*clusters.kmeans(table(spark, sf_dir, "embeddings")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_maxent": op1_maxent, "op2_decontaminate": op2_decontaminate, "op3_substrings": op3_substrings, "op4_quality": op4_quality, "op5_langid": op5_langid, "op6_pages": op6_pages, "op7_simhash": op7_simhash, "op8_mixing": op8_mixing, "op9_chat": op9_chat, "op10_secrets": op10_secrets, "op11_tokens": op11_tokens, "op12_merkle": op12_merkle, "op13_centroids": op13_centroids}
+ORACLES: dict[str, str] = {"op2_decontaminate": decontaminate.ORACLE, "op8_mixing": mixing.ORACLE, "op9_chat": chat.ORACLE, "op12_merkle": merkle.ORACLE, "op13_centroids": clusters.ORACLE}
