@@ -35,6 +35,7 @@ SIBLINGS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "td": ("tr
 
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.I | re.S)
 _mark = frozenset(MARKS)
 
 
@@ -52,13 +53,19 @@ def _marked(attributes: str, within: bool) -> bool:
 
 
 def blocks(page: str) -> list[tuple[str, bool]]:
-    """(text, whether it is in an article or main element) of each block of a page that is in no marked part.
+    return [(text, main) for text, main, _ in parsed(page)]
+
+
+def parsed(page: str) -> list[tuple[str, bool, bool]]:
+    """(text, whether it is in an article or main element, whether it is the article's title) of each block of a page that is in no marked part.
 
     A forgiving reading: elements nest by name; an end tag closes up to the nearest open element of its name, if any;
     a block ends where an element that browsers show as a block starts or ends. White space becomes one space, and so
     does a line break; references are decoded once.
     """
-    out: list[tuple[str, bool]] = []
+    out: list[tuple[str, bool, bool]] = []
+    title = TITLE.search(page)
+    title = " ".join(html.unescape(title[1]).split()) if title else ""
     open_: list[tuple[str, bool, bool]] = []  # name, whether it or one around it is left out, whether in the main part
     piece: list[str] = []
     skip = main = False
@@ -68,7 +75,7 @@ def blocks(page: str) -> list[tuple[str, bool]]:
         text = " ".join(html.unescape("".join(piece)).split())
         piece.clear()
         if text:
-            out.append((text, main))
+            out.append((text, main, main and any(x[0] == "h1" for x in open_) or title.startswith(text)))
 
     def text_to(stop: int) -> None:
         if not skip and stop > at:
@@ -166,16 +173,19 @@ _ADD = np.array([xxhash.xxh64_intdigest(b"add", k) for k in range(8)], np.uint64
 
 @dataclass(frozen=True)
 class Lines:
-    """What differencing needs of a page: a hash and a sketch of each line, and whether it is in the main part."""
+    """What differencing needs of a page: a hash and a sketch of each line, and whether it is in the main part.
+
+    The hash of an article's title holds the page's key too, so that no other page has it.
+    """
 
     hashes: list[int]
     sketches: list[int]
     main: list[bool]
 
     @staticmethod
-    def of(own: list[tuple[str, bool]]) -> "Lines":
-        texts = [text for text, _ in own]
-        return Lines([xxhash.xxh64_intdigest(t) - (1 << 63) for t in texts], [sketch(t) - (1 << 63) for t in texts], [m for _, m in own])
+    def of(own: list[tuple[str, bool, bool]], key: int = 0) -> "Lines":
+        hashes = [xxhash.xxh64_intdigest(f"{key} {t}" if title else t) - (1 << 63) for t, _, title in own]
+        return Lines(hashes, [sketch(t) - (1 << 63) for t, *_ in own], [m for _, m, _ in own])
 
     def article(self) -> list[int]:
         """Places of lines that may be the article's: those in an article or main element, or all if there are none."""
@@ -202,23 +212,19 @@ def copies(a: Lines, b: Lines) -> bool:
     return 2 * alike >= len(few)
 
 
-def kept(own: Lines, near: Lines | None, far: Lines | None = None) -> list[int]:
-    """Places of the page's lines that are left when it is differenced with the nearest page of its host.
+def kept(own: Lines, near: Lines | None) -> tuple[list[int], list[int]]:
+    """(places of the lines that stay, of those in doubt) when a page is differenced with the nearest page of its host.
 
-    Lines that may be the article's stay unless the other page has them too (longest common subsequence). In an article
-    or main element a line goes only if the page on the other side (far), where there is one, has it as well: short
-    lines agree by chance.
+    Lines that may be the article's stay, unless the other page has them too (longest common subsequence).
     """
     same = shared(own.hashes, near.hashes) if near else set()
-    if same and far and any(own.main):
-        same &= shared(own.hashes, far.hashes)
-    return [i for i in own.article() if i not in same]
+    return [i for i in own.article() if i not in same], [i for i in own.article() if i in same]
 
 
-def main_text(own: list[tuple[str, bool]], other: list[tuple[str, bool]] | None) -> str:
-    """The page's blocks, less those that it shares with the other page, if that is no copy."""
-    page, near = Lines.of(own), Lines.of(other) if other else None
-    return "\n\n".join(own[i][0] for i in kept(page, near if near and not copies(page, near) else None))
+def main_text(own: list[tuple[str, bool, bool]], other: list[tuple[str, bool, bool]] | None) -> str:
+    """The page's blocks, less those that it shares with the other page, if that is no copy and there is no third page to ask."""
+    page, near = Lines.of([(*x, False)[:3] for x in own], 1), Lines.of([(*x, False)[:3] for x in other], 2) if other else None
+    return "\n\n".join(own[i][0] for i in kept(page, near if near and not copies(page, near) else None)[0])
 
 
 def host(url: Column) -> Column:
@@ -326,7 +332,7 @@ def keyed(pages: DataFrame) -> DataFrame:
             for b in batches:
                 for k in range(b.num_rows):
                     *key, page = (c[k].as_py() for c in b.columns)
-                    found = Lines.of(blocks(page or ""))
+                    found = Lines.of(parsed(page or ""), key[-1])
                     yield *key, found.hashes, found.sketches, found.main
 
         yield from _packed(rows(), schema)
@@ -402,29 +408,55 @@ def borders(rows: DataFrame) -> DataFrame:
 
 
 def decided(rows: DataFrame) -> DataFrame:
-    """rows (RANGED) -> (k1, k2, keep: places of the lines that stay) of each different row that is a range's own."""
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("keep", pa.list_(pa.int32()))])
+    """rows (RANGED) -> (k1, k2, h, article, keep, doubt, hashes, main) of each different row that is a range's own.
+
+    keep, doubt: the places of the lines that stay, and of those that the nearest page has too, with their hashes and whether they
+    are in the main part. article: the least hash of the lines that stay, which copies of an article have in common.
+    """
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("h", pa.string()), ("article", pa.int64()), ("keep", pa.list_(pa.int32())), ("doubt", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64())), ("main", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> Iterator[tuple]:
             for _, pages in _ranges(_read(batches)):
                 for x, before, after in compared(pages):
                     if x.own:
-                        near, far = before, after
-                        if not near or far and _common(far.p, x.p) > _common(near.p, x.p):
-                            near, far = far, near
-                        yield x.k1, x.k2, kept(x.lines, near.lines if near else None, far.lines if far else None)
+                        near = after if not before or after and _common(after.p, x.p) > _common(before.p, x.p) else before
+                        keep, doubt = kept(x.lines, near.lines if near else None)
+                        article = min((x.lines.hashes[i] for i in keep or doubt), default=0)
+                        yield x.k1, x.k2, x.h, article, keep, doubt, [x.lines.hashes[i] for i in doubt], any(x.lines.main)
 
         yield from _packed(out(), schema)
 
-    return rows.repartition(shuffle_partitions(rows.sparkSession), "r").sortWithinPartitions(*ORDER).mapInArrow(run, "k1 long, k2 long, keep array<int>")
+    kinds = "k1 long, k2 long, h string, article long, keep array<int>, doubt array<int>, hashes array<long>, main boolean"
+    return rows.repartition(shuffle_partitions(rows.sparkSession), "r").sortWithinPartitions(*ORDER).mapInArrow(run, kinds)
+
+
+#: Articles of a host that have to share a line before it is furniture, if the host has as many.
+LEAST_ARTICLES = 3
+
+
+def stay(found: DataFrame) -> DataFrame:
+    """found (decided()) -> (k1, k2, keep): the places of the lines that stay.
+
+    A line in doubt goes only if it is in doubt on pages of several different articles of the host: three, or as many as there are;
+    in an article or main element of more than half of the host's articles, and of three at least.
+    """
+    doubts = found.select("k1", "k2", "h", "article", "main", F.explode(F.arrays_zip("doubt", "hashes")).alias("d")).select("k1", "k2", "h", "article", "main", "d.doubt", F.col("d.hashes").alias("line"))
+    seen = doubts.groupBy("h", "line").agg(F.count_distinct("article").alias("with"))
+    hosts = found.groupBy("h").agg(F.count_distinct("article").alias("articles"))
+    met = doubts.join(seen, ["h", "line"]).join(hosts, "h")
+    goes = F.when(F.col("main"), (F.col("with") >= LEAST_ARTICLES) & (2 * F.col("with") > F.col("articles"))).otherwise(F.col("with") >= F.least(F.lit(LEAST_ARTICLES), F.col("articles")))
+    back = met.where(~goes).groupBy("k1", "k2").agg(F.collect_list("doubt").alias("back"))
+    both = F.array_sort(F.concat("keep", F.coalesce("back", F.array().cast("array<int>"))))
+    return found.select("k1", "k2", "keep").join(back, ["k1", "k2"], "left").select("k1", "k2", both.alias("keep"))
 
 
 def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
     """pages (page_id, url, html) -> (page_id, url, text, n_chars), a row for each row.
 
     A page is differenced with the page before or after it in (host, path, page_id) whose path shares the longer prefix
-    (ties: the one before), copies passed over. Lines are compared by 64-bit hashes, which are dealt out in ranges of
+    (ties: the one before), copies passed over. A line that the two share goes if pages of other articles of the host show it to be
+    furniture (see stay()); an h1 of an article and the page's title never go. Lines are compared by 64-bit hashes, which are dealt out in ranges of
     that order, so that a large host takes many tasks; a range also gets the pages next to its edges, so that the result
     does not depend on how many ranges there are. Texts are dealt out once, to meet the lines that stay. Null html
     is empty, a null url is a host of its own kind; empty pages give empty texts; repeated rows stay.
@@ -439,11 +471,11 @@ def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
             for b in batches:
                 for k in range(b.num_rows):
                     page_id, url, page, keep = (c[k].as_py() for c in b.columns)
-                    own = blocks(page or "")
+                    own = parsed(page or "")
                     text = "\n\n".join(own[i][0] for i in keep)
                     yield page_id, url, text, len(text)
 
         yield from _packed(out(), schema)
 
-    met = keys.select("page_id", "url", "html", "k1", "k2").join(decided(rows.unionByName(borders(rows))), ["k1", "k2"])
+    met = keys.select("page_id", "url", "html", "k1", "k2").join(stay(cut(decided(rows.unionByName(borders(rows))))), ["k1", "k2"])
     return met.select("page_id", "url", "html", "keep").mapInArrow(run, "page_id long, url string, text string, n_chars long")
