@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import cut, shuffle_partitions
+from fieldmark.llm.common import bounded, cut, shuffle_partitions
 
 #: Fixed values. Elements whose content is no text of the page.
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas")
@@ -171,25 +171,31 @@ _ODD = np.array([xxhash.xxh64_intdigest(b"odd", k) | 1 for k in range(8)], np.ui
 _ADD = np.array([xxhash.xxh64_intdigest(b"add", k) for k in range(8)], np.uint64)
 
 
+def candidates(page: str) -> tuple[list[tuple[str, bool]], bool]:
+    """((text, whether it is the article's title) of each block that may be the article's, whether they are of article or main elements).
+
+    Those in an article or main element, or all if there are none.
+    """
+    found = parsed(page)
+    main = [(text, title) for text, main, title in found if main]
+    return main or [(text, title) for text, _, title in found], bool(main)
+
+
 @dataclass(frozen=True)
 class Lines:
-    """What differencing needs of a page: a hash and a sketch of each line, and whether it is in the main part.
+    """What differencing needs of a page: a hash and a sketch of each line that may be the article's, and whether they are of its main part.
 
     The hash of an article's title holds the page's key too, so that no other page has it.
     """
 
     hashes: list[int]
     sketches: list[int]
-    main: list[bool]
+    main: bool
 
     @staticmethod
-    def of(own: list[tuple[str, bool, bool]], key: int = 0) -> "Lines":
-        hashes = [xxhash.xxh64_intdigest(f"{key} {t}" if title else t) - (1 << 63) for t, _, title in own]
-        return Lines(hashes, [sketch(t) - (1 << 63) for t, *_ in own], [m for _, m, _ in own])
-
-    def article(self) -> list[int]:
-        """Places of lines that may be the article's: those in an article or main element, or all if there are none."""
-        return [i for i, m in enumerate(self.main) if m] or list(range(len(self.main)))
+    def of(page: str, key: int = 0) -> "Lines":
+        own, main = candidates(page)
+        return Lines([xxhash.xxh64_intdigest(f"{key} {t}" if title else t) - (1 << 63) for t, title in own], [sketch(t) - (1 << 63) for t, _ in own], main)
 
 
 #: Equal bytes of two sketches from which their lines count as versions of one line (two unrelated lines have as many 1 time in 300,000).
@@ -203,7 +209,7 @@ def copies(a: Lines, b: Lines) -> bool:
     under a long template shares most of its lines with any page of the host. At least half of the own lines of the
     page that has fewer must have a version on the other.
     """
-    own = [[x.sketches[i] for i in x.article() if i not in same] for x, same in ((a, shared(a.hashes, b.hashes)), (b, shared(b.hashes, a.hashes)))]
+    own = [[x.sketches[i] for i in range(len(x.hashes)) if i not in same] for x, same in ((a, shared(a.hashes, b.hashes)), (b, shared(b.hashes, a.hashes)))]
     few, many = sorted(own, key=len)
     if not few:
         return True
@@ -212,21 +218,6 @@ def copies(a: Lines, b: Lines) -> bool:
     return 2 * alike >= len(few)
 
 
-def kept(own: Lines, near: Lines | None) -> tuple[list[int], list[int]]:
-    """(places of the lines that stay, of those in doubt) when a page is differenced with the nearest page of its host.
-
-    Lines that may be the article's stay, unless the other page has them too (longest common subsequence).
-    """
-    same = shared(own.hashes, near.hashes) if near else set()
-    return [i for i in own.article() if i not in same], [i for i in own.article() if i in same]
-
-
-def main_text(own: list[tuple[str, bool, bool]], other: list[tuple[str, bool, bool]] | None) -> str:
-    """The page's blocks, less those that it shares with the other page, if that is no copy and there is no third page to ask."""
-    page, near = Lines.of([(*x, False)[:3] for x in own], 1), Lines.of([(*x, False)[:3] for x in other], 2) if other else None
-    return "\n\n".join(own[i][0] for i in kept(page, near if near and not copies(page, near) else None)[0])
-
-
 def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)", 1))
 
@@ -262,7 +253,7 @@ class Page:
         return r, self.h, self.p, self.page_id, self.k1, self.k2, self.lines.hashes, self.lines.sketches, self.lines.main, False
 
 
-KEYED = "h string, p string, page_id long, k1 long, k2 long, hashes array<long>, sketches array<long>, main array<boolean>"
+KEYED = "h string, p string, page_id long, k1 long, k2 long, hashes array<long>, sketches array<long>, main boolean"
 RANGED = f"r int, {KEYED}, own boolean"
 
 
@@ -307,7 +298,7 @@ def _ranges(rows: Iterator[tuple[int, Page]]) -> Iterator[tuple[int, Iterator[Pa
 
 
 def _packed(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Batches of up to 2000 rows, or as many as hold 16 MB of the rows' third value."""
+    """Batches of up to 2000 rows, or as many as hold 16 MB of the last value's texts."""
     some, size = [], 0
 
     def batch() -> pa.RecordBatch:
@@ -315,7 +306,7 @@ def _packed(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch
 
     for row in rows:
         some.append(row)
-        size += len(row[2]) if isinstance(row[2], str) else 0
+        size += sum(map(len, row[-1])) if row[-1] and isinstance(row[-1], list) and isinstance(row[-1][0], str) else 0
         if len(some) >= 2000 or size > 1 << 24:
             yield batch()
             some, size = [], 0
@@ -325,14 +316,14 @@ def _packed(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch
 
 def keyed(pages: DataFrame) -> DataFrame:
     """pages with h, p, k1, k2 -> their lines as hashes and sketches, a sixteenth or so of the text."""
-    schema = pa.schema([("h", pa.string()), ("p", pa.string()), ("page_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("hashes", pa.list_(pa.int64())), ("sketches", pa.list_(pa.int64())), ("main", pa.list_(pa.bool_()))])
+    schema = pa.schema([("h", pa.string()), ("p", pa.string()), ("page_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("hashes", pa.list_(pa.int64())), ("sketches", pa.list_(pa.int64())), ("main", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for b in batches:
                 for k in range(b.num_rows):
                     *key, page = (c[k].as_py() for c in b.columns)
-                    found = Lines.of(parsed(page or ""), key[-1])
+                    found = Lines.of(page or "", key[-1])
                     yield *key, found.hashes, found.sketches, found.main
 
         yield from _packed(rows(), schema)
@@ -384,7 +375,7 @@ def borders(rows: DataFrame) -> DataFrame:
 
     The driver holds four pages' hashes for each range, whatever the table's size.
     """
-    schema = pa.schema([("r", pa.int32()), ("part", pa.int32()), ("h", pa.string()), ("p", pa.string()), ("page_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("hashes", pa.list_(pa.int64())), ("sketches", pa.list_(pa.int64())), ("main", pa.list_(pa.bool_())), ("own", pa.bool_())])
+    schema = pa.schema([("r", pa.int32()), ("part", pa.int32()), ("h", pa.string()), ("p", pa.string()), ("page_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("hashes", pa.list_(pa.int64())), ("sketches", pa.list_(pa.int64())), ("main", pa.bool_()), ("own", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> Iterator[tuple]:
@@ -408,12 +399,12 @@ def borders(rows: DataFrame) -> DataFrame:
 
 
 def decided(rows: DataFrame) -> DataFrame:
-    """rows (RANGED) -> (k1, k2, h, article, keep, doubt, hashes, main) of each different row that is a range's own.
+    """rows (RANGED) -> (k1, k2, h, article, main, doubt, hashes) of each different row that is a range's own.
 
-    keep, doubt: the places of the lines that stay, and of those that the nearest page has too, with their hashes and whether they
-    are in the main part. article: the least hash of the lines that stay, which copies of an article have in common.
+    doubt: the places of the lines that the nearest page has too (longest common subsequence), with their hashes. article: the least
+    hash of the other lines, which copies of an article have in common.
     """
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("h", pa.string()), ("article", pa.int64()), ("keep", pa.list_(pa.int32())), ("doubt", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64())), ("main", pa.bool_())])
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("h", pa.string()), ("article", pa.int64()), ("main", pa.bool_()), ("doubt", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> Iterator[tuple]:
@@ -421,13 +412,14 @@ def decided(rows: DataFrame) -> DataFrame:
                 for x, before, after in compared(pages):
                     if x.own:
                         near = after if not before or after and _common(after.p, x.p) > _common(before.p, x.p) else before
-                        keep, doubt = kept(x.lines, near.lines if near else None)
-                        article = min((x.lines.hashes[i] for i in keep or doubt), default=0)
-                        yield x.k1, x.k2, x.h, article, keep, doubt, [x.lines.hashes[i] for i in doubt], any(x.lines.main)
+                        own = x.lines.hashes
+                        same = shared(own, near.lines.hashes) if near else set()
+                        article = min((y for i, y in enumerate(own) if i not in same), default=min(own, default=0))
+                        yield x.k1, x.k2, x.h, article, x.lines.main, sorted(same), [own[i] for i in sorted(same)]
 
         yield from _packed(out(), schema)
 
-    kinds = "k1 long, k2 long, h string, article long, keep array<int>, doubt array<int>, hashes array<long>, main boolean"
+    kinds = "k1 long, k2 long, h string, article long, main boolean, doubt array<int>, hashes array<long>"
     return rows.repartition(shuffle_partitions(rows.sparkSession), "r").sortWithinPartitions(*ORDER).mapInArrow(run, kinds)
 
 
@@ -435,8 +427,8 @@ def decided(rows: DataFrame) -> DataFrame:
 LEAST_ARTICLES = 3
 
 
-def stay(found: DataFrame) -> DataFrame:
-    """found (decided()) -> (k1, k2, keep): the places of the lines that stay.
+def furniture(found: DataFrame) -> DataFrame:
+    """found (decided()) -> (k1, k2, gone: places of the lines that go) of the rows that lose any.
 
     A line in doubt goes only if it is in doubt on pages of several different articles of the host: three, or as many as there are;
     in an article or main element of more than half of the host's articles, and of three at least.
@@ -446,9 +438,7 @@ def stay(found: DataFrame) -> DataFrame:
     hosts = found.groupBy("h").agg(F.count_distinct("article").alias("articles"))
     met = doubts.join(seen, ["h", "line"]).join(hosts, "h")
     goes = F.when(F.col("main"), (F.col("with") >= LEAST_ARTICLES) & (2 * F.col("with") > F.col("articles"))).otherwise(F.col("with") >= F.least(F.lit(LEAST_ARTICLES), F.col("articles")))
-    back = met.where(~goes).groupBy("k1", "k2").agg(F.collect_list("doubt").alias("back"))
-    both = F.array_sort(F.concat("keep", F.coalesce("back", F.array().cast("array<int>"))))
-    return found.select("k1", "k2", "keep").join(back, ["k1", "k2"], "left").select("k1", "k2", both.alias("keep"))
+    return met.where(goes).groupBy("k1", "k2").agg(F.collect_list("doubt").alias("gone"))
 
 
 def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
@@ -456,26 +446,28 @@ def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
 
     A page is differenced with the page before or after it in (host, path, page_id) whose path shares the longer prefix
     (ties: the one before), copies passed over. A line that the two share goes if pages of other articles of the host show it to be
-    furniture (see stay()); an h1 of an article and the page's title never go. Lines are compared by 64-bit hashes, which are dealt out in ranges of
-    that order, so that a large host takes many tasks; a range also gets the pages next to its edges, so that the result
-    does not depend on how many ranges there are. Texts are dealt out once, to meet the lines that stay. Null html
-    is empty, a null url is a host of its own kind; empty pages give empty texts; repeated rows stay.
+    furniture (see furniture()); an h1 of an article and the page's title never go. Lines are compared by 64-bit hashes, which are
+    dealt out in ranges of that order, so that a large host takes many tasks; a range also gets the pages next to its edges, so that
+    the result does not depend on how many ranges there are. Of pages that lose lines the places meet the texts: by broadcast if
+    they are few, else both are shuffled. Null html is empty, a null url is a host of its own kind; empty pages give empty texts;
+    repeated rows stay.
     """
     spark, row = pages.sparkSession, [F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")]
     keys = pages.select(*row, host(F.col("url")).alias("h"), path(F.col("url")).alias("p"), *(F.xxhash64(F.lit(k), *row, *[c.isNull() for c in row]).alias(f"k{k}") for k in (1, 2)))
     rows = ranged(cut(keyed(keys)), ranges or 4 * shuffle_partitions(spark))
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
+    gone = cut(furniture(cut(decided(rows.unionByName(borders(rows))))))
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("k1", pa.int64()), ("k2", pa.int64()), ("lines", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> Iterator[tuple]:
             for b in batches:
                 for k in range(b.num_rows):
-                    page_id, url, page, keep = (c[k].as_py() for c in b.columns)
-                    own = parsed(page or "")
-                    text = "\n\n".join(own[i][0] for i in keep)
-                    yield page_id, url, text, len(text)
+                    *key, page = (c[k].as_py() for c in b.columns)
+                    yield *key, [text for text, _ in candidates(page or "")[0]]
 
         yield from _packed(out(), schema)
 
-    met = keys.select("page_id", "url", "html", "k1", "k2").join(stay(cut(decided(rows.unionByName(borders(rows))))), ["k1", "k2"])
-    return met.select("page_id", "url", "html", "keep").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    texts = keys.select("page_id", "url", "k1", "k2", "html").mapInArrow(run, "page_id long, url string, k1 long, k2 long, lines array<string>")
+    left = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda _, i: ~F.array_contains("gone", i)))
+    met = texts.join(bounded(gone), ["k1", "k2"], "left").select("page_id", "url", F.array_join(left, "\n\n").alias("text"))
+    return met.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -720,7 +720,7 @@ def test_blocks():
     text = "<h1>A &amp;lt; B</h1><p>one\n two<br>three<p>four <b>bold<p>five</b><table><tr><td>c<td>d</table><script>if(a<b)</script>tail <"
     assert [t for t, _ in pages.blocks(PAGE.replace("{}", text, 2).replace("p" + text, "p{}"))][:] == ["A &lt; B", "one two three", "four bold", "five", "c", "d", "tail <"]
     assert pages.blocks("") == [] and pages.blocks("<<<>>><a") and pages.blocks("plain") == [("plain", False)]
-    assert pages.main_text(pages.blocks("<p>furniture</p><article><h1>T</h1><div class=ad>x</div><p>y</p></article>"), None) == "T\n\ny"
+    assert pages.candidates("<p>furniture</p><article><h1>T</h1><div class=ad>x</div><p>y</p></article>") == ([("T", True), ("y", False)], True)
 
 
 def test_shared():
