@@ -7,17 +7,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldmark.functions.scalars import clamp, logit, sigmoid
-from fieldmark.operators.ranking import quantiles, row_numbers
+from fieldmark.operators.ranking import medians, row_numbers
 
 TINY = 1e-6
 
 
 def hash_split(df: DataFrame, id_: str, fraction: float, seed: int = 0) -> DataFrame:
     """df with validation: the ceil(f n) rows, at least one and not all, whose ids hash lowest."""
-    n = df.count()
-    k = max(1, min(n - 1, -int(-fraction * n // 1)))
     ranked = row_numbers(df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(id_)).cast("double")), "_h", [id_], "_at")
-    return ranked.withColumn("validation", F.col("_at") <= k).drop("_h", "_at")
+    n = F.col("_n")
+    k = F.greatest(F.lit(1), F.least(n - 1, F.ceil(F.lit(fraction) * n)))
+    return ranked.join(F.broadcast(df.agg(F.count("*").alias("_n")))).withColumn("validation", F.col("_at") <= k).drop("_h", "_at", "_n")  # one row
 
 
 def group_split(df: DataFrame, group: str, fraction: float, seed: int = 0) -> DataFrame:
@@ -141,7 +141,7 @@ def fit_logistic(train: DataFrame, features: list[str], label: str, iterations:
     """
     ok = lambda c: F.when(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c).cast("double"))
     clean = train.select(*[ok(c).alias(c) for c in features], F.col(label).cast("double").alias("_y"))
-    fill = [float(x) if (x := quantiles(clean, c, {"m": 0.5}).first()[0]) is not None else 0.0 for c in features]
+    fill = [0.0 if x is None else float(x) for x in medians(clean, features).first()]
     filled = clean.fillna(dict(zip(features, fill, strict=True)), subset=features)
     stats = filled.agg(F.avg("_y"), F.min("_y"), F.max("_y"), *[F.avg(c) for c in features], *[F.stddev_pop(c) for c in features]).first()
     p = len(features)

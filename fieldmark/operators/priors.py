@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldmark.functions.scalars import charbonnier, clamp, finite, norm3
-from fieldmark.operators.ranking import quantiles, row_numbers
+from fieldmark.operators.ranking import medians, quantiles, row_numbers
 
 #: Columns that a signal is taken from, the first that is there. Fixed values.
 UNCERTAINTY = ("distance_std", "sigma", "variance", "uncertainty")
@@ -12,18 +12,33 @@ EVIDENCE = ("score_raw_surface_band", "score_variance_penalized_band", "score_ex
 REQUIRED = ("densify_weight", "prune_weight", "opacity_target_alpha", "opacity_regularization_weight")
 
 
-def unit_signal(df: DataFrame, columns: tuple[str, ...], name: str, default: Column) -> DataFrame:
-    """df with the first of the columns that it has, or the default, spread over 0 to 1; all equal: 0.
+def unit_signals(df: DataFrame, **signals: tuple[tuple[str, ...], Column]) -> DataFrame:
+    """df with, for each name, the first of the columns that it has, or the default, spread over 0 to 1; all equal: 0.
 
-    NaN and null count as the median, infinities as the largest and least finite value.
+    NaN and null count as the median, infinities as the largest and least finite value. All signals' ends are one aggregate.
     """
-    value = next((F.col(c).cast("double") for c in columns if c in df.columns), default)
-    held = df.withColumn("_v", value)
-    ends = held.agg(F.min(finite(F.col("_v"))).alias("_lo"), F.max(finite(F.col("_v"))).alias("_hi")).join(F.broadcast(quantiles(held.where(finite(F.col("_v")).isNotNull()), "_v", {"_m": 0.5})))  # one row
-    v = F.when(F.col("_v").isNull() | F.isnan("_v"), F.col("_m")).otherwise(F.least(F.greatest("_v", "_lo"), F.col("_hi")))
-    span = F.col("_hi") - F.col("_lo")
-    spread = F.when(span > 1e-12, clamp((v - F.col("_lo")) / span, 0.0, 1.0)).otherwise(F.lit(0.0))
-    return held.join(F.broadcast(ends)).withColumn(name, spread).drop("_v", "_lo", "_hi", "_m")
+    value = {n: next((F.col(c).cast("double") for c in columns if c in df.columns), default) for n, (columns, default) in signals.items()}
+    held = df.withColumns({f"_v_{n}": v for n, v in value.items()})
+    some = held.select(*[finite(F.col(f"_v_{n}")).alias(n) for n in signals])
+    ends = some.agg(*[f(n).alias(f"_{k}_{n}") for n in signals for k, f in (("lo", F.min), ("hi", F.max))])
+    middles = medians(some, [*signals]).withColumnsRenamed({n: f"_m_{n}" for n in signals})
+
+    def spread(n: str) -> Column:
+        v, lo, hi = (F.col(f"_{k}_{n}") for k in ("v", "lo", "hi"))
+        x = F.when(v.isNull() | F.isnan(v), F.col(f"_m_{n}")).otherwise(F.least(F.greatest(v, lo), hi))
+        return F.when(hi - lo > 1e-12, clamp((x - lo) / (hi - lo), 0.0, 1.0)).otherwise(F.lit(0.0))
+
+    out = held.join(F.broadcast(ends)).join(F.broadcast(middles)).withColumns({n: spread(n) for n in signals})  # a row each
+    return out.drop(*[f"_{k}_{n}" for n in signals for k in ("v", "lo", "hi", "m")])
+
+
+def unit_signal(df: DataFrame, columns: tuple[str, ...], name: str, default: Column) -> DataFrame:
+    return unit_signals(df, **{name: (columns, default)})
+
+
+def both_signals(df: DataFrame) -> DataFrame:
+    """Uncertainty and evidence, from the columns they are taken from."""
+    return unit_signals(df, uncertainty=(UNCERTAINTY, F.lit(1.0)), evidence=(EVIDENCE, F.col("gate")))
 
 
 def prior_columns(t: DataFrame, initialise: float = 0.75, densify: float = 0.55, prune: float = 0.25, uncertain: float = 0.8, strength: float = 1.0, floor: float = 0.05) -> DataFrame:
@@ -56,8 +71,7 @@ def unit_gate(df: DataFrame) -> DataFrame:
 
 def training_prior(gaussians: DataFrame, **limits: float) -> DataFrame:
     """gaussians (splat_index, gate, alpha, field scores...) with uncertainty, evidence and the prior's columns."""
-    t = unit_signal(unit_gate(gaussians), UNCERTAINTY, "uncertainty", F.lit(1.0))
-    return prior_columns(unit_signal(t, EVIDENCE, "evidence", F.col("gate")), **limits)
+    return prior_columns(both_signals(unit_gate(gaussians)), **limits)
 
 
 def training_policy(gaussians: DataFrame, candidates: DataFrame, **limits: float) -> DataFrame:
@@ -65,7 +79,7 @@ def training_policy(gaussians: DataFrame, candidates: DataFrame, **limits: float
 
     Each Gaussian has the largest gate, uncertainty and evidence of its candidates, none below 0; one without any has zeros.
     """
-    c = unit_signal(unit_signal(unit_gate(candidates), UNCERTAINTY, "uncertainty", F.lit(1.0)), EVIDENCE, "evidence", F.col("gate"))
+    c = both_signals(unit_gate(candidates))
     names = ["gate", "uncertainty", "evidence"]
     most = c.groupBy(F.col("source_splat_index").alias("splat_index")).agg(*[F.greatest(F.max(n), F.lit(0.0)).alias(n) for n in names])
     return prior_columns(gaussians.select("splat_index", "alpha").join(most, "splat_index", "left").fillna(0.0, names), **limits)
@@ -157,8 +171,7 @@ NEUTRAL = {"gate": 1.0, "densify_weight": 0.0, "densify_candidate_mask": False,
 
 def aligned(prior: DataFrame, count: int, mismatch: str = "error") -> DataFrame:
     """The prior for splat_index 0 to count - 1: longer ones are cut, shorter ones padded with neutral rows, or either is an error."""
-    have = prior.count()
-    if have != count and mismatch != "pad":
+    if mismatch != "pad" and (have := prior.count()) != count:
         raise ValueError(f"the prior is of {have} Gaussians, not of {count}")
     every = prior.sparkSession.range(count).withColumnRenamed("id", "splat_index")
     named = prior.select("splat_index", *[c for c in NEUTRAL if c in prior.columns])

@@ -101,9 +101,9 @@ def confidence_to_noise(c: Column, lo: float, hi: float) -> Column:
 
 def normalise_confidence(df: DataFrame, c: str, least: float = 0.0, power: float = 1.0) -> DataFrame:
     """Divided by 255 if the largest is above one; NaN is 0; clipped to [least, 1]; raised to a power."""
-    top = df.agg(F.max(F.when(~F.isnan(c), F.col(c)))).first()[0] or 0.0
-    x = F.when(F.isnan(c) | F.col(c).isNull(), 0.0).otherwise(F.col(c) / (255.0 if top > 1 else 1.0))
-    return df.withColumn(c, F.pow(clamp(x, least, 1.0), F.lit(power)))
+    top = df.agg(F.max(F.when(~F.isnan(c), F.col(c))).alias("_top"))
+    x = F.when(F.isnan(c) | F.col(c).isNull(), 0.0).otherwise(F.col(c) / F.when(F.col("_top") > 1, 255.0).otherwise(1.0))
+    return df.join(F.broadcast(top)).withColumn(c, F.pow(clamp(x, least, 1.0), F.lit(power))).drop("_top")  # one row
 
 
 def scales_from_uncertainty(std: Column, spacing: float, epsilon: float = 0.05, normal: float | None = None, tangent: float | None = None, factors: tuple[float, float] = (0.2, 0.8), most: float = 3.0, widen: bool = True) -> tuple[Column, Column, Column]:
@@ -118,9 +118,9 @@ def scales_from_uncertainty(std: Column, spacing: float, epsilon: float = 0.05,
 
 def minmax01(df: DataFrame, c: str, name: str) -> DataFrame:
     """(v - min) / (max - min); 0 where all are equal."""
-    r = df.agg(F.min(c).alias("lo"), F.max(c).alias("hi")).first()
-    span = (r["hi"] or 0) - (r["lo"] or 0)
-    return df.withColumn(name, (F.col(c) - r["lo"]) / span if span else F.when(F.col(c).isNotNull(), 0.0))
+    ends, span = df.agg(F.min(c).alias("_lo"), F.max(c).alias("_hi")), F.col("_hi") - F.col("_lo")
+    spread = F.when(span > 0, (F.col(c) - F.col("_lo")) / span).when(F.col(c).isNotNull(), 0.0)
+    return df.join(F.broadcast(ends)).withColumn(name, spread).drop("_lo", "_hi")  # one row
 
 
 def dense_gate(scored: DataFrame, count: int, index: str, gate: str, missing: float = 0.0) -> DataFrame:

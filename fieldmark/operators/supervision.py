@@ -93,9 +93,11 @@ def depth_samples(pixels: DataFrame, frames: DataFrame, free: int = 2, lo: float
     ok = F.col("depth").isNotNull() & ~F.isnan("depth") & (F.abs("depth") < float("inf")) & (F.col("depth") >= nearest)
     if farthest is not None:
         ok = ok & (F.col("depth") <= farthest)
-    cols = {a: F.col(a) for a in ("fx", "fy", "cx", "cy")}
-    seen = pixels.where(ok & (F.col("px") % stride == 0) & (F.col("py") % stride == 0)).join(frames, "frame")
-    *xyz, ray = unproject(F.col("px"), F.col("py"), F.col("depth"), *cols.values(), [F.col("pose")[k] for k in range(12)], convention)
+    lens = ["fx", "fy", "cx", "cy"]
+    width = pixels.groupBy("frame").agg((F.max("px") + 1).alias("_width"))
+    held = frames.join(width, "frame").select("frame", "pose", "_width", *[F.col(a).alias(f"_{a}") for a in lens])
+    seen = pixels.where(ok & (F.col("px") % stride == 0) & (F.col("py") % stride == 0)).join(held, "frame")
+    *xyz, ray = unproject(F.col("px"), F.col("py"), F.col("depth"), *[F.col(f"_{a}") for a in lens], [F.col("pose")[k] for k in range(12)], convention)
     seen = seen.select("*", *[c.alias(a) for c, a in zip(xyz, "xyz", strict=True)], ray.alias("ray"), *[F.col("pose")[4 * k + 3].alias(f"c{a}") for k, a in enumerate("xyz")])
     normals = offset is not None and {"nx", "ny", "nz"} <= set(pixels.columns)
     if normals:
@@ -116,17 +118,10 @@ def depth_samples(pixels: DataFrame, frames: DataFrame, free: int = 2, lo: float
         for sign, kind in ((1.0, NORMAL_PLUS), (-1.0, NORMAL_MINUS)):
             moved = [h + sign * offset * F.col(f"n{a}") for h, a in zip(here, "xyz", strict=True)]
             steps.append(one(kind, moved, F.lit(sign * offset), confidence_to_noise(both, *sides), F.col("ray"), F.col("normal_confidence"), both))
-    width = F.max("px").over(_of("frame")) + 1
-    out = seen.withColumn("source_index", F.col("py") * width + F.col("px")).withColumn("s", F.explode(F.array(*steps)))
+    out = seen.withColumn("source_index", F.col("py") * F.col("_width") + F.col("px")).withColumn("s", F.explode(F.array(*steps)))
     return out.select("s.*", "source_index", F.col("frame").alias("camera_index"), F.col("depth_confidence"))
 
 
-def _of(key: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key)
-
-
 def merge_samples(base: DataFrame | None, extra: DataFrame) -> DataFrame:
     """Both sets of samples; a column that one has not is -1 in it for kinds and indices, else 0. No base: the extra ones alone."""
     if base is None:

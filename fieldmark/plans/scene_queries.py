@@ -216,10 +216,11 @@ def mod_densify_boost(spark, d):
     return rounded(priors.densify_boost(base(spark, d, "prior"), "gate", "distance_std", 0.4, 2.0, 0.5).select("splat_index", "boost"))
 
 
-@query(sql("prior", PRIOR + f" SELECT CAST(i AS BIGINT) AS splat_index, {r('coalesce(gate, 1)', 'gate')}, coalesce(dm, false) AS densify_candidate_mask, {r('coalesce(ta, 1)', 'opacity_target_alpha')} FROM range((SELECT max(splat_index) + 100 FROM prior)) g(i) LEFT JOIN t ON splat_index = i"))
+@query(sql("prior", PRIOR + f" SELECT CAST(i AS BIGINT) AS splat_index, {r('coalesce(gate, 1)', 'gate', 8)}, coalesce(dm, false) AS densify_candidate_mask, {r('coalesce(ta, 1)', 'opacity_target_alpha', 8)} FROM range((SELECT max(splat_index) + 100 FROM prior)) g(i) LEFT JOIN t ON splat_index = i"))
 def mod_prior_alignment(spark, d):
     p = _prior(spark, d)
-    return rounded(priors.aligned(p, p.agg(F.max("splat_index")).first()[0] + 100, "pad").select("splat_index", "gate", "densify_candidate_mask", "opacity_target_alpha"))
+    count = base(spark, d, "prior").agg(F.max("splat_index")).first()[0] + 100
+    return rounded(priors.aligned(p, count, "pad").select("splat_index", "gate", "densify_candidate_mask", "opacity_target_alpha"), 8)
 
 
 @query(sql("field", f""", a AS (SELECT *, (id % 100) / 99e0 AS c, mean / greatest(sqrt(gx * gx + gy * gy + gz * gz), 1e-6) AS dist, (id % 7) / 6e0 AS op, (id % 3) / 2e0 AS nx, 0.5e0 AS ny, 0.25e0 AS nz FROM field),
@@ -238,14 +239,14 @@ v AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, camera) -
 k AS (SELECT 0 AS kind, 1e0 AS t UNION ALL SELECT 1, 0.2 UNION ALL SELECT 1, 0.5 UNION ALL SELECT 1, 0.8 UNION ALL SELECT 2, 1.1)"""
 
 
-@query(sql("pred truth", VIEW + f""" SELECT {r('cx + (x - cx) * t', 'x')}, {r('cy + (y - cy) * t', 'y')}, {r('cz + (z - cz) * t', 'z')}, {r('CASE kind WHEN 0 THEN 0 WHEN 1 THEN least(distance * (1 - t), 0.5) ELSE -least(distance * 0.1e0, 0.5) END', 'sdf')},
-{r("CASE kind WHEN 0 THEN 0.03e0 * CASE WHEN err > 0 THEN least(greatest(err / (SELECT median((id % 11) / 10e0) FROM pred WHERE id % 11 > 0), 1), 4) ELSE 1 END ELSE 0.05e0 END", 'noise')}, CAST(kind AS INT) AS sample_type, id AS source_index, camera AS camera_index, {r('distance * t', 'ray_distance')} FROM w, k WHERE kind > 0 OR rank = 0"""))
+@query(sql("pred truth", VIEW + f""" SELECT {r('cx + (x - cx) * t', 'x', 8)}, {r('cy + (y - cy) * t', 'y', 8)}, {r('cz + (z - cz) * t', 'z', 8)}, {r('CASE kind WHEN 0 THEN 0 WHEN 1 THEN least(distance * (1 - t), 0.5) ELSE -least(distance * 0.1e0, 0.5) END', 'sdf', 8)},
+{r("CASE kind WHEN 0 THEN 0.03e0 * CASE WHEN err > 0 THEN least(greatest(err / (SELECT median((id % 11) / 10e0) FROM pred WHERE id % 11 > 0), 1), 4) ELSE 1 END ELSE 0.05e0 END", 'noise', 8)}, CAST(kind AS INT) AS sample_type, id AS source_index, camera AS camera_index, {r('distance * t', 'ray_distance', 8)} FROM w, k WHERE kind > 0 OR rank = 0"""))
 def smp_ray_points(spark, d):
     p, c = T.pred(spark, d).withColumn("err", (F.col("id") % 11) / 10.0), T.truth(spark, d)
     from fieldmark.operators.nearest import knn
 
     views = knn(p, c, 2).select("id", F.col("neighbor").alias("camera"), "distance")
-    return rounded(supervision.ray_samples(p, views, c, errors="err").drop("view_rank", "view_count"))
+    return rounded(supervision.ray_samples(p, views, c, errors="err").drop("view_rank", "view_count"), 8)
 
 
 DEPTH = """, px AS (SELECT s_nationkey AS frame, s_suppkey // 10 AS py, s_suppkey % 10 AS px, 1 + (s_suppkey % 13) / 10e0 AS z, (s_suppkey % 5) / 4e0 AS dc, (s_suppkey % 3) / 2e0 AS nc FROM supplier),
@@ -253,8 +254,8 @@ u AS (SELECT *, (px - 4.5e0) * z / 8 + 0.1e0 * frame AS x, (py - 4.5e0) * z / 9
 k AS (SELECT 3 AS kind, 1e0 AS t UNION ALL SELECT 4, 0.25 UNION ALL SELECT 4, 0.75 UNION ALL SELECT 5, 1 UNION ALL SELECT 6, 1)"""
 
 
-@query(sql("truth", DEPTH + f""" SELECT frame AS camera_index, CAST(kind AS INT) AS sample_type, {r('cx + (x - cx) * t', 'x')}, {r('cy + (y - cy) * t', 'y')}, {r('CASE WHEN kind < 5 THEN cz + (z + 0.3e0 - cz) * t WHEN kind = 5 THEN z + 0.3e0 - 0.02e0 ELSE z + 0.3e0 + 0.02e0 END', 'z')},
-{r('CASE kind WHEN 3 THEN 0 WHEN 4 THEN least(ray * (1 - t), 0.5) WHEN 5 THEN 0.02e0 ELSE -0.02e0 END', 'sdf')}, {r('CASE kind WHEN 3 THEN 0.05e0 - dc * 0.04e0 WHEN 4 THEN 0.1e0 - dc * 0.08e0 ELSE 0.1e0 - least(dc, nc) * 0.08e0 END', 'noise')}, {r('ray * t', 'ray_distance')} FROM u, k"""))
+@query(sql("truth", DEPTH + f""" SELECT frame AS camera_index, CAST(kind AS INT) AS sample_type, {r('cx + (x - cx) * t', 'x', 8)}, {r('cy + (y - cy) * t', 'y', 8)}, {r('CASE WHEN kind < 5 THEN cz + (z + 0.3e0 - cz) * t WHEN kind = 5 THEN z + 0.3e0 - 0.02e0 ELSE z + 0.3e0 + 0.02e0 END', 'z', 8)},
+{r('CASE kind WHEN 3 THEN 0 WHEN 4 THEN least(ray * (1 - t), 0.5) WHEN 5 THEN 0.02e0 ELSE -0.02e0 END', 'sdf', 8)}, {r('CASE kind WHEN 3 THEN 0.05e0 - dc * 0.04e0 WHEN 4 THEN 0.1e0 - dc * 0.08e0 ELSE 0.1e0 - least(dc, nc) * 0.08e0 END', 'noise', 8)}, {r('ray * t', 'ray_distance', 8)} FROM u, k"""))
 def smp_depth_normals(spark, d):
     """Normals look away from the camera (0, 0, 1) and are turned towards it."""
     s = spark.read.parquet(f"{d}/supplier.parquet")
@@ -263,7 +264,7 @@ def smp_depth_normals(spark, d):
     f = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("frame"))
     one, zero = F.lit(1.0), F.lit(0.0)
     frames = f.select("frame", F.lit(8.0).alias("fx"), F.lit(9.0).alias("fy"), F.lit(4.5).alias("cx"), F.lit(4.5).alias("cy"), F.array(one, zero, zero, 0.1 * F.col("frame"), zero, one, zero, F.lit(-0.2), zero, zero, one, F.lit(0.3)).alias("pose"))
-    return rounded(supervision.depth_samples(pixels, frames).select("camera_index", "sample_type", "x", "y", "z", "sdf", "noise", "ray_distance"))
+    return rounded(supervision.depth_samples(pixels, frames).select("camera_index", "sample_type", "x", "y", "z", "sdf", "noise", "ray_distance"), 8)
 
 
 @query(sql("pred", f""", b AS (SELECT x, 0::INT AS sample_type, 0.5e0 AS noise FROM pred), e AS (SELECT y AS x, -1 AS sample_type, 0e0 AS noise FROM pred) SELECT sample_type, count(*) AS n, {r('sum(x)', 'total')}, {r('sum(noise)', 'noise')} FROM (SELECT * FROM b UNION ALL SELECT * FROM e) GROUP BY 1"""))
@@ -542,9 +543,9 @@ def flt_surface_only(spark, d):
     return gaussians.surface_only(base(spark, d, "gauss").withColumn("is_surface", F.col("gate") > 0.5)).select("splat_index")
 
 
-@query(sql("sweep", f"SELECT flag, {r('quantile_cont(extra, 0.1)', 'low')}, {r('median(extra)', 'middle')} FROM sweep WHERE flag = 'A' GROUP BY flag"))
+@query(sql("sweep", f"SELECT flag, {r('quantile_cont(extra, 0.1)', 'low')}, {r('median(extra)', 'middle')} FROM sweep GROUP BY flag"))
 def agg_quantile_of_group(spark, d):
-    return rounded(ranking.quantiles(base(spark, d, "sweep").where("flag = 'A'"), "extra", {"low": 0.1, "middle": 0.5}).select(F.lit("A").alias("flag"), "low", "middle"))
+    return rounded(ranking.quantiles(base(spark, d, "sweep"), "extra", {"low": 0.1, "middle": 0.5}, by=["flag"]))
 
 
 # --- kept and read again
@@ -553,17 +554,15 @@ def agg_quantile_of_group(spark, d):
 @query("SELECT kind, true AS same FROM (SELECT unnest(['dense', 'inducing', 'local_exact', 'multires', 'ski']) AS kind)")
 def src_models(spark, d):
     """Models of every kind predict alike after they are written and read."""
-    import uuid
-
     from fieldmark.operators import gp
     from fieldmark.sources.models import load_model, save_model
-    from fieldmark.sources.shared import shared_dir
+    from fieldmark.sources.shared import scratch
 
     train = T.truth(spark, d).withColumn("sdf", S.sdf(F.col("x"), F.col("y"), F.col("z"), "sphere"))
     some, out = T.truth(spark, d), None
     for kind in ("dense", "local_exact", "inducing", "ski", "multires"):
         model = gp.fit(kind, train, gp.Params(lengthscale=0.5), inducing=8)
-        path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
+        path = scratch(spark, "model")
         save_model(spark, path, model, {"kind": kind})
         again, said = load_model(spark, path)
         both = gp.predict(some, model).alias("a").join(gp.predict(some, again).alias("b"), "id")
@@ -574,12 +573,10 @@ def src_models(spark, d):
 
 @query(sql("ev", f"SELECT id, {r('least(greatest(value / 60, 0), 1)', 'confidence_0p05')}, {r('least(greatest((p - 0.1e0) / 0.8e0, 0), 1)', 'confidence_0p1')} FROM ev"))
 def wfl_apply_bundle(spark, d):
-    import uuid
-
     from fieldmark.operators.calibration import MinMax
     from fieldmark.sources.models import apply_bundle, save_bundle
-    from fieldmark.sources.shared import shared_dir
+    from fieldmark.sources.shared import scratch
 
-    path = f"{shared_dir(spark)}/bundle-{uuid.uuid4().hex}"
+    path = scratch(spark, "bundle")
     save_bundle(spark, path, {0.05: MinMax("value", 0.0, 60.0), 0.1: MinMax("p", 0.1, 0.9)})
     return rounded(apply_bundle(spark, path, T.ev(spark, d)).select("id", "confidence_0p05", "confidence_0p1"))

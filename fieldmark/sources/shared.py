@@ -1,5 +1,7 @@
 """Tables written to the folder that driver and executors share, so that nothing before them runs again."""
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,8 +19,34 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+#: Folders that cut() and keep() have named and that nobody needs once the driver ends.
+_ours: dict[str, SparkSession] = {}
+
+
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new folder's name in the shared folder; it is deleted when the driver ends, or by forget()."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _ours[path] = spark
+    return path
+
+
+def forget(*paths: str) -> None:
+    """Deletes those of our folders, or all of them: for sessions that go on after their results have been read."""
+    for path in paths or [*_ours]:
+        if spark := _ours.pop(path, None):
+            if path.startswith("file:"):
+                shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+            elif spark.sparkContext._jsc is not None:
+                there = spark._jvm.org.apache.hadoop.fs.Path(path)
+                there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+atexit.register(forget)
+
+
 def cut(df: DataFrame) -> DataFrame:
+    """df, written once to the shared folder and read from there: nothing before it runs again, and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = scratch(spark, "cut")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
