@@ -40,13 +40,15 @@ def _brute(query: np.ndarray, reference: np.ndarray, ids: np.ndarray, k: int, bl
 def knn(query: DataFrame, reference: DataFrame, k: int = 1, coords: tuple[str, ...] = ("x", "y", "z"), small: int = SMALL) -> DataFrame:
     """query (id, coords), reference (id, coords) -> (id, neighbor, rank from 1, distance): min(k, n) rows a query.
 
-    A reference of up to `small` rows, which is counted, is sent to all tasks; a larger one is joined by grid cells.
+    A reference of up to `small` rows, which is counted, is sent to all tasks; a larger one is indexed (fieldmark.operators.index).
     Rows with a null or non-finite coordinate take no part. An empty side gives an empty table.
     """
     ok = lambda df: df.where(" and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('inf')" for c in coords)).select(F.col("id").cast("long"), *[F.col(c).cast("double") for c in coords])
     query, reference = ok(query), ok(reference)
     if reference.limit(small + 1).count() > small:
-        return grid_knn(query, reference, k, coords)
+        from fieldmark.operators import index
+
+        return index.search(query, index.build(reference, list(coords), k), list(coords), k)
     rows = reference.toPandas()
     shared = query.sparkSession.sparkContext.broadcast((rows["id"].to_numpy(np.int64), rows[list(coords)].to_numpy(np.float64)))
 

@@ -49,4 +49,6 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, "cut")
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read.cut_path = path
+    return read
