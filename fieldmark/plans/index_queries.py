@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from fieldmark.operators import gp, index, ski, suppress
+from fieldmark.plans import scene_queries as SQ
 from fieldmark.plans import tables as T
 from fieldmark.plans.registry import query, r, rounded
 from fieldmark.plans.tables import oracle
@@ -46,3 +47,74 @@ def mod_ski(spark, d):
     model = ski.fit_ski(p, gp.Params(lengthscale=0.4), 10)
     got = gp.predict(p, model, keep=["sdf"])
     return got.agg(F.count("*").alias("n"), (F.sqrt(F.avg((F.col("mean") - F.col("sdf")) * (F.col("mean") - F.col("sdf")))) < 0.02).alias("close"))
+
+
+# --- formats and streams
+
+
+@query(SQ.sql("gauss", f"SELECT splat_index AS id, {r('x', 'x')}, {r('y', 'y')}, {r('z', 'z')}, {r('opacity', 'opacity')}, CAST(splat_index % 256 AS SMALLINT) AS red FROM gauss"))
+def src_ply(spark, d):
+    """Gaussians written as a folder of PLY files, by all tasks, and read again in ranges."""
+    from fieldmark.sources.formats import register
+    from fieldmark.sources.shared import scratch
+
+    register(spark)
+    g, path = SQ.base(spark, d, "gauss"), scratch(spark, "ply")
+    rows = g.select(F.col("splat_index").cast("int").alias("id"), "x", "y", "z", "opacity", (F.col("splat_index") % 256).cast("smallint").alias("red")).repartition(4)
+    rows.write.format("ply").mode("append").option("rows", 300).option("types", '{"red": "uchar"}').save(path)
+    back = spark.read.format("ply").option("rows", 100).load(path)
+    return rounded(back.select(F.col("id").cast("long"), "x", "y", "z", "opacity", "red"))
+
+
+@query(SQ.sql("gauss", f"SELECT splat_index AS id, {r('x', 'x')}, {r('y', 'y')}, {r('z', 'z')}, {r('gate', 'r')}, gate > 0.5 AS is_surface FROM gauss"))
+def src_npz(spark, d):
+    """Splats written as a folder of archives and read again."""
+    import json
+
+    from fieldmark.sources.formats import SPLAT_ARRAYS, register
+    from fieldmark.sources.shared import scratch
+
+    register(spark)
+    g, path = SQ.base(spark, d, "gauss"), scratch(spark, "npz")
+    splats = g.select("splat_index", "x", "y", "z", *[F.col("gate").alias(c) for c in "rgb"], F.lit(0.45).alias("tau"), F.lit(0.05).alias("sigma"), (F.col("gate") > 0.5).alias("is_surface"))
+    splats.repartition(3).write.format("npz").mode("append").option("rows", 400).option("arrays", json.dumps(SPLAT_ARRAYS | {"id": ["splat_index"]})).save(path)
+    back = spark.read.format("npz").option("arrays", json.dumps(SPLAT_ARRAYS | {"id": ["id"]})).load(path)
+    return rounded(back.select(F.col("id").cast("long"), "x", "y", "z", "r", (F.col("is_surface") > 0.5).alias("is_surface")))
+
+
+@query(f"""WITH f AS (SELECT s_suppkey AS frame_index, 0.1e0 * s_nationkey AS a, 500e0 + s_nationkey % 3 AS fx, s_acctbal / 1e4 AS x FROM supplier), k AS (SELECT fx, row_number() OVER (ORDER BY min(frame_index)) AS camera_id FROM f GROUP BY fx)
+SELECT row_number() OVER (ORDER BY frame_index) AS image_id, camera_id, fx, {r('cos(a)', 'r00')}, {r('-sin(a)', 'r01')}, {r('x', 'tx')}, {r('2e0', 'ty')} FROM f JOIN k USING (fx)""")
+def snk_reconstruction(spark, d):
+    """A scene's frames exported as a reconstruction's text files, and their poses and cameras read again."""
+    from fieldmark.sources.export import export_scene
+    from fieldmark.sources.models import frames_of
+    from fieldmark.sources.scenes import cameras, images
+    from fieldmark.sources.shared import scratch
+
+    a, zero, one = 0.1 * F.col("s_nationkey"), F.lit(0.0), F.lit(1.0)
+    pose = F.array(F.cos(a), -F.sin(a), zero, F.col("s_acctbal") / 1e4, F.sin(a), F.cos(a), zero, F.lit(2.0), zero, zero, one, F.lit(-1.0))
+    frames = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("frame_index"), F.format_string("images/%08d.png", "s_suppkey").alias("file_name"), F.lit(640).alias("width"), F.lit(480).alias("height"), (500.0 + F.col("s_nationkey") % 3).alias("fx"), F.lit(501.0).alias("fy"), F.lit(320.0).alias("cx"), F.lit(240.0).alias("cy"), pose.alias("pose"))
+    points = T.pred(spark, d).withColumns({"r": F.lit(0.5), "g": F.lit(0.5), "b": F.lit(0.5), "error": F.lit(0.1)})
+    path = scratch(spark, "scene")
+    export_scene(frames, points, path)
+    i = images(spark, f"{path}/sparse/0/images.txt")
+    back = frames_of(i, cameras(spark, f"{path}/sparse/0/cameras.txt")).join(i.select("name", F.col("image_id").cast("long"), F.col("camera_id").cast("long")), "name")
+    p = F.col("pose")
+    return rounded(back.select("image_id", "camera_id", F.col("params")[0].alias("fx"), p[0].alias("r00"), p[1].alias("r01"), p[3].alias("tx"), p[7].alias("ty")))
+
+
+@query(oracle("pred", "SELECT count(*) AS points, true AS same, true AS chunked FROM pred"))
+def wfl_large_scores(spark, d):
+    """Points scored chunk by chunk from their files, in two runs, are what one pass over the table gives."""
+    from fieldmark.operators import splats
+    from fieldmark.sources.shared import scratch
+    from fieldmark.streaming import resume
+
+    p, at = T.pred(spark, d), scratch(spark, "scores")
+    model = gp.fit("inducing", T.truth(spark, d).withColumn("sdf", F.col("x") - 0.5), gp.Params(lengthscale=0.5), inducing=8)
+    for part in (0, 1):
+        p.where(F.col("id") % 2 == part).repartition(4).write.mode("append").parquet(f"{at}/points")
+        got = resume.score_files(spark, f"{at}/points", model, f"{at}/out", files=2)
+    once = splats.posterior(gp.predict(p, model)).select("id", F.col("band_probability").alias("again"))
+    told = resume.summary(spark, f"{at}/out").select("points", (F.col("chunks") >= 4).alias("chunked"))
+    return told.join(F.broadcast(got.join(once, "id").agg((F.max(F.abs(F.col("gate") - F.col("again"))) < 1e-9).alias("same"), F.count("*").alias("_n")))).select("points", (F.col("same") & (F.col("points") == F.col("_n"))).alias("same"), "chunked")  # one row
