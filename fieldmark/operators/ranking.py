@@ -41,11 +41,12 @@ def row_numbers(df: DataFrame, key: str, ties: list[str], name: str = "position"
     return running(df.withColumn("_one", F.lit(1).cast("long")), key, ties, {name: "_one"}, descending).drop("_one")
 
 
-def average_ranks(df: DataFrame, key: str, name: str = "average_rank") -> DataFrame:
-    """df with the mean 1-based position of the value's rows; values are grouped before they are ranked."""
-    values = df.groupBy(key).agg(F.count("*").alias("_n"))
-    ends = running(values, key, [], {"_end": "_n"}).select(F.col(key).alias("_value"), (F.col("_end") - F.col("_n") + (F.col("_n") + 1) / 2).alias(name))
-    return df.join(ends, F.col(key) == F.col("_value")).drop("_value")
+def average_ranks(df: DataFrame, key: str, name: str = "average_rank", by: list[str] | None = None) -> DataFrame:
+    """df with the mean 1-based position of the value's rows (of its group, with `by`); values are grouped before they are ranked."""
+    by = by or []
+    values = df.groupBy(*by, key).agg(F.count("*").alias("_n"))
+    ends = running(values, key, [], {"_end": "_n"}, by=by).select(*[F.col(c).alias(f"_of_{c}") for c in by], F.col(key).alias("_value"), (F.col("_end") - F.col("_n") + (F.col("_n") + 1) / 2).alias(name))
+    return df.join(ends, [F.col(key) == F.col("_value"), *[F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]]).drop("_value", *[f"_of_{c}" for c in by])
 
 
 def known(column: str) -> Column:

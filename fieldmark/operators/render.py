@@ -85,6 +85,39 @@ def boundary_faces(occupied: DataFrame) -> DataFrame:
     return faces.select("*", *moved).join(other, ["ni", "nj", "nk"], "left_anti").select("i", "j", "k", "axis", "side")
 
 
+def welded_mesh(occupied: DataFrame, lo: tuple[float, float, float] = (0.0, 0.0, 0.0), step: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> tuple[DataFrame, DataFrame]:
+    """(i, j, k) of occupied cells -> vertices (vertex, i, j, k, x, y, z) and triangles (face, a, b, c) of their boundary, turned outwards.
+
+    Corners that faces share are one vertex. Vertices are numbered in the order of their corner, faces in that of cell, axis and side,
+    over ranges of that order: no task holds all of either.
+    """
+    from fieldmark.operators.ranking import row_numbers
+    from fieldmark.sources.shared import cut
+
+    quads = cut(boundary_faces(occupied))
+    # the other two axes, in turn, span the face; seen from outside, its corners go round to the left
+    ring = [(0, 0), (1, 0), (1, 1), (0, 1)]
+
+    def corner(n: int, c: int):
+        """Coordinate c of the face's n-th corner."""
+        along = F.when(F.col("side") > 0, 1).otherwise(0)
+        turn = lambda which: F.when(F.col("side") > 0, ring[n][which]).otherwise(ring[n][1 - which])
+        place = F.pmod(F.lit(c) - F.col("axis"), F.lit(3))
+        return F.col("ijk"[c]) + F.when(place == 0, along).when(place == 1, turn(0)).otherwise(turn(1))
+
+    corners = F.array(*[F.struct(F.lit(n).alias("n"), *[corner(n, c).cast("long").alias(f"c{c}") for c in range(3)]) for n in range(4)])
+    key = ["i", "j", "k", "axis", "side"]
+    spread = quads.select(*key, F.explode(corners).alias("q")).select(*key, "q.*")
+    at = [f"c{c}" for c in range(3)]
+    nodes = row_numbers(spread.select(*at).distinct(), at[0], at[1:], "vertex").withColumn("vertex", F.col("vertex") - 1)
+    nodes = cut(nodes)
+    four = spread.join(nodes, at).groupBy(*key).agg(*[F.max(F.when(F.col("n") == n, F.col("vertex"))).alias(f"v{n}") for n in range(4)])
+    numbered = row_numbers(four, key[0], key[1:], "quad")
+    two = F.array(*[F.struct((2 * (F.col("quad") - 1) + f).alias("face"), *[F.col(f"v{n}").alias(c) for c, n in zip("abc", ns, strict=True)]) for f, ns in enumerate(((0, 1, 2), (0, 2, 3)))])
+    placed = [(F.lit(lo[c]) + F.col(at[c]) * F.lit(step[c])).alias("xyz"[c]) for c in range(3)]
+    return nodes.select("vertex", *[F.col(at[c]).alias("ijk"[c]) for c in range(3)], *placed), numbered.select(F.explode(two).alias("t")).select("t.*")
+
+
 def surfels(splats: DataFrame, scale: float, lo: float, hi: float) -> tuple[DataFrame, DataFrame]:
     """Splats (splat_index, x, y, z, tangents ax.. and bx.., r1, r2) -> corners (vertex, x, y, z) and two faces each."""
     radius = lambda c: F.least(F.greatest(F.col(c) * scale, F.lit(lo)), F.lit(hi))

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.operators.ranking import row_numbers
+from fieldmark.operators.ranking import row_numbers, running
 
 
 def grid(spark: SparkSession, bounds: list[tuple[float, float]], sizes: list[int]) -> DataFrame:
@@ -41,6 +41,40 @@ def stratified(df: DataFrame, stratum: str, id_: str, n: int, seed: int = 0) ->
     return near.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= F.col("_q")).drop("_s", "_c", "_q", "_h", "_k")
 
 
+def quotas(counts: DataFrame, n: int) -> DataFrame:
+    """counts (stratum, count) -> (stratum, count, quota): n in all, or all there are; known from the counts before any row moves.
+
+    Each stratum has its share, rounded, one at least and no more than its rows. What is missing then goes to the strata in
+    proportion to the rows they have left, what is too much comes off in proportion to the shares; whole rows by largest remainder.
+    """
+    from pyspark.sql import Window
+
+    every = Window.partitionBy()  # a row a stratum
+    total = lambda c: F.sum(c).over(every)
+    t = counts.withColumn("_wanted", F.least(F.lit(n), total("count")))
+    t = t.withColumn("_base", F.least(F.col("count"), F.greatest(F.lit(1), F.bround(F.col("count") * n / total("count")).cast("long"))))
+    t = t.withColumn("_gap", F.col("_wanted") - total("_base"))
+    t = t.withColumn("_room", F.when(F.col("_gap") > 0, F.col("count") - F.col("_base")).otherwise(F.col("_base")))
+    t = t.withColumn("_part", F.when(F.col("_gap") != 0, F.abs("_gap") * F.col("_room") / total("_room")).otherwise(F.lit(0.0)))
+    t = t.withColumn("_whole", F.floor("_part")).withColumn("_over", F.abs("_gap") - total("_whole"))
+    t = t.withColumn("_rank", F.row_number().over(Window.orderBy(F.desc(F.col("_part") - F.col("_whole")), "stratum")))
+    moved = F.col("_whole") + F.when(F.col("_rank") <= F.col("_over"), 1).otherwise(0)
+    return t.select("stratum", "count", (F.col("_base") + F.signum("_gap").cast("long") * moved).alias("quota"))
+
+
+def quota_sample(df: DataFrame, stratum: str, id_: str, n: int, seed: int = 0) -> DataFrame:
+    """n rows without replacement, or all there are, as quotas() deals them to the strata: of each those whose ids hash lowest.
+
+    Rows are ranked in ranges within their stratum, so that a stratum of any size takes many tasks. n of 0 or less: all rows.
+    """
+    if n <= 0:
+        return df
+    dealt = quotas(df.groupBy(F.col(stratum).alias("stratum")).agg(F.count("*").alias("count")), n).select(F.col("stratum").alias("_s"), "quota")
+    hashed = df.withColumns({"_h": F.xxhash64(F.lit(seed), F.col(id_)), "_one": F.lit(1).cast("long")})
+    ranked = running(hashed, "_h", [id_], {"_k": "_one"}, by=[stratum])
+    return ranked.join(F.broadcast(dealt), F.col(stratum).eqNullSafe(F.col("_s"))).where(F.col("_k") <= F.col("quota")).drop("_s", "quota", "_h", "_one", "_k")  # a row a stratum
+
+
 def strided(n: int, m: int, offset: int = 0) -> Column:
     """Of range rows id = 0..m-1: floor(i n / m) + offset, modulo n."""
     return (F.floor(F.col("id") * n / m) + offset) % n
@@ -78,7 +112,6 @@ def mesh_samples(vertices: DataFrame, faces: DataFrame, count: int, seed: int =
     """`count` points, faces drawn by area: sample k falls where k's even share of the running area does, shifted at random."""
     areas = triangle_areas(vertices, faces)
     total = areas.agg(F.sum("area")).first()[0]
-    from fieldmark.operators.ranking import running
 
     cum = running(areas.withColumn("f", F.col("face").cast("double")), "f", [], {"upto": "area"}).withColumn("before", F.col("upto") - F.col("area"))
     first, last = F.ceil(F.col("before") / total * count - 0.5), F.ceil(F.col("upto") / total * count - 0.5) - 1

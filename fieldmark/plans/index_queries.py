@@ -118,3 +118,45 @@ def wfl_large_scores(spark, d):
     once = splats.posterior(gp.predict(p, model)).select("id", F.col("band_probability").alias("again"))
     told = resume.summary(spark, f"{at}/out").select("points", (F.col("chunks") >= 4).alias("chunked"))
     return told.join(F.broadcast(got.join(once, "id").agg((F.max(F.abs(F.col("gate") - F.col("again"))) < 1e-9).alias("same"), F.count("*").alias("_n")))).select("points", (F.col("same") & (F.col("points") == F.col("_n"))).alias("same"), "chunked")  # one row
+
+
+# --- meshes, quotas, sweeps
+
+
+_cells = "v AS (SELECT DISTINCT l_linenumber AS i, CAST(l_quantity AS INT) // 10 AS j, CAST(round(l_discount * 100) AS INT) // 4 AS k FROM lineitem)"
+_corner = ", ".join(f"{c} + CASE (3 + {n} - axis) % 3 WHEN 0 THEN (side + 1) // 2 WHEN 1 THEN CASE WHEN side > 0 THEN p ELSE q END ELSE CASE WHEN side > 0 THEN q ELSE p END END AS c{n}" for n, c in enumerate("ijk"))
+
+
+@query(f"""WITH {_cells}, f AS (SELECT *, a AS axis, s AS side FROM v, (SELECT unnest([0, 1, 2]) AS a), (SELECT unnest([-1, 1]) AS s)), b AS (SELECT f.i, f.j, f.k, axis, side, row_number() OVER (ORDER BY f.i, f.j, f.k, axis, side) - 1 AS quad FROM f
+ WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.i = f.i + CASE WHEN axis = 0 THEN side ELSE 0 END AND v.j = f.j + CASE WHEN axis = 1 THEN side ELSE 0 END AND v.k = f.k + CASE WHEN axis = 2 THEN side ELSE 0 END)),
+c AS (SELECT quad, n, {_corner} FROM b, (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1)) t(n, p, q)), w AS (SELECT *, dense_rank() OVER (ORDER BY c0, c1, c2) - 1 AS vertex FROM c),
+o AS (SELECT quad, max(vertex) FILTER (n = 0) AS v0, max(vertex) FILTER (n = 1) AS v1, max(vertex) FILTER (n = 2) AS v2, max(vertex) FILTER (n = 3) AS v3 FROM w GROUP BY quad)
+SELECT 2 * quad AS face, v0 AS a, v1 AS b, v2 AS c FROM o UNION ALL SELECT 2 * quad + 1, v0, v2, v3 FROM o""")
+def mod_voxel_mesh(spark, d):
+    """The triangles of a voxel set's boundary, by vertices that neighbours share."""
+    from fieldmark.operators.render import welded_mesh
+
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    v = li.select(F.col("l_linenumber").alias("i"), F.expr("cast(cast(l_quantity as int) div 10 as int)").alias("j"), F.expr("cast(cast(round(l_discount * 100) as int) div 4 as int)").alias("k")).distinct()
+    return welded_mesh(v)[1]
+
+
+@query(oracle("ev", """, c AS (SELECT g, count(*) AS c FROM ev GROUP BY g), b AS (SELECT *, least(c, greatest(1, CAST(round_even(c * 1000 / CAST(sum(c) OVER () AS DOUBLE), 0) AS BIGINT))) AS base, least(1000, sum(c) OVER ()) AS wanted FROM c),
+d AS (SELECT *, wanted - sum(base) OVER () AS gap FROM b), e AS (SELECT *, CASE WHEN gap > 0 THEN c - base ELSE base END AS room FROM d), h AS (SELECT *, CASE WHEN gap <> 0 THEN abs(gap) * room / CAST(sum(room) OVER () AS DOUBLE) ELSE 0 END AS part FROM e),
+i AS (SELECT *, abs(gap) - sum(floor(part)) OVER () AS over_, row_number() OVER (ORDER BY part - floor(part) DESC, g) AS rank FROM h)
+SELECT g, CAST(base + sign(gap) * (floor(part) + CASE WHEN rank <= over_ THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM i WHERE taken > 0""").replace("AS ev FROM events) ,", "AS ev FROM events),").replace("events) ,", "events),"))
+def set_quota(spark, d):
+    """A thousand events, by user in proportion and one of each at least, as many as the quotas say."""
+    from fieldmark.operators.sampling import quota_sample
+
+    return quota_sample(T.ev(spark, d), "g", "id", 1000).groupBy("g").agg(F.count("*").alias("taken"))
+
+
+@query()
+def wfl_model_sweep(spark, d):
+    """Lengthscales by noises by bands by floors, cross-validated in one job and judged on all points."""
+    from fieldmark.plans import sweeps
+
+    p = T.pred(spark, d).withColumn("error", (F.col("id") % 11) / 50.0)
+    samples = p.select("id", "x", "y", "z", (F.col("x") - 0.5).alias("sdf"), (F.col("id") % 3).cast("int").alias("sample_type"))
+    return rounded(sweeps.model_sweep(samples, p, [0.3, 0.6], [0.03, 0.1], [0.05, 0.1], [0.0, 0.2], most=200).drop("failed"), 4)

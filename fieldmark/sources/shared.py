@@ -19,26 +19,27 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-#: Folders that cut() and keep() have named and that nobody needs once the driver ends.
-_ours: dict[str, SparkSession] = {}
+#: Folders that scratch() has named and that nobody needs once the driver ends.
+_ours: set[str] = set()
 
 
 def scratch(spark: SparkSession, kind: str) -> str:
     """A new folder's name in the shared folder; it is deleted when the driver ends, or by forget()."""
     path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
-    _ours[path] = spark
+    _ours.add(path)
     return path
 
 
 def forget(*paths: str) -> None:
     """Deletes those of our folders, or all of them: for sessions that go on after their results have been read."""
-    for path in paths or [*_ours]:
-        if spark := _ours.pop(path, None):
-            if path.startswith("file:"):
-                shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
-            elif spark.sparkContext._jsc is not None:
-                there = spark._jvm.org.apache.hadoop.fs.Path(path)
-                there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+    spark = SparkSession.getActiveSession()
+    for path in [p for p in paths or [*_ours] if p in _ours]:
+        _ours.discard(path)
+        if path.startswith("file:"):
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+        elif spark is not None:
+            there = spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
 atexit.register(forget)
