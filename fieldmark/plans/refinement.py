@@ -1,12 +1,10 @@
-"""Loops around a surface model: feedback from splats, and new splats on its zero level."""
+"""Feedback into a surface model from splats that lie on its surface."""
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldmark.operators import gp, splats
-from fieldmark.operators.diverse import select_diverse
-from fieldmark.sources.shared import cut
 
 
 def gates(points: DataFrame, model, epsilon: float) -> DataFrame:
@@ -33,23 +31,3 @@ def feedback(train: DataFrame, candidates: DataFrame, p: gp.Params, rounds: int
         x, y, s = np.vstack([x, best[list(gp.XYZ)].to_numpy(float)]), np.append(y, np.zeros(len(best))), np.append(s, np.full(len(best), noise))
         model = gp.Dense.fit(x, y, p, s)
     return model, trace
-
-
-def proposals(seeds: DataFrame, copies: int, spread: float, seed: int = 0) -> DataFrame:
-    """Seeds (id, x, y, z) and jittered copies of each, drawn from hashes: (id, source, x, y, z)."""
-    n = copies + 1
-    wide = seeds.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies))))
-    u = lambda axis, k: F.xxhash64(F.lit(seed), F.lit(axis), F.lit(k), "id", "copy") / F.lit(2.0**64) + 0.5
-    normal = lambda axis: F.sqrt(-2 * F.log(F.greatest(u(axis, 0), F.lit(1e-300)))) * F.cos(6.283185307179586 * u(axis, 1))
-    return wide.select((F.col("id") * n + F.col("copy")).alias("new"), F.col("id").alias("source"), *[(F.col(a) + F.when(F.col("copy") > 0, spread * normal(a)).otherwise(0.0)).alias(a) for a in gp.XYZ]).withColumnRenamed("new", "id")
-
-
-def zero_level_splats(seeds: DataFrame, model, copies: int = 3, spread: float = 0.05, band: float = 0.02, least_gate: float = 0.2, most_std: float = 0.5, radius: float = 0.05, most: int = 1000, epsilon: float = 0.05) -> DataFrame:
-    """New splats on the surface: propose, step to the zero level, keep what is sure, none within radius of a surer one."""
-    moved = gp.to_zero_level(proposals(seeds, copies, spread), model, most=2 * spread).select("id", *gp.XYZ)
-    scored = splats.posterior(gp.predict(moved, model), epsilon).drop("mean")
-    good = scored.where((F.abs("distance") <= band) & (F.col("band_probability") >= least_gate) & (F.col("distance_std") <= most_std))
-    rows = cut(moved.join(good.select("id", F.col("band_probability").alias("score"), "distance_std", *[(F.col(f"g{a}") / F.col("grad_norm")).alias(f"n{a}") for a in gp.XYZ]), "id"))
-    kept = select_diverse(rows, "score", radius, most)
-    normal, tangent, _ = splats.scales_from_uncertainty(F.col("distance_std"), radius, epsilon)
-    return kept.withColumns({"normal_scale": normal, "tangent_scale": tangent, "tau": splats.alpha_to_tau(F.col("score"))})

@@ -354,11 +354,6 @@ def test_refinement(spark):
     on = points(spark, 0.65 * u / np.linalg.norm(u, axis=1, keepdims=True))
     model, trace = refinement.feedback(train, on, gp.Params(), rounds=2, per_round=8, least=0.05)
     assert trace[0]["selected"] == 8 and len(model.x) == 60 + sum(t["selected"] for t in trace)
-    got = refinement.zero_level_splats(on, model, copies=1, radius=0.1, most=20).toPandas()
-    assert 0 < len(got) <= 20
-    p = got[["x", "y", "z"]].to_numpy()
-    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1)) + np.eye(len(p))
-    assert d.min() >= 0.1 and np.abs(np.linalg.norm(p, axis=1) - 0.65).max() < 0.15
 
 
 def test_queries_read_whole_tables(spark, tmp_path):
