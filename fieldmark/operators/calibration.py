@@ -56,7 +56,7 @@ class Isotonic:
         if not self.thresholds:
             return F.lit(self.fallback)
         blocks = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(v).alias("v")) for t, v in zip(self.thresholds, self.values, strict=True)])
-        return F.coalesce(F.element_at(F.filter(blocks, lambda b: b["t"] >= F.col(self.column)), 1)["v"], F.lit(self.values[-1])) if len(self.thresholds) <= 2000 else self._searched()
+        return F.coalesce(F.get(F.filter(blocks, lambda b: b["t"] >= F.col(self.column)), 0)["v"], F.lit(self.values[-1])) if len(self.thresholds) <= 2000 else self._searched()
 
     def _searched(self) -> Column:
         t, v = np.array(self.thresholds), np.array(self.values)
