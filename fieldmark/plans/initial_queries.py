@@ -63,3 +63,20 @@ def wfl_initial_table(spark, d):
         F.sum(F.col("selected").cast("long")).alias("_n"), F.max(F.when(F.col("selected"), F.col("abs_signed_distance"))).alias("_d"),
     )
     return told.join(F.broadcast(chosen.agg(F.count("*").alias("_c")))).select("candidates", (F.col("_r") & F.col("_m")).alias("ranked"), ((F.col("_c") == F.col("_n")) & (F.coalesce("_d", F.lit(0.0)) <= c.epsilon)).alias("consistent"))  # one row
+
+
+# --- confidence
+
+
+@query("""WITH g AS (SELECT p_partkey AS id, (p_partkey % 83) / 82e0 AS s FROM part) SELECT i.id, g.id IS NOT NULL AS scored, true AS bounded, CAST(0.05 AS DOUBLE) AS threshold FROM range((SELECT max(p_partkey) + 1 FROM part)) i(id) LEFT JOIN g ON g.id = i.id""")
+def wfl_primary_confidence(spark, d):
+    """The primary gate of a chain from scores of all parts to stored calibrations, predictions and dense gates."""
+    from fieldmark.plans.confidence import primary_confidence
+    from fieldmark.sources.shared import scratch
+
+    k = F.col("p_partkey")
+    t = spark.read.parquet(f"{d}/part.parquet").select(k.alias("id"), ((k % 83) / 82.0).alias("s"), (F.col("p_size") / 50.0).alias("v"), (0.1 - 0.08 * (k % 83) / 82.0 + (k % 7) / 500.0).alias("nearest_gt_distance"))
+    got = primary_confidence(spark, t, scratch(spark, "confidence"), [0.02, 0.05], ["s", "v"], [])
+    gate = spark.read.parquet(got["primary_gate"])
+    bounded = F.when(F.col("scored"), F.col("gate").between(0.0, 1.0)).otherwise(F.col("gate") == 0)
+    return gate.select("id", "scored", bounded.alias("bounded"), F.lit(got["primary_threshold"]).alias("threshold"))
