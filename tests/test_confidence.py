@@ -42,3 +42,11 @@ def test_chain(spark):
     assert models.read_json(spark, f"{out}/status.json")["primary_gate"] == got["primary_gate"]
     with pytest.raises(ValueError):  # an id above the count
         confidence.primary_confidence(spark, table.where(F.col("id") > 100), out, [0.05], ["s"], [], count=10)
+
+
+def test_isotonic_beyond_its_blocks(spark):
+    from fieldmark.operators.calibration import Isotonic
+
+    step = Isotonic("s", [0.2, 0.6], [0.1, 0.8], 0.5)
+    t = spark.createDataFrame([(0.1,), (0.2,), (0.3,), (0.9,)], "s double")
+    assert [r.v for r in t.select(step().alias("v")).collect()] == [0.1, 0.1, 0.8, 0.8]
