@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import cut, drop, tidy
+from fieldmark.llm.common import BLANKS, cut, drop, tidy
 
 #: Words that are a leaf of their own and whose counts every task holds (about 25 MB); all others share leaves.
 HEAD = 200_000
@@ -21,8 +22,8 @@ SHARED = 512
 #: Rows of weights that features of a class are hashed to, a power of two.
 ROWS = 1 << 16
 FEATURES = 3
-#: Tokens that are looked at together, and for which a task keeps counts before it hands them on.
-BATCH, CHUNK, FLUSH = 16_384, 1 << 18, 1 << 21
+#: Tokens that are looked at together; bytes of texts that are split together; tokens whose pairs, and whose words, a task counts before it hands them on.
+BATCH, CHUNK, FLUSH, COUNTED = 16_384, 1 << 22, 1 << 21, 1 << 22
 #: Training tokens for each shard of the words' weights.
 SHARD = 3_000_000
 #: Precisions of the weights' Gaussian priors; steps of their training.
@@ -35,26 +36,70 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 BLOCKS = 16
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    """Words, A-Z lowered, and the end, which is the empty word."""
-    words = (text or b"").lower().split()  # of bytes: at ASCII white space
-    words.append(END)
-    return words
+LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+IN_WORD = ~np.isin(np.arange(256), list(BLANKS.encode()))
+
+
+def _bytes(x: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, where each value starts in them, and their end) of an array of binary values."""
+    edges = np.frombuffer(x.buffers()[1], np.int32, len(x) + 1, 4 * x.offset) if len(x) else np.zeros(1, np.int32)
+    data = x.buffers()[2] if edges[-1] > edges[0] else None
+    return np.zeros(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)[edges[0] : edges[-1]], edges - edges[0]
+
+
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(tokens of all texts, where each text starts in them): words, A-Z lowered, and after each text its end, the empty word."""
+    raw, edges = _bytes(pc.fill_null(texts.cast(pa.binary()), b""))
+    kept = IN_WORD[raw]
+    first = kept.copy()
+    first[1:] &= ~kept[:-1]
+    fresh = edges[:-1][edges[:-1] < len(raw)]
+    first[fresh] = kept[fresh]
+    at = np.flatnonzero(first)
+    begin = np.append(np.cumsum(kept, dtype=np.int32)[at] - 1, np.count_nonzero(kept)).astype(np.int32)
+    upto = np.searchsorted(at, edges)
+    offsets = np.insert(begin, upto[1:], begin[upto[1:]])
+    words = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(LOWER[raw[kept]])])
+    return words, upto[:-1] + np.arange(len(texts))
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, pa.Array, np.ndarray]]:
+    """(rows, their tokens, where texts start) of whole texts, the last column, that have CHUNK bytes together or a text more."""
+    held, size = [], 0
+    for b in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(b.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        a = done = 0
+        while a < b.num_rows:
+            z = min(int(np.searchsorted(sizes, done + CHUNK - size)) + 1, b.num_rows)
+            held.append(b.slice(a, z - a))
+            size += int(sizes[z - 1]) - done
+            a, done = z, int(sizes[z - 1])
+            if size >= CHUNK:
+                rows = pa.Table.from_batches(held)
+                yield rows, *split(rows.column(rows.num_columns - 1).combine_chunks())
+                held, size = [], 0
+    if held:
+        rows = pa.Table.from_batches(held)
+        yield rows, *split(rows.column(rows.num_columns - 1).combine_chunks())
 
 
 def count(docs: DataFrame) -> DataFrame:
     """docs (text) -> (word, n) over all tokens; tasks sum before they shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-        for b in batches:
-            for text in b.column(0):
-                held.update(tokens(text.as_py()))
-                if len(held) >= 400_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
-                    held = Counter()
+        held: list[pa.Array] = []
+
+        def summed() -> pa.RecordBatch:
+            x = pa.chunked_array(held).value_counts()
+            held.clear()
+            return pa.RecordBatch.from_arrays([x.field("values"), x.field("counts")], ["word", "n"])
+
+        for _, words, _ in _texts(batches):
+            held.append(words)
+            if sum(map(len, held)) >= COUNTED:
+                yield summed()
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+            yield summed()
 
     parts = docs.select(F.col("text").cast("binary")).mapInArrow(run, "word binary, n long")
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
@@ -104,6 +149,8 @@ class Leaves:
         self.first = np.cumsum([0, *[SHARED + len(x) for x in by_class]])
         self.own = {w: int(self.first[k]) + SHARED + j for k, x in enumerate(by_class) for j, w in enumerate(x)}
         self.size = int(self.first[-1])
+        self.words = pa.array(list(self.own), pa.binary())
+        self.codes = np.fromiter((zlib.crc32(w) | leaf << 32 for w, leaf in self.own.items()), np.uint64, len(self.own))
 
     def class_of(self, leaves: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, leaves, "right") - 1
@@ -112,28 +159,33 @@ class Leaves:
         return leaves - self.first[self.class_of(leaves)] < SHARED
 
 
-class Codes(dict):
-    """word -> crc32 + leaf * 2^32; the commonest words of a task are looked up, not computed again."""
-
-    MOST = 300_000
+class Codes:
+    """crc32 + leaf * 2^32 of words: those of the head are known, others are computed once in each array of words."""
 
     def __init__(self, leaves: Leaves):
-        super().__init__()
-        self.own, self.table, self.first = leaves.own, leaves.table.tolist(), leaves.first.tolist()
-
-    def __missing__(self, word: bytes) -> int:
-        crc, leaf = zlib.crc32(word), self.own.get(word)
-        if leaf is None:
-            leaf = self.first[self.table[_ending(word)]] + (crc * 2654435761 >> 16) % SHARED
-        code = crc | leaf << 32
-        if len(self) < self.MOST:
-            self[word] = code
-        return code
-
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        self.words, self.codes, self.table, self.first = leaves.words, leaves.codes, leaves.table, leaves.first
+
+    def of_rest(self, words: pa.Array) -> np.ndarray:
+        """Codes of words that are not of the head."""
+        data, edges = _bytes(words)
+        n = np.diff(edges)
+        ending = np.zeros(len(n), np.int64)
+        ending[n > 0] = data[edges[1:][n > 0] - 1]
+        ending[n > 1] += data[edges[1:][n > 1] - 2].astype(np.int64) << 8
+        crc = np.fromiter(map(zlib.crc32, words.to_pylist()), np.uint64, len(n))
+        leaf = self.first[self.table[ending]].astype(np.uint64) + (crc * np.uint64(2654435761) >> np.uint64(16)) % np.uint64(SHARED)
+        return crc | leaf << np.uint64(32)
+
+    def look(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """(crc32, leaf, number among the words not of the head: below 0 for one of it) of each word, and the words not of the head."""
+        found, known = pa.concat_arrays([self.words, words]).dictionary_encode(), len(self.words)  # the head first: its words keep their numbers
+        rest, place = found.dictionary.slice(known), found.indices.to_numpy()[known:]
+        code = np.concatenate((self.codes, self.of_rest(rest)))[place]
+        return code & np.uint64(0xFFFFFFFF), (code >> np.uint64(32)).astype(np.int64), place - known, rest
+
+    def of(self, words: pa.Array | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(crc32, leaf) of each word."""
-        found = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-        return found & np.uint64(0xFFFFFFFF), (found >> np.uint64(32)).astype(np.int64)
+        return self.look(words if isinstance(words, pa.Array) else pa.array(words, pa.binary()))[:2]
 
 
 def _back(ids: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
@@ -255,22 +307,6 @@ def answer(keys: np.ndarray, theta: np.ndarray, heads: np.ndarray, logs: np.ndar
     return out
 
 
-def _texts(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[tuple[list, list[bytes], np.ndarray]]:
-    """(rows of other columns, tokens, where texts start) of whole texts that have `most` tokens or a text more."""
-    held, words, starts = [], [], []
-    for b in batches:
-        other = [c.to_pylist() for k, c in enumerate(b.columns) if k != column]
-        for k, text in enumerate(b.column(column)):
-            held.append(tuple(c[k] for c in other))
-            starts.append(len(words))
-            words += tokens(text.as_py())
-            if len(words) >= most:
-                yield held, words, np.array(starts)
-                held, words, starts = [], [], []
-    if held:
-        yield held, words, np.array(starts)
-
-
 def _blocks(kind: int, at: list[int], *blobs: list[bytes]) -> pa.RecordBatch:
     n = len(at)
     columns = [pa.array(x, pa.binary()) for x in blobs] + [pa.nulls(n, pa.binary())] * (3 - len(blobs))
@@ -358,7 +394,7 @@ class Model:
 def _sent(spark, leaves: Leaves, model: Model | None = None):
     """() -> (leaves, model) on executors: their contents are broadcast, the classes travel with the function."""
     rest = {k: x for k, x in vars(model).items() if k != "leaves"} if model else None
-    shared = spark.sparkContext.broadcast((vars(leaves), rest))
+    shared = spark.sparkContext.broadcast(({k: x for k, x in vars(leaves).items() if k != "own"}, rest))
 
     def get() -> tuple[Leaves, Model | None]:
         own, rest = shared.value
@@ -396,7 +432,7 @@ def train(docs: DataFrame, model: Model, shards: int, rounds: int = 2) -> DataFr
             packed = [_packed_keys(keys[i]) for _, i in dealt]
             return _blocks(1, [s for s, _ in dealt], [x for x, _ in packed], [x for _, x in packed], [_packed(n[i]) for _, i in dealt])
 
-        for _, words, starts in _texts(batches, 0, CHUNK):
+        for _, words, starts in _texts(batches):
             ids, leaf = codes.of(words)
             rows = _features(ids, starts)
             for k in range(FEATURES):
@@ -417,7 +453,7 @@ def train(docs: DataFrame, model: Model, shards: int, rounds: int = 2) -> DataFr
         def learn(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
             model = given()[1]
             codes, sums = Codes(model.leaves), None
-            for _, words, starts in _texts(batches, 0, CHUNK):
+            for _, words, starts in _texts(batches):
                 ids, leaf = codes.of(words)
                 g = model.gradient(ids, model.kinds[leaf], starts)
                 sums = g if sums is None else sums + g
@@ -487,7 +523,7 @@ def score(docs: DataFrame, training: DataFrame, head_size: int = HEAD, rounds: i
         leaves = shared()[0]
         n, v, codes = np.zeros(leaves.size), np.zeros(leaves.size), Codes(leaves)
         for b in batches:
-            leaf = codes.of(b.column(0).to_pylist())[1]
+            leaf = codes.of(b.column(0))[1]
             n += np.bincount(leaf, b.column(1).to_numpy(), len(n))
             v += np.bincount(leaf, minlength=len(n))
         at = np.flatnonzero(n)
@@ -507,23 +543,20 @@ def score(docs: DataFrame, training: DataFrame, head_size: int = HEAD, rounds: i
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = given()[1]
         codes, chunk = Codes(model.leaves), TaskContext.get().partitionId() << 32
-        for ids_, words, starts in _texts(batches, 1, CHUNK):
-            ids, leaf = codes.of(words)
+        for texts, words, starts in _texts(batches):
+            ids, leaf, place, rest = codes.look(words)
             found = model.class_scores(ids, leaf, starts) / math.log(10) - model.within[leaf]
-            common = model.logs[leaf]
-            rare = np.isnan(common)
-            common[rare] = 0
+            rare = place >= 0
+            common = np.where(rare, 0.0, model.logs[leaf])
             sums = [np.add.reduceat(x, starts) for x in (common, found)]
             known = np.add.reduceat((~rare).astype(np.int64), starts)
-            sizes = np.diff(np.append(starts, len(words)))
-            of_doc = np.repeat(np.arange(len(starts)), sizes)
-            rare = np.flatnonzero(rare)
-            edges = np.searchsorted(of_doc[rare], np.arange(len(starts) + 1))
-            counted = [Counter([words[i] for i in rare[a:b].tolist()]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            m = len(starts)
+            m, sizes = len(starts), np.diff(np.append(starts, len(words)))
+            of_doc = np.repeat(np.arange(m), sizes)
+            counted, times = np.unique(of_doc[rare] * max(len(rest), 1) + place[rare], return_counts=True)
+            edges = pa.array(np.searchsorted(counted, np.arange(m + 1) * max(len(rest), 1)), pa.int32())
             yield _rows({
-                "chunk": [chunk] * m, "kind": [TEXT] * m, "shard": [chunk % shards] * m, "row": list(range(m)), "doc_id": [x[0] for x in ids_], "n_tokens": sizes.tolist(), "known": known.tolist(),
-                "common": sums[0].tolist(), "context": sums[1].tolist(), "rare": [list(x) for x in counted], "times": [list(x.values()) for x in counted],
+                "chunk": [chunk] * m, "kind": [TEXT] * m, "shard": [chunk % shards] * m, "row": np.arange(m), "doc_id": texts.column(0).combine_chunks(), "n_tokens": sizes, "known": known,
+                "common": sums[0], "context": sums[1], "rare": pa.ListArray.from_arrays(edges, rest.take(pa.array(counted % max(len(rest), 1)))), "times": pa.ListArray.from_arrays(edges, pa.array(times, pa.int32())),
             })
             keys = _keys(ids, leaf, starts)
             order = np.argsort(keys)

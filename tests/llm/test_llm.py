@@ -668,6 +668,63 @@ def test_maxent_is_a_distribution():
     assert all(inside[x] + (10 ** -model.within[x] if shared[x] else 0) == pytest.approx(1) for x in every)
 
 
+def test_maxent_splits_as_plain_words(monkeypatch):
+    """Tokens, their codes and where texts start, however texts are dealt to batches and chunks: odd bytes, nulls, blank and empty texts."""
+    import pyarrow as pa
+
+    r = random.Random(8)
+    alphabet = b" \t\n\x0b\x0c\r\x00\x1c\x1f\x85AZaz\xc3\x89\xc3\xa9"
+    texts = [None if r.random() < 0.1 else bytes(r.choice(alphabet) for _ in range(r.choice([0, 1, 2, 9, 60]))) for _ in range(400)]
+    want = [[*(t or b"").lower().split(), maxent.END] for t in texts]
+    head = dict(Counter(w for t in want for w in t).most_common(30))
+    leaves = maxent.Leaves(head)
+    for size in (1, 100, 1 << 20):
+        monkeypatch.setattr(maxent, "CHUNK", size)
+        batches = [pa.RecordBatch.from_arrays([pa.array(range(a, min(a + 7, 400))), pa.array(texts[a : a + 7], pa.binary())], ["i", "text"]) for a in range(0, 400, 7)]
+        seen = 0
+        for rows, words, starts in maxent._texts(iter(batches)):
+            mine = want[seen : seen + rows.num_rows]
+            assert rows.column(0).to_pylist() == list(range(seen, seen + rows.num_rows))
+            assert words.to_pylist() == [w for t in mine for w in t] and starts.tolist() == [sum(map(len, mine[:k])) for k in range(len(mine))]
+            *found, rest = maxent.Codes(leaves).look(words)
+            for w, crc, leaf, place in zip(words.to_pylist(), *found, strict=True):
+                shared = int(leaves.first[leaves.table[maxent._ending(w)]]) + (zlib.crc32(w) * 2654435761 >> 16) % maxent.SHARED
+                assert (crc, leaf) == (zlib.crc32(w), leaves.own.get(w, shared)) and (place < 0 if w in head else rest[int(place)].as_py() == w)
+            seen += rows.num_rows
+        assert seen == 400
+
+
+def test_maxent_words_are_numbered_in_bulk():
+    """A chunk's words get their codes in less than three quarters of the CPU time of looking each up in a dictionary."""
+    import time
+
+    import pyarrow as pa
+
+    r = random.Random(9)
+    text = " ".join(f"{int(r.paretovariate(0.4)) % 400_000:x}" for _ in range(600_000)).encode()
+    head = dict(Counter(text.split()).most_common(50_000)) | {maxent.END: 1}
+    leaves = maxent.Leaves(head)
+    codes, column = maxent.Codes(leaves), pa.array([text], pa.binary())
+
+    def plain():
+        kept, own = {}, [*text.lower().split(), maxent.END]
+        for w in own:
+            if w not in kept:
+                kept[w] = zlib.crc32(w) | leaves.own.get(w, 0) << 32
+        return np.fromiter(map(kept.__getitem__, own), np.uint64, len(own))
+
+    def best(run):
+        took = []
+        for _ in range(3):
+            t = time.process_time()
+            run()
+            took.append(time.process_time() - t)
+        return min(took)
+
+    assert (codes.of(maxent.split(column)[0])[0] == plain() & np.uint64(0xFFFFFFFF)).all()
+    assert best(lambda: codes.of(maxent.split(column)[0])) < 0.75 * best(plain)
+
+
 def test_maxent_features_start_afresh():
     ids = np.random.default_rng(1).integers(2, 1 << 32, 30).astype(np.uint64)
     starts = np.array([0, 1, 3, 10, 28])
