@@ -172,7 +172,8 @@ class Codes:
         ending = np.zeros(len(n), np.int64)
         ending[n > 0] = data[edges[1:][n > 0] - 1]
         ending[n > 1] += data[edges[1:][n > 1] - 2].astype(np.int64) << 8
-        crc = np.fromiter(map(zlib.crc32, words.to_pylist()), np.uint64, len(n))
+        whole, at = data.tobytes(), edges.tolist()
+        crc = np.fromiter((zlib.crc32(whole[a:z]) for a, z in zip(at[:-1], at[1:], strict=True)), np.uint64, len(n))
         leaf = self.first[self.table[ending]].astype(np.uint64) + (crc * np.uint64(2654435761) >> np.uint64(16)) % np.uint64(SHARED)
         return crc | leaf << np.uint64(32)
 
@@ -309,11 +310,12 @@ def answer(keys: np.ndarray, theta: np.ndarray, heads: np.ndarray, logs: np.ndar
 
 def _blocks(kind: int, at: list[int], *blobs: list[bytes]) -> pa.RecordBatch:
     n = len(at)
-    columns = [pa.array(x, pa.binary()) for x in blobs] + [pa.nulls(n, pa.binary())] * (3 - len(blobs))
-    return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array(at, pa.int32()), *columns], ["kind", "at", "a", "b", "c"])
+    columns = [pa.array(x, pa.binary()) for x in blobs] + [pa.nulls(n, pa.binary())] * (6 - len(blobs))
+    return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array(at, pa.int32()), *columns], ["kind", "at", "a", "b", "c", "ids", "classes", "sizes"])
 
 
-PARTS = "kind int, at int, a binary, b binary, c binary"
+#: What tasks of the training send: 0 sums, 1 counts of pairs for a shard, 2 texts of a round as numbers (in columns of their own, so that others are read without them).
+PARTS = "kind int, at int, a binary, b binary, c binary, ids binary, classes binary, sizes binary"
 
 
 def _added(parts: DataFrame, rows: int) -> np.ndarray:
@@ -414,7 +416,8 @@ def train(docs: DataFrame, model: Model, shards: int, rounds: int = 2) -> DataFr
     One pass counts, for each task, how often classes follow features and leaves follow words. From the first the classes'
     weights start; in each round tasks sum their gradient over a part of the texts (by a hash of the id and text, each text in
     one round), the sums are added up in two levels, and all weights move one step: the result does not depend on how texts are
-    dealt to tasks. The second, shuffled by shard, are what the words' weights are trained from, shard by shard: there are as many
+    dealt to tasks. The rounds read texts as the first pass has numbered them: five bytes a token.
+    The second counts, shuffled by shard, are what the words' weights are trained from, shard by shard: there are as many
     of those as different pairs of words, however large the corpus.
     """
     spark = docs.sparkSession
@@ -432,11 +435,16 @@ def train(docs: DataFrame, model: Model, shards: int, rounds: int = 2) -> DataFr
             packed = [_packed_keys(keys[i]) for _, i in dealt]
             return _blocks(1, [s for s, _ in dealt], [x for x, _ in packed], [x for _, x in packed], [_packed(n[i]) for _, i in dealt])
 
-        for _, words, starts in _texts(batches):
+        for texts, words, starts in _texts(batches):
             ids, leaf = codes.of(words)
-            rows = _features(ids, starts)
+            rows, kind = _features(ids, starts), model.kinds[leaf]
             for k in range(FEATURES):
-                sums += np.bincount(rows[k] * CLASSES + model.kinds[leaf], minlength=ROWS * CLASSES)
+                sums += np.bincount(rows[k] * CLASSES + kind, minlength=ROWS * CLASSES)
+            dealt, sizes = texts.column(0).to_numpy(), np.diff(np.append(starts, len(ids)))
+            for r in np.unique(dealt).tolist():
+                mine = np.repeat(dealt == r, sizes)
+                numbers = (ids[mine].astype("<u4"), kind[mine].astype(np.uint8), sizes[dealt == r].astype("<u4"))
+                yield _blocks(2, [r], *[[None]] * 3, *[[x.tobytes()] for x in numbers])
             held.append(_keys(ids, leaf, starts))
             if sum(map(len, held)) >= FLUSH:
                 yield pairs()
@@ -445,22 +453,23 @@ def train(docs: DataFrame, model: Model, shards: int, rounds: int = 2) -> DataFr
         if sums.any():
             yield _blocks(0, list(range(BLOCKS)), [x.astype(np.float32).tobytes() for x in np.split(sums, BLOCKS)])
 
-    parts = cut(docs.select(F.col("text").cast("binary")).mapInArrow(run, PARTS))
+    dealt = F.pmod(F.xxhash64("doc_id", "text", F.lit("round")), F.lit(rounds)).cast("int")
+    parts = cut(docs.select(dealt.alias("round"), F.col("text").cast("binary")).mapInArrow(run, PARTS))
     model.start(_added(parts.where("kind = 0"), ROWS))
     for r in range(rounds):
         given = _sent(spark, model.leaves, model)
 
         def learn(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
-            model = given()[1]
-            codes, sums = Codes(model.leaves), None
-            for _, words, starts in _texts(batches):
-                ids, leaf = codes.of(words)
-                g = model.gradient(ids, model.kinds[leaf], starts)
-                sums = g if sums is None else sums + g
+            model, sums = given()[1], None
+            for b in batches:
+                for ids, kind, sizes in zip(*b.columns, strict=True):
+                    ids, kind, sizes = (np.frombuffer(x.as_py(), t) for x, t in ((ids, "<u4"), (kind, np.uint8), (sizes, "<u4")))
+                    g = model.gradient(ids.astype(np.uint64), kind, np.cumsum(sizes, dtype=np.int64) - sizes)
+                    sums = g if sums is None else sums + g
             if sums is not None:
                 yield _blocks(0, list(range(BLOCKS)), [np.ascontiguousarray(x, np.float32).tobytes() for x in np.split(sums, BLOCKS)])
 
-        part = docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("round")), F.lit(rounds)) == r).select(F.col("text").cast("binary"))
+        part = parts.where((F.col("kind") == 2) & (F.col("at") == r)).select("ids", "classes", "sizes")
         model.move(_added(part.mapInArrow(learn, PARTS), ROWS), 1 / rounds)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
